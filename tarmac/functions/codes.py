@@ -36,15 +36,15 @@ CORRECTION_CODE = "COR"
 # Field patterns.
 OBSERVATION_STATION = r"^([A-Z]{4})\b"
 FORECAST_STATION = r"\b([A-Z]{4})\b"
-REPORT_TIME = r"\b(\d{2})(\d{2})(\d{2})Z\b"
-VALIDITY = r"\b(\d{2})(\d{2})/(\d{2})(\d{2})\b"
-FROM_TIME = r"\bFM(\d{2})(\d{2})(\d{2})\b"
-TEMPO = r"TEMPO\s(\d{2})(\d{2})/(\d{2})(\d{2}) "
-BECMG = r"BECMG\s(\d{2})(\d{2})/(\d{2})(\d{2}) "
+REPORT_TIME = r"\b(\d{6})Z\b"
+VALIDITY = r"\b(\d{4}/\d{4})\b"
+FROM_TIME = r"\bFM(\d{6})\b"
+TEMPO = r"TEMPO\s(\d{4}/\d{4}) "
+BECMG = r"BECMG\s(\d{4}/\d{4}) "
 CLOUD_LAYER = r"(CLR|FEW\d{3}[A-Z]*|SCT\d{3}[A-Z]*|BKN\d{3}[A-Z]*|OVC\d{3}[A-Z]*)"
 METRES = r"\b(\d{4})\b"
 MILES_LOOSE = r"(9999|\d{1,2}SM)"
-TEMPERATURE_LOOSE = r"(\d{2}|M\d{2})/(\d{2}|M\d{2})"
+TEMPERATURE_LOOSE = r"((?:\d{2}|M\d{2})/(?:\d{2}|M\d{2}))"
 WIND = r"(\d{3})(\d{2})(?:G(\d{2}))?KT"
 WIND_GUST_AFTER_UNIT = r"(\d{3})(\d{2})KT(?:G(\d{2}))?"
 ALTIMETER_Q = r"Q(\d{4})"
@@ -53,9 +53,10 @@ ALTIMETER_HPA = r"QNH(\d{4})HPA"
 
 # Stricter forms that read a field only where it stands as a word of its own.
 METRES_WORD = r"(?:^|\s)(\d{4})(?:\s|$)"
+MILES_UNLIMITED = r"(?:^|\s)(9999)(?:\s|$)"
 MILES_WHOLE = r"(?:^|\s)[PM]?(\d{1,2})SM(?:\s|$)"
-MILES_FRACTION = r"(?:^|\s)(?:(\d{1,2}) )?M?(\d)/(\d{1,2})SM(?:\s|$)"
-TEMPERATURE_WORD = r"(?:^|\s)(M?\d{2})/(M?\d{2})(?:\s|$)"
+MILES_FRACTION = r"(?:^|\sM?)((?:\d{1,2} )?\d/\d{1,2})SM(?:\s|$)"
+TEMPERATURE_WORD = r"(?:^|\s)(M?\d{2}/M?\d{2})(?:\s|$)"
 ALTIMETER_A = r"\bA(\d{4})\b"
 
 # File names.

@@ -58,22 +58,14 @@ def report_kinds(block: Column) -> Column:
     )
 
 
-def strip_markers(block: Column, kind: Column) -> Column:
-    """Remove the marker words and codes of the kind, and the blanks they leave at line ends."""
-
-    def without(words):
-        text = block
-        for word in words:
-            text = F.replace(text, F.lit(word), F.lit(""))
-        return F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
-
-    return (
-        F.when(kind == "amended", without([codes.AMENDMENT_CODE, codes.AMENDMENT_WORD]))
-        .when(kind == "corrected", without([codes.CORRECTION_WORD, codes.CORRECTION_CODE]))
-        .otherwise(block)
+def strip_markers(block: Column) -> Column:
+    """Remove the marker words and codes, and the blanks they leave at line ends."""
+    words = "|".join(
+        [codes.AMENDMENT_WORD, codes.AMENDMENT_CODE, codes.CORRECTION_WORD, codes.CORRECTION_CODE]
     )
+    return F.regexp_replace(F.regexp_replace(block, rf"(?i)\b({words})\b", ""), r"(?m)^[ \t\r]+|[ \t\r]+$", "")
 
 
 def signed_number(text: Column) -> Column:
-    """``M05`` is minus five."""
-    return F.replace(text, F.lit("M"), F.lit("-")).try_cast("double")
+    """``M05`` is minus five, ``M00`` plain zero."""
+    return F.nullif(F.replace(text, F.lit("M"), F.lit("-")), F.lit("")).try_cast("int").cast("double")

@@ -138,30 +138,43 @@ def lenient_timestamp(text, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
-def day_hour(base, day: Column, hour: Column, minute: Column | None = None, legacy: str | None = None) -> Column:
-    """Day-of-month and hour, as reports write them, to a full timestamp near ``base``.
+def month_frame(base) -> Column:
+    """What ``day_hour`` needs to know of its base time: first day and length of the month before, this and after.
 
-    The month is the one that puts the result nearest to ``base``; hour 24 is midnight of the next day. The
-    legacy forms stay in the month of ``base`` and wrap hour 24 to 0 of the same day: ``"start"`` gives null for
-    a day the month lacks, ``"end"`` moves such a day to the next month.
+    Computed once per report and passed to every time field of it.
     """
     base = _col(base)
-    minute = F.lit(0) if minute is None else minute
+    first = [F.add_months(F.trunc(base, "month"), shift) for shift in (-1, 0, 1)]
+    parts = [epoch_us(base).alias("us")]
+    for name, day in zip(("before", "here", "after"), first):
+        parts.append(F.unix_date(day).alias(f"{name}_first"))
+        parts.append(F.dayofmonth(F.last_day(day)).alias(f"{name}_days"))
+    return F.struct(*parts)
 
-    def at(month_shift: int) -> Column:
-        month = F.add_months(F.trunc(base, "month"), month_shift)
-        return F.try_make_timestamp_ntz(F.year(month), F.month(month), day, F.pmod(hour, F.lit(24)), minute, F.lit(0))
+
+def day_hour(frame: str, day: str, hour: str, minute: str = "0", legacy: str | None = None) -> Column:
+    """Day-of-month and hour, as reports write them, to a full timestamp near the base of ``frame``.
+
+    ``frame`` names a column made by ``month_frame``; the others are SQL expressions. The month is the one that puts
+    the result nearest to the base; hour 24 is midnight of the next day. The legacy forms stay in the month of the
+    base and wrap hour 24 to 0 of the same day: ``"start"`` gives null for a day the month lacks, ``"end"`` moves
+    such a day to the next month.
+    """
+    shown = f"pmod({hour}, 24)" if legacy else f"({hour})"
+    readable = f"{day} >= 1 AND {hour} BETWEEN 0 AND 24 AND {minute} BETWEEN 0 AND 59"
+
+    def at(month: str) -> str:
+        us = f"({frame}.{month}_first + {day} - 1) * {DAY_US}L + {shown} * {HOUR_US}L + ({minute}) * {MINUTE_US}L"
+        return f"CASE WHEN {readable} AND {day} <= {frame}.{month}_days THEN {us} END"
 
     if legacy == "start":
-        return at(0)
+        return from_us(F.expr(at("here")))
     if legacy == "end":
-        return F.when(day > F.dayofmonth(F.last_day(base)), at(1)).otherwise(at(0))
-
-    overflow = F.make_dt_interval(F.when(hour >= 24, 1).otherwise(0))
-    options = [at(shift) + overflow for shift in (0, 1, -1)]
-    gaps = [F.abs(epoch_us(o) - epoch_us(base)) for o in options]
-    nearest = F.least(*gaps)
-    picked = F.when(gaps[0] == nearest, options[0])
-    for gap, option in zip(gaps[1:], options[1:]):
-        picked = picked.when(gap == nearest, option)
-    return picked
+        return from_us(F.expr(f"CASE WHEN {day} > {frame}.here_days THEN {at('after')} ELSE {at('here')} END"))
+
+    # Earliest wins among equally near months by the order of the structs' second field.
+    options = ", ".join(
+        f"CASE WHEN {at(m)} IS NOT NULL THEN named_struct('gap', abs({at(m)} - {frame}.us), 'us', {at(m)}) END"
+        for m in ("here", "after", "before")
+    )
+    return from_us(F.expr(f"least({options}).us"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from tarmac.functions import codes
 from tarmac.functions.casting import downcast, present_columns, times_from_text
 from tarmac.functions.numeric import cyclic
 from tarmac.functions.timebucket import floor_minutes, monday_weekday
-from tarmac.operators.joins import join_weather, relevant_weather
-from tarmac.operators.ordered import category_codes, fill_backward, fill_forward, previous
+from tarmac.operators.joins import join_weather
+from tarmac.operators.ordered import category_codes, neighbours
 
 FLIGHT_COLUMNS = [
     "arrival_runway_actual_time",
@@ -58,36 +60,41 @@ def prepare_forecasts(df: DataFrame, narrow: bool = True) -> DataFrame:
     return downcast(out) if narrow else out
 
 
-def add_features(df: DataFrame, target: str = "throughput") -> DataFrame:
-    """Category code, cyclic time and lagged target on a table of one row per (station, time_bucket)."""
+def add_features(df: DataFrame, target: str = "throughput", fill: Sequence[str] = (), stations=None) -> DataFrame:
+    """Category code, cyclic time, lagged target and filled weather on a table of one row per (station, time_bucket).
+
+    The lag of a station's first row is taken from its second; gaps in ``fill`` are closed forward, then backward.
+    Everything that looks along the time axis is found in one pass.
+    """
     hour_sin, hour_cos = cyclic(F.hour("time_bucket"), 24)
     day_sin, day_cos = cyclic(monday_weekday("time_bucket"), 7)
-    coded = category_codes(df, "station", "arrival_airport_encoded").withColumns(
-        {
-            "hour_sin": hour_sin,
-            "hour_cos": hour_cos,
-            "day_of_week_sin": day_sin,
-            "day_of_week_cos": day_cos,
-        }
+    seen = neighbours(
+        df, ["station"], "time_bucket", last=fill, coming=fill, before=[target], after=[target], chunk=None
+    )
+    has_next = F.col(f"{target}__after").isNotNull()
+    first_lag = F.when(has_next, F.col(target))
+    featured = seen.select(
+        *[F.coalesce(f"{c}__last", f"{c}__coming").alias(c) if c in fill else F.col(c) for c in df.columns],
+        F.coalesce(F.col(f"{target}__before"), first_lag).alias(f"{target}_lag_1"),
+        hour_sin.alias("hour_sin"),
+        hour_cos.alias("hour_cos"),
+        day_sin.alias("day_of_week_sin"),
+        day_cos.alias("day_of_week_cos"),
     )
-    lagged = previous(coded, ["station"], "time_bucket", target, f"{target}_lag_1")
-    return fill_backward(lagged, ["station"], "time_bucket", [f"{target}_lag_1"])
+    return category_codes(featured, "station", "arrival_airport_encoded", source=stations)
 
 
 def flight_feature_table(flights: DataFrame, forecasts: DataFrame) -> DataFrame:
     """One row per station and bucket with flights: throughput, weather of the bucket, time and lag features.
 
     Flights and forecasts come prepared. Both sides are brought to one row per bucket before they meet, so the
-    join cannot multiply rows; gaps in the weather are filled forward, then backward, within a station.
+    join cannot multiply rows.
     """
     counted = flights.groupBy("station", "time_bucket").agg(F.count("*").alias("throughput"))
     values = [c for c in FORECAST_NAMES.values() if c in forecasts.columns]
     weather = (
-        relevant_weather(forecasts, counted)
-        .groupBy("station", "time_bucket")
+        forecasts.groupBy("station", "time_bucket")
         .agg(F.max(F.struct("datetime", *values)).alias("w"))
         .select("station", "time_bucket", *[F.col(f"w.{v}").alias(v) for v in values])
     )
-    featured = add_features(join_weather(counted, weather))
-    filled = fill_forward(featured, ["station"], "time_bucket", values)
-    return fill_backward(filled, ["station"], "time_bucket", values)
+    return add_features(join_weather(counted, weather), fill=values, stations=flights)

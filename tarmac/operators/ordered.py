@@ -20,64 +20,103 @@ def day_chunk(order: str, days: int = 1) -> Column:
     return floor_us(epoch_us(order), days * DAY_US)
 
 
-def _carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], forward: bool, nulls: bool):
-    """Per key and chunk: each column's edge value of the nearest earlier (or later) chunk that has one.
+def neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    *,
+    last: Sequence[str] = (),
+    coming: Sequence[str] = (),
+    before: Sequence[str] = (),
+    after: Sequence[str] = (),
+    chunk: Column | None = None,
+) -> DataFrame:
+    """For each row, along ``order`` within its key, in one pass:
+
+    ``c__last``    last value of ``c`` up to the row, nulls passed over, for each column of ``last``
+    ``c__coming``  first value from the row on, nulls passed over
+    ``c__before``  value of the row before, null or not
+    ``c__after``   value of the row after
 
-    With ``nulls`` the edge row counts even where its value is null.
+    The summary holds, per chunk, its first and last row (or value) of each column.
     """
-    edge = F.max if forward else F.min
-    summary = df.groupBy(*keys, "_chunk").agg(
+    asked = [
+        *[(c, f"{c}__last", True, False) for c in last],
+        *[(c, f"{c}__coming", False, False) for c in coming],
+        *[(c, f"{c}__before", True, True) for c in before],
+        *[(c, f"{c}__after", False, True) for c in after],
+    ]
+    chunked = df.withColumn("_chunk", day_chunk(order) if chunk is None else chunk)
+
+    def edge(column: str, backward: bool, nulls: bool) -> Column:
+        row = F.struct(F.col(order).alias("o"), F.col(column).alias("v"))
+        return (F.max if backward else F.min)(row if nulls else F.when(F.col(column).isNotNull(), row))
+
+    summary = chunked.groupBy(*keys, "_chunk").agg(*[edge(c, b, n).alias(name) for c, name, b, n in asked])
+    chunks = W.partitionBy(*keys).orderBy("_chunk")
+    earlier, later = chunks.rowsBetween(W.unboundedPreceding, -1), chunks.rowsBetween(1, W.unboundedFollowing)
+    carry = summary.select(
+        *keys,
+        "_chunk",
         *[
-            edge(F.when(F.lit(nulls) | F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v")))).alias(c)
-            for c in columns
-        ]
-    )
-    ordered = W.partitionBy(*keys).orderBy("_chunk")
-    if forward:
-        frame, pick = ordered.rowsBetween(W.unboundedPreceding, -1), F.last
-    else:
-        frame, pick = ordered.rowsBetween(1, W.unboundedFollowing), F.first
-    return summary.select(
-        *keys, "_chunk", *[pick(c, ignorenulls=True).over(frame)["v"].alias(f"_carry_{c}") for c in columns]
+            (F.last(name, ignorenulls=True).over(earlier) if b else F.first(name, ignorenulls=True).over(later))["v"].alias(
+                f"{name}_carry"
+            )
+            for _, name, b, _ in asked
+        ],
     )
 
+    rows = W.partitionBy(*keys, "_chunk").orderBy(order)
+
+    def inside(column: str, name: str, backward: bool, nulls: bool) -> Column:
+        outside = F.col(f"{name}_carry")
+        if nulls:
+            at_edge = (F.lag if backward else F.lead)(F.lit(1)).over(rows).isNull()
+            return F.when(at_edge, outside).otherwise((F.lag if backward else F.lead)(column).over(rows))
+        if backward:
+            found = F.last(column, ignorenulls=True).over(rows.rowsBetween(W.unboundedPreceding, W.currentRow))
+        else:
+            found = F.first(column, ignorenulls=True).over(rows.rowsBetween(W.currentRow, W.unboundedFollowing))
+        return F.coalesce(found, outside)
+
+    joined = chunked.join(carry, [*keys, "_chunk"], "left")
+    return joined.select(*df.columns, *[inside(c, name, b, n).alias(name) for c, name, b, n in asked])
 
-def _with_carry(df, keys, order, columns, chunk, forward, nulls):
-    chunked = df.withColumn("_chunk", day_chunk(order) if chunk is None else chunk)
-    return chunked.join(_carry(chunked, keys, order, columns, forward, nulls), [*keys, "_chunk"], "left")
+
+def _replaced(df: DataFrame, columns: Sequence[str], value) -> list[Column]:
+    return [value(c).alias(c) if c in columns else F.col(c) for c in df.columns]
 
 
 def fill_forward(
     df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], chunk: Column | None = None
 ) -> DataFrame:
     """Nulls take the last value before them within the key."""
-    frame = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = _with_carry(df, keys, order, columns, chunk, True, False)
-    return joined.withColumns(
-        {c: F.coalesce(F.last(c, ignorenulls=True).over(frame), F.col(f"_carry_{c}")) for c in columns}
-    ).select(*df.columns)
+    found = neighbours(df, keys, order, last=columns, chunk=chunk)
+    return found.select(*_replaced(df, columns, lambda c: F.col(f"{c}__last")))
 
 
 def fill_backward(
     df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], chunk: Column | None = None
 ) -> DataFrame:
     """Nulls take the next value after them within the key."""
-    frame = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing)
-    joined = _with_carry(df, keys, order, columns, chunk, False, False)
-    return joined.withColumns(
-        {c: F.coalesce(F.first(c, ignorenulls=True).over(frame), F.col(f"_carry_{c}")) for c in columns}
-    ).select(*df.columns)
+    found = neighbours(df, keys, order, coming=columns, chunk=chunk)
+    return found.select(*_replaced(df, columns, lambda c: F.col(f"{c}__coming")))
+
+
+def fill_both(
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], chunk: Column | None = None
+) -> DataFrame:
+    """Forward, then backward for what is left at the start."""
+    found = neighbours(df, keys, order, last=columns, coming=columns, chunk=chunk)
+    return found.select(*_replaced(df, columns, lambda c: F.coalesce(f"{c}__last", f"{c}__coming")))
 
 
 def previous(
     df: DataFrame, keys: Sequence[str], order: str, column: str, name: str, chunk: Column | None = None
 ) -> DataFrame:
     """Value of the row before, within the key, however far back it lies."""
-    inside = W.partitionBy(*keys, "_chunk").orderBy(order)
-    joined = _with_carry(df, keys, order, [column], chunk, True, True)
-    first_of_chunk = F.row_number().over(inside) == 1
-    value = F.when(first_of_chunk, F.col(f"_carry_{column}")).otherwise(F.lag(column).over(inside))
-    return joined.withColumn(name, value).select(*df.columns, name)
+    found = neighbours(df, keys, order, before=[column], chunk=chunk)
+    return found.select(*df.columns, F.col(f"{column}__before").alias(name))
 
 
 def shifted(
@@ -134,13 +173,15 @@ def block_fill(
     return df.withColumns({c: filled(c) for c in columns}).drop(*[f"{c}{observed_suffix}" for c in columns])
 
 
-def category_codes(df: DataFrame, column: str, name: str, prefix: int = 3) -> DataFrame:
-    """0-based rank of each label among the sorted distinct labels.
+def category_codes(
+    df: DataFrame, column: str, name: str, prefix: int = 3, source: DataFrame | None = None
+) -> DataFrame:
+    """0-based rank of each label among the sorted distinct labels of ``source``, by default ``df`` itself.
 
     Labels are ranked within their prefix and moved up by the number of labels under smaller prefixes, so no task
     sorts all labels.
     """
-    labels = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", F.substring(column, 1, prefix))
+    labels = (df if source is None else source).select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", F.substring(column, 1, prefix))
     offsets = (
         labels.groupBy("_p")
         .agg(F.count("*").alias("_n"))

@@ -23,7 +23,7 @@ def dense_series(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
             *keys,
             F.element_at("points", 1)[order].alias("start"),
             F.size("points").alias("length"),
-            *[F.transform("points", lambda p, v=v: p[v]).alias(v) for v in values],
+            *[F.col(f"points.{v}").alias(v) for v in values],
         )
     )
 

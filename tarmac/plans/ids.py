@@ -61,8 +61,8 @@ _SUBMISSION_SQL = """
     "submission_id",
     "WITH t AS (SELECT event_id, event_type AS station, "
     + _END
-    + " AS at FROM events)"
-    + _SUBMISSION_SQL.format(cols="event_id", station="station", t="at", source="t"),
+    + " AS ends FROM events)"
+    + _SUBMISSION_SQL.format(cols="event_id", station="station", t="ends", source="t"),
 )
 def submission_id(spark, folder):
     ends = table(spark, folder, "events").select(

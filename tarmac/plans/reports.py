@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import codes, extract
 from tarmac.functions.text import first_match
-from tarmac.functions.timebucket import HOUR_US, MINUTE_US, day_hour, epoch_us, floor_us, from_us
+from tarmac.functions.timebucket import HOUR_US, MINUTE_US, day_hour, epoch_us, floor_us, from_us, month_frame
 from tarmac.plans.registry import query
 from tarmac.sources import reports
-from tarmac.sources.tables import table
+from tarmac.sources.tables import spread, table
 
 STATIONS = ["VIEW", "SIGN", "PURC", "CLIC"]
 CLOUDS = ["CLR", "FEW030", "SCT045CB BKN100", "FEW010 SCT020 BKN030TCU OVC200", "VV002"]
@@ -52,7 +52,7 @@ def observation_texts(spark, folder):
         pressure,
     )
     text = F.concat(stamp, F.lit("\n"), line, F.lit("\n\n"), stamp, F.lit("\n"))
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events")).select(
         text.alias("value"), F.concat(F.col("event_id").cast("string"), F.lit("/obs.txt")).alias("source_file")
     )
 
@@ -74,13 +74,16 @@ def _observation_sql(legacy: bool) -> str:
     def number(pattern, group, kind="DOUBLE"):
         return f"try_cast(nullif(regexp_extract(line, '{pattern}', {group}), '') AS {kind})"
 
-    def degrees(pattern, group):
-        return f"try_cast(replace(nullif(regexp_extract(line, '{pattern}', {group}), ''), 'M', '-') AS DOUBLE)"
+    def degrees(pattern, part):
+        pair = f"nullif(regexp_extract(line, '{pattern}', 1), '')"
+        return f"try_cast(replace(split_part({pair}, '/', {part}), 'M', '-') AS DOUBLE) + 0.0::DOUBLE"
+
+    fraction = r"(?:^|\s)(?:(\d{1,2}) )?M?(\d)/(\d{1,2})SM(?:\s|$)"
 
     temperature = codes.TEMPERATURE_LOOSE if legacy else codes.TEMPERATURE_WORD
     wind = codes.WIND_GUST_AFTER_UNIT if legacy else codes.WIND
     metres = number(codes.METRES, 1) if legacy else f"""coalesce({number(codes.METRES_WORD, 1)},
-        (coalesce({number(codes.MILES_FRACTION, 1)}, 0) + {number(codes.MILES_FRACTION, 2)} / {number(codes.MILES_FRACTION, 3)}) * 1609.344,
+        (coalesce({number(fraction, 1)}, 0) + {number(fraction, 2)} / {number(fraction, 3)}) * 1609.344,
         {number(codes.MILES_WHOLE, 1)} * 1609.344)"""
     altimeter = f"{number(codes.ALTIMETER_Q, 1, 'INTEGER')} * 10"
     if not legacy:
@@ -139,7 +142,8 @@ def rejected_blocks(spark, folder):
 def cloud_layers(spark, folder):
     """Up to three layers of each report, one row per layer."""
     lines = reports.observation_blocks(observation_texts(spark, folder)).filter(F.col("line").isNotNull())
-    layers = extract.cloud_layers(F.col("line"))
+    lines = lines.withColumn("layers", extract.layers_of(F.col("line")))
+    layers = extract.cloud_layers(F.col("layers"))
     rows = F.array(
         *[
             F.struct(
@@ -156,17 +160,17 @@ def cloud_layers(spark, folder):
 
 @query(
     "dayhour_to_timestamp",
-    """WITH t AS (SELECT event_id, o.ts + to_days((user_id % 5)::INTEGER - 2) AS at, o.ts FROM events o)
-    SELECT event_id, date_trunc('hour', at)::TIMESTAMP AS at, date_trunc('day', at)::TIMESTAMP + INTERVAL 1 DAY AS midnight FROM t""",
+    """WITH t AS (SELECT event_id, o.ts + to_days((user_id % 5)::INTEGER - 2) AS "at", o.ts FROM events o)
+    SELECT event_id, date_trunc('hour', "at")::TIMESTAMP AS "at", date_trunc('day', "at")::TIMESTAMP + INTERVAL 1 DAY AS midnight FROM t""",
 )
 def dayhour_to_timestamp(spark, folder):
     """Day and hour within two days of the base, over month ends; hour 24 is the next midnight."""
-    base = F.col("ts")
     at = from_us(epoch_us("ts") + (F.col("user_id") % 5 - 2) * F.lit(24 * HOUR_US))
-    return table(spark, folder, "events").select(
+    rows = table(spark, folder, "events").select("event_id", month_frame("ts").alias("frame"), at.alias("t"))
+    return rows.select(
         "event_id",
-        day_hour(base, F.dayofmonth(at), F.hour(at)).alias("at"),
-        day_hour(base, F.dayofmonth(at), F.lit(24)).alias("midnight"),
+        day_hour("frame", "day(t)", "hour(t)").alias("at"),
+        day_hour("frame", "day(t)", "24").alias("midnight"),
     )
 
 
@@ -186,11 +190,11 @@ def dayhour_to_timestamp_legacy(spark, folder):
     base = F.make_date((F.col("user_id") % 6 + 1995).cast("int"), (F.col("event_id") % 12 + 1).cast("int"), F.lit(15))
     return (
         table(spark, folder, "events")
-        .select("event_id", day.alias("d"), base.cast("timestamp_ntz").alias("base"))
+        .select("event_id", day.alias("d"), month_frame(base.cast("timestamp_ntz")).alias("frame"))
         .select(
             "event_id",
-            day_hour("base", F.col("d"), F.lit(24), legacy="start").alias("period_start"),
-            day_hour("base", F.col("d"), F.lit(24), legacy="end").alias("period_end"),
+            day_hour("frame", "d", "24", legacy="start").alias("period_start"),
+            day_hour("frame", "d", "24", legacy="end").alias("period_end"),
         )
     )
 
@@ -202,7 +206,7 @@ def forecast_texts(spark, folder):
     """``value, source_file``: one block of a date line, marker lines, a base line and three change lines."""
     user = F.col("user_id")
     base = floor_us(epoch_us("ts"), HOUR_US)
-    events = table(spark, folder, "events").select(
+    events = spread(table(spark, folder, "events")).select(
         "event_id", "event_type", "user_id", F.floor("value").alias("whole"), base.alias("us")
     )
 
@@ -271,12 +275,7 @@ def parse_forecast_lines(spark, folder):
     """Forecast text to one row per line, with roles and times; periods run over midnight and month ends."""
     lines = reports.parse_forecasts(forecast_texts(spark, folder))
     kept = [c for c in lines.columns if c not in ("dew_point",) and not c.endswith(("_2", "_3"))]
-    return lines.filter(F.col("station_id").isNotNull() & _has_content()).select(*kept)
-
-
-def _has_content():
-    """Lines that say anything; the places of removed markers are empty."""
-    return F.coalesce(F.col("visibility").isNotNull() | F.col("from_time").isNotNull(), F.lit(False))
+    return lines.select(*kept)
 
 
 @query(

@@ -380,10 +380,11 @@ def rmse_score(spark, folder):
 
 @query(
     "null_audit",
-    f"""WITH {s.OBSERVATIONS_SQL} SELECT * FROM (
-      SELECT 'temperature' AS "column", count_if(temperature IS NULL)::BIGINT AS nulls, count(*) AS rows FROM observations
+    f"""WITH {s.OBSERVATIONS_SQL}, t AS (
+      SELECT 'temperature' AS "column", count_if(temperature IS NULL) AS nulls, count(*) AS rows FROM observations
       UNION ALL SELECT 'visibility', count_if(visibility IS NULL), count(*) FROM observations
-      UNION ALL SELECT 'wind_speed', count_if(wind_speed IS NULL), count(*) FROM observations)""",
+      UNION ALL SELECT 'wind_speed', count_if(wind_speed IS NULL), count(*) FROM observations)
+    SELECT "column", nulls::BIGINT AS nulls, rows FROM t""",
 )
 def null_audit(spark, folder):
     return quality.null_audit(s.observations(spark, folder), s.WEATHER)

@@ -70,6 +70,8 @@ OBSERVATIONS = schema(
     "cover_type_3:string altitude_3:int cloud_type_3:string"
 )
 
+PARSED_OBSERVATIONS = T.StructType([*OBSERVATIONS.fields, *schema("source_file:string block_no:int").fields])
+
 POLYGONS = schema("source_file:string path:string coords:doubles")
 
 TEMPLATE = schema("ID:string Value:int")

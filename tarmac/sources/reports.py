@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from tarmac import schemas
 from tarmac.functions import codes, text
 from tarmac.functions.casting import conform
-from tarmac.functions.extract import forecast_fields, observation_fields, period
+from tarmac.functions.extract import forecast_fields, observation_fields, with_validity
 from tarmac.functions.text import first_match
 from tarmac.functions.timebucket import lenient_timestamp
 
 ORDER = ["source_file", "block_no"]
+FORECAST_NAMES = [
+    *["source_file", "block_no", "line_no", "kind", "is_ammend", "is_correct", "station_id", "datetime"],
+    *["validity_start", "validity_end", "from_time", "tempo_start", "tempo_end", "becmg_start", "becmg_end"],
+    *[c for c in schemas.OBSERVATIONS.names if c not in ("station_id", "datetime")],
+]
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,13 +75,12 @@ def parse_observations(
     Blocks without a date or a second line are dropped; ``rejected_observations`` has them.
     """
     blocks = observation_blocks(texts).filter(F.col("base").isNotNull() & F.col("line").isNotNull())
-    fields = observation_fields(F.col("line"), F.col("base"), legacy)
-    rows = blocks.select(*ORDER, *[e.alias(name) for name, e in fields.items()])
     if stations is not None:
-        rows = rows.filter(F.col("station_id").isin(*stations))
-    names = list(fields)
+        blocks = blocks.filter(first_match(F.col("line"), codes.OBSERVATION_STATION).isin(*stations))
+    rows = observation_fields(blocks, legacy=legacy)
+    names = schemas.OBSERVATIONS.names
     rows = rows.groupBy("source_file", *names).agg(F.min("block_no").alias("block_no"))
-    return conform(rows, schemas.T.StructType([*schemas.OBSERVATIONS.fields, *schemas.schema("source_file:string block_no:int").fields]))
+    return conform(rows, schemas.PARSED_OBSERVATIONS)
 
 
 def rejected_observations(texts: DataFrame) -> DataFrame:
@@ -93,39 +97,27 @@ def forecast_blocks(texts: DataFrame, base: Column | None = None) -> DataFrame:
         "block", text.clean_forecast_block(F.col("block"))
     )
     return cleaned.select("*", F.explode(text.report_kinds(F.col("block"))).alias("kind")).withColumn(
-        "block", text.strip_markers(F.col("block"), F.col("kind"))
+        "block", F.when(F.col("kind") == "original", F.col("block")).otherwise(text.strip_markers(F.col("block")))
     )
 
 
 def parse_forecasts(texts: DataFrame, base: Column | None = None, legacy: bool = False) -> DataFrame:
     """One row per line of every forecast block, in file order, with the fields of the line.
 
-    The issue time is that of the file name unless ``base`` gives another. The date line of a block is no forecast
-    line; the legacy form keeps it.
+    The issue time is that of the file name unless ``base`` gives another. Empty lines and the date line of a block
+    are no forecast lines; the legacy form keeps them.
     """
-    blocks = forecast_blocks(texts, base)
-    start, end = period(F.col("block"), codes.VALIDITY, F.col("issue_ts"), legacy)
-    blocks = blocks.withColumns(
-        {
-            "station_id": first_match(F.col("block"), codes.FORECAST_STATION),
-            "validity_start": start,
-            "validity_end": end,
-        }
+    blocks = forecast_blocks(texts, base).withColumn(
+        "station_id", first_match(F.col("block"), codes.FORECAST_STATION)
     )
-    lines = text.split_lines(blocks)
+    lines = text.split_lines(with_validity(blocks, legacy=legacy))
     if not legacy:
-        lines = lines.filter(~F.col("line").rlike(r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}"))
-    fields = forecast_fields(F.col("line"), F.col("issue_ts"), legacy)
-    return lines.select(
-        "source_file",
-        "block_no",
-        "line_no",
-        "kind",
-        (F.col("kind") == "amended").alias("is_ammend"),
-        (F.col("kind") == "corrected").alias("is_correct"),
-        "station_id",
-        F.col("issue_ts").alias("datetime"),
-        "validity_start",
-        "validity_end",
-        *[e.alias(name) for name, e in fields.items()],
+        lines = lines.filter((F.col("line") != "") & ~F.col("line").rlike(f"^{codes.BLOCK_DATE}"))
+    flagged = lines.withColumns(
+        {
+            "is_ammend": F.col("kind") == "amended",
+            "is_correct": F.col("kind") == "corrected",
+            "datetime": F.col("issue_ts"),
+        }
     )
+    return forecast_fields(flagged, legacy=legacy).select(*FORECAST_NAMES)

@@ -21,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that gives fewer tasks than there are cores, spread over them before heavy per-row work.
+
+    Only small inputs are moved: a large scan has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_parts(spark: SparkSession, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
     """All part files of a folder as one table, also where their columns differ.
 

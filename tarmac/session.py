@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,11 @@ def build_session(cpus: int | str = 8, app: str = "tarmac", memory: str = "12g")
     return configure(spark)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tarmac-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
@@ -61,9 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tarmac-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -79,62 +79,62 @@ def report_states(
     return states.join(above, group, "left")
 
 
-def _state_at(values: Sequence[str], at_us: Column, legacy: bool) -> Column:
-    """Values of a report group at an instant, from its base line and its steps."""
-    started = F.filter("steps", lambda s: s["eff_us"] <= at_us)
-    change = F.array_max(F.transform(started, lambda s: s["change"]))
-    base = F.col("base")
-
-    def field(name: str) -> Column:
-        if not legacy:
-            return F.coalesce(change["v"][name], base["v"][name])
-        above = F.array_max(
-            F.transform(F.filter("aboves", lambda a: a["mark"] <= change["o"]), lambda a: a["above"])
-        )
-        return F.coalesce(base["v"][name], change["v"][name], above["v"][name])
-
-    return F.struct(*[field(v).alias(v) for v in values])
-
-
-def newest_report(spine: DataFrame, lines: DataFrame, at: str = "bucket_end", minutes: int = codes.BUCKET_MINUTES):
-    """Per spine row and kind the newest validity start at or before it, not older than 6 hours before its day.
+def _with_state(df: DataFrame, values: Sequence[str], at_us: str, legacy: bool) -> DataFrame:
+    """Adds ``state``, the values of a report group at an instant, from its base line and its steps."""
+    started = F.filter("steps", lambda s: s["eff_us"] <= F.col(at_us))
+    found = df.withColumn("change", F.array_max(F.transform(started, lambda s: s["change"])))
+    sources = ["change", "base"]
+    if legacy:
+        sources = ["base", "change", "above"]
+        upward = F.filter("aboves", lambda a: a["mark"] <= F.col("change.o"))
+        found = found.withColumn("above", F.array_max(F.transform(upward, lambda a: a["above"])))
+    fields = [F.coalesce(*[F.col(f"{source}.v.{v}") for source in sources]).alias(v) for v in values]
+    return found.withColumn("state", F.struct(*fields))
+
+
+def newest_reports(
+    spine: DataFrame, lines: DataFrame, at: str = "bucket_end", minutes: int = codes.BUCKET_MINUTES
+) -> DataFrame:
+    """Spine rows with, per kind, the newest validity start at or before them, not older than 6 hours before their day.
 
-    Only the newest start of a grid bucket can be the answer, which leaves at most one per station, kind and
-    bucket. The window is over (station, kind, day); starts of a day's last six hours are copied to the next day.
+    Adds ``at_us`` and the struct ``newest``. Only the newest start of a grid bucket can be the answer, which leaves at
+    most one row per station and bucket. The window is over (station, day); starts of a day's last six hours are
+    copied to the next day.
     """
     grid = minutes * MINUTE_US
     valid_us = epoch_us("validity_start")
     starts = (
         lines.filter(F.col("station").isNotNull() & F.col("validity_start").isNotNull())
-        .groupBy("station", "kind", ceil_us(valid_us, grid).alias("us"))
-        .agg(F.max(valid_us).alias("valid_us"))
+        .groupBy("station", ceil_us(valid_us, grid).alias("at_us"), floor_us(valid_us, DAY_US).alias("day"))
+        .agg(*[F.max(F.when(F.col("kind") == k, valid_us)).alias(k) for k in KINDS])
     )
-    day = floor_us(F.col("valid_us"), DAY_US)
-    late = F.col("valid_us") - day >= DAY_US - LOOKBACK_HOURS * HOUR_US
-    starts = starts.select(
-        "station",
-        "kind",
-        "us",
-        F.explode(F.when(late, F.array(day, day + DAY_US)).otherwise(F.array(day))).alias("day"),
-        "valid_us",
-        F.lit(False).alias("asked"),
+    evening = F.col("day") + F.lit(DAY_US - LOOKBACK_HOURS * HOUR_US)
+
+    def still_valid(kind: str) -> Column:
+        return F.when((F.col("to") == F.col("day")) | (F.col(kind) >= evening), F.col(kind)).alias(kind)
+
+    latest = F.greatest(*[F.col(k) for k in KINDS])
+    days = F.when(latest >= evening, F.array(F.col("day"), F.col("day") + F.lit(DAY_US))).otherwise(F.array("day"))
+    starts = starts.select("*", F.explode(days).alias("to")).select(
+        "station", "at_us", F.col("to").alias("day"), *[still_valid(k) for k in KINDS], F.lit(None).alias("row")
     )
     asked = spine.select(
         "station",
-        F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"),
-        epoch_us(at).alias("us"),
+        epoch_us(at).alias("at_us"),
         floor_us(epoch_us(at), DAY_US).alias("day"),
-        F.lit(None).cast("long").alias("valid_us"),
-        F.lit(True).alias("asked"),
+        F.struct(*[F.col(c) for c in spine.columns]).alias("row"),
     )
     history = (
-        W.partitionBy("station", "kind", "day").orderBy("us", "asked").rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy("station", "day")
+        .orderBy("at_us", F.col("row").isNotNull())
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
+    newest = F.struct(*[F.last(k, ignorenulls=True).over(history).alias(k) for k in KINDS])
     return (
-        starts.unionByName(asked)
-        .withColumn("valid_us", F.last("valid_us", ignorenulls=True).over(history))
-        .filter("asked")
-        .select("station", "kind", "us", "valid_us")
+        starts.unionByName(asked, allowMissingColumns=True)
+        .withColumn("newest", newest)
+        .filter(F.col("row").isNotNull())
+        .select("row.*", "at_us", "newest")
     )
 
 
@@ -158,17 +158,16 @@ def forecast_asof(
     minutes: int = codes.BUCKET_MINUTES,
     legacy: bool = False,
 ) -> DataFrame:
-    """Spine rows with the forecast values in force.
+    """Spine rows, which must be distinct, with the forecast values in force.
 
-    ``lines`` needs ``station, kind, validity_start``, the change starts, the order columns and the values. A
-    change line that has started wins over the base line; the legacy form lets the base line win.
+    The rows themselves pass through every step, so nothing is joined back to the spine. ``lines`` needs ``station,
+    kind, validity_start``, the change starts, the order columns and the values. A change line that has started wins
+    over the base line; the legacy form lets the base line win.
     """
-    picked = newest_report(spine, lines, at, minutes).filter(F.col("valid_us").isNotNull())
+    kept = spine.columns
     states = report_states(lines, values, order, change_starts, minutes, legacy)
-    at_kind = picked.join(states, ["station", "kind", "valid_us"]).select(
-        "station", "us", "kind", _state_at(values, F.col("us"), legacy).alias("state")
-    )
-    overlaid = overlay_kinds(at_kind, ["station", "us"], values)
-    return (
-        spine.withColumn("us", epoch_us(at)).join(overlaid, ["station", "us"], "left").select(*spine.columns, *values)
-    )
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"newest.{k}").alias("valid_us")) for k in KINDS])
+    picked = newest_reports(spine, lines, at, minutes).select(*kept, "at_us", F.inline(kinds))
+    joined = picked.join(states, ["station", "kind", "valid_us"], "left")
+    at_kind = _with_state(joined, values, "at_us", legacy).select(*kept, "kind", "state")
+    return overlay_kinds(at_kind, kept, values)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import numeric, timebucket
 from tarmac.operators import features, ordered, quality, scale, series, split
-from tarmac.operators.counts import zero_filled_arrivals
+from tarmac.operators.asof import asof_observation
+from tarmac.operators.counts import throughput, zero_filled_arrivals
 from tarmac.plans import standins as s
 from tarmac.plans.registry import query
 from tarmac.sources.tables import table
@@ -155,8 +156,6 @@ def visibility_miles(spark, folder):
 )
 def lag_features(spark, folder):
     """Value of the previous bucket that has rows, however long ago."""
-    from tarmac.operators.counts import throughput
-
     rows = throughput(table(spark, folder, "events").withColumnRenamed("event_type", "station"))
     return ordered.previous(rows, ["station"], "time_bucket", "throughput", "before")
 
@@ -232,7 +231,7 @@ def category_codes(spark, folder):
 )
 def category_codes_many(spark, folder):
     """As many labels as rows; ranked by prefix ranges."""
-    return ordered.category_codes(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "code", prefix=16)
+    return ordered.category_codes(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "code", prefix=14)
 
 
 def _windows_sql(source="counted", key="cycle"):
@@ -249,6 +248,26 @@ def supervised_windows(spark, folder):
     return series.supervised_windows(counted(spark, folder, "train"), ["station", "cycle"], "bucket_end", "value")
 
 
+_COVARIATE = "OVER (PARTITION BY station, cycle ORDER BY bucket_end)"
+
+
+@query(
+    "windows_with_covariates",
+    f"""WITH {s.grid_sql('train')}, {s.ARRIVALS_SQL}, {s.COUNTS_SQL}, {s.OBSERVATIONS_SQL}, {s.asof_sql('counted')},
+    w AS (SELECT station, cycle, bucket_end, {', '.join(
+        f"lag(value, {k}) {_COVARIATE} AS value_lag_{k}, lag(visibility, {k}) {_COVARIATE} AS visibility_lag_{k}" for k in range(4))},
+      {', '.join(f"lead(value, {k}) {_COVARIATE} AS value_step_{k}, lead(visibility, {k}) {_COVARIATE} AS visibility_step_{k}" for k in range(1, 13))}
+      FROM observed)
+    SELECT * FROM w WHERE value_lag_3 IS NOT NULL AND value_step_12 IS NOT NULL""",
+)
+def windows_with_covariates(spark, folder):
+    """Past and future weather beside the target."""
+    rows = asof_observation(
+        counted(spark, folder, "train"), s.observations(spark, folder), ["visibility"], [F.col("event_id")]
+    )
+    return series.supervised_windows(rows, ["station", "cycle"], "bucket_end", "value", ["visibility"], ["visibility"])
+
+
 @query(
     "long_steps",
     f"""{_TRAIN}, {_windows_sql()}, l AS (SELECT station, cycle, bucket_end, value_lag_0, value_lag_1, value_lag_2, value_lag_3,

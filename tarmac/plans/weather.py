@@ -17,20 +17,18 @@ _FORECAST = f"{s.FORECASTS_SQL}, {s.forecast_asof_sql()}"
 _VALUES = ", ".join(s.WEATHER)
 
 
-def _observed(spark, folder, part="all"):
-    return asof_observation(
-        s.grid(spark, part).select("station", "bucket_end"), s.observations(spark, folder), s.WEATHER, [F.col("event_id")]
-    )
+def _grid(spark):
+    return s.grid(spark).select("station", "bucket_end")
 
 
-def _forecast(spark, folder, legacy=False, part="all"):
-    return forecast_asof(
-        s.grid(spark, part).select("station", "bucket_end"),
-        s.forecast_lines(spark, folder),
-        s.WEATHER,
-        s.FORECAST_ORDER,
-        legacy=legacy,
-    )
+def _observed(spark, folder, spine=None):
+    spine = _grid(spark) if spine is None else spine
+    return asof_observation(spine, s.observations(spark, folder), s.WEATHER, [F.col("event_id")])
+
+
+def _forecast(spark, folder, spine=None, legacy=False):
+    spine = _grid(spark) if spine is None else spine
+    return forecast_asof(spine, s.forecast_lines(spark, folder), s.WEATHER, s.FORECAST_ORDER, legacy=legacy)
 
 
 @query("asof_observation_6h", f"{_BASE} SELECT station, bucket_end, {_VALUES} FROM observed")
@@ -114,14 +112,13 @@ _BLOCK_FILLED = f"""{_BASE}, {_FORECAST},
     block_filled AS (SELECT station, bucket_end, {', '.join(_block_sql(v) for v in s.WEATHER)} FROM both_kinds)"""
 
 
-def _block_filled(spark, folder):
-    observed = _observed(spark, folder).withColumnsRenamed({v: f"{v}_observed" for v in s.WEATHER})
-    both = (
-        _forecast(spark, folder)
-        .join(observed, ["station", "bucket_end"])
-        .withColumns({"block": timebucket.block_start("bucket_end"), "pos": timebucket.block_pos("bucket_end")})
+def _block_filled(spark, folder, spine=None):
+    """The rows of the spine flow through both as-of steps, so the two weather tables need no join."""
+    observed = _observed(spark, folder, spine).withColumnsRenamed({v: f"{v}_observed" for v in s.WEATHER})
+    both = _forecast(spark, folder, observed).withColumns(
+        {"block": timebucket.block_start("bucket_end"), "block_pos": timebucket.block_pos("bucket_end")}
     )
-    return ordered.block_fill(both, s.WEATHER).select("station", "bucket_end", *s.WEATHER)
+    return ordered.block_fill(both, s.WEATHER, pos="block_pos").drop("block", "block_pos")
 
 
 @query("block16_fill", f"{_BLOCK_FILLED} SELECT station, bucket_end, {_VALUES} FROM block_filled")
@@ -139,8 +136,18 @@ def block16_fill(spark, folder):
     FROM joined""",
 )
 def weather_on_targets(spark, folder):
-    """The whole path: counts, weather as of each bucket, block fill, join, forward fill per station."""
+    """The whole path: counts, weather as of each bucket, block fill, forward fill per station."""
     counts = zero_filled_arrivals(s.grid(spark), s.arrivals(spark, folder)).select("station", "bucket_end", "value")
-    joined = counts.join(_block_filled(spark, folder), ["station", "bucket_end"], "left")
-    filled = ordered.fill_forward(joined, ["station"], "bucket_end", s.WEATHER)
+    filled = ordered.fill_forward(_block_filled(spark, folder, counts), ["station"], "bucket_end", s.WEATHER)
     return filled.select("station", "bucket_end", "value", *s.WEATHER)
+
+
+@query(
+    "feature_join_on_id",
+    f"""{_BASE}, {s.ARRIVALS_SQL}, {s.COUNTS_SQL}
+    SELECT station, bucket_end, c.value, {_VALUES} FROM counted c LEFT JOIN observed USING (station, bucket_end)""",
+)
+def feature_join_on_id(spark, folder):
+    """Two finished tables, targets and weather, joined on their common key."""
+    counts = zero_filled_arrivals(s.grid(spark), s.arrivals(spark, folder)).select("station", "bucket_end", "value")
+    return counts.join(_observed(spark, folder), ["station", "bucket_end"], "left")

@@ -75,4 +75,3 @@ PARSED_OBSERVATIONS = T.StructType([*OBSERVATIONS.fields, *schema("source_file:s
 POLYGONS = schema("source_file:string path:string coords:doubles")
 
 TEMPLATE = schema("ID:string Value:int")
-TARGET = schema("ID:string Value:long")

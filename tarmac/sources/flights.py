@@ -66,9 +66,8 @@ def read_daily(spark: SparkSession, folder: str, dataset_type: str) -> DataFrame
 
 def runway_flights(runways: DataFrame) -> DataFrame:
     """The flight table: four columns and the arrival flag."""
-    return runways.select(
-        "gufi", "arrival_airport", "arrival_runway_actual_time", "departure_runway_actual_time"
-    ).withColumn("is_arrival", F.col("arrival_runway_actual_time").isNotNull())
+    flagged = runways.withColumn("is_arrival", F.col("arrival_runway_actual_time").isNotNull())
+    return conform(flagged, schemas.FLIGHTS)
 
 
 def thin_out(

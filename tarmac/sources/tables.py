@@ -98,6 +98,11 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.TEMPLATE)
 
 
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Polygon leaves, one row each: the file they come from, their place in its hierarchy, their coordinates."""
+    return spark.read.schema(schemas.POLYGONS).parquet(path)
+
+
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     return df.limit(rows)
 

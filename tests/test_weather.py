@@ -9,6 +9,7 @@ from tarmac.operators import ordered
 from tarmac.operators.asof import asof_observation
 from tarmac.operators.forecast_asof import forecast_asof
 from tarmac.operators.polygons import polygon_rows
+from tarmac.sources.tables import read_polygons, write_table
 
 T = "2022-09-25 12:00:00"
 OBS = "station:string datetime:ts line_no:long temperature:double"
@@ -221,7 +222,7 @@ def test_whole_miles_and_rounding(rows):
     assert [r[0] for r in df.select(numeric.clip_round(F.col("v"))).collect()] == [0, 0, 2, 2]
 
 
-def test_polygons(rows):
+def test_polygons(rows, spark, tmp_path):
     path = "Deviation Probability/FCST060/FLVL250/Contour/TRSH070/POLY003"
     leaves = rows(
         "source_file:string path:string coords:doubles",
@@ -232,6 +233,7 @@ def test_polygons(rows):
             ("none.h5", path, [1.0, 2.0]),
         ],
     )
-    got = sorted(polygon_rows(leaves).collect(), key=lambda r: r.centroid_lat)
+    write_table(leaves, f"{tmp_path}/leaves")
+    got = sorted(polygon_rows(read_polygons(spark, f"{tmp_path}/leaves")).collect(), key=lambda r: r.centroid_lat)
     assert tuple(got[1]) == (at("2022-12-18 23:45"), 60, 25000, 70, "POLY003", 20.0, 2.0)
     assert got[0].datetime_utc is None and len(got) == 2

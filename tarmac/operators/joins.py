@@ -17,17 +17,19 @@ def tag(df: DataFrame, **literals) -> DataFrame:
     return df.withColumns({name: F.lit(value) for name, value in literals.items()})
 
 
-def merge_tracks(arrivals: DataFrame, departures: DataFrame, as_union: bool = True) -> DataFrame:
+def outer_join_tracks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Full outer join of two track tables that carry ``is_arrival`` as data."""
+    return left.join(right, list(TRACK_KEYS), "full_outer")
+
+
+def merge_tracks(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
     """Arrival and departure estimates in one table.
 
-    The two sides carry a different constant ``is_arrival``, which is part of the join key, so their full outer
-    join never matches a row: it is the union, and the union needs no shuffle.
+    The two sides get a different constant ``is_arrival``, which is part of the join key, so their full outer join
+    can match no row: it is the union, and the union needs no shuffle. Written as a join, the constants would fold
+    to a false condition and leave a nested loop over both tables.
     """
-    arrivals = tag(arrivals, is_arrival=True)
-    departures = tag(departures, is_arrival=False)
-    if as_union:
-        return arrivals.unionByName(departures, allowMissingColumns=True)
-    return arrivals.join(departures, list(TRACK_KEYS), "full_outer")
+    return tag(arrivals, is_arrival=True).unionByName(tag(departures, is_arrival=False), allowMissingColumns=True)
 
 
 def enrich_flights(runways: DataFrame, tracks: DataFrame, aircraft: DataFrame, legacy: bool = False) -> DataFrame:

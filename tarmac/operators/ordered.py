@@ -3,6 +3,9 @@
 A history (one station, all years) is cut into chunks, by default days. Windows run inside a chunk; what a chunk
 needs from its neighbours comes from one summary row per chunk. So the unit of work is a chunk, not a station,
 and the only window over a whole station is over its chunk summaries.
+
+Tables come with one row per key and time, that is, already counted or reduced to the grid; a day of a station then has
+96 rows however many events lie behind them.
 """
 
 from __future__ import annotations

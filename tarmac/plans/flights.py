@@ -196,11 +196,26 @@ def _two_tracks(spark, folder):
 
 @query(
     "outer_join_tracks",
-    f"""WITH {_TRACKS_SQL} SELECT gufi, is_arrival, arrival_airport, estimated_arrival_time, estimated_departure_time
-    FROM tfm FULL OUTER JOIN etd USING (gufi, is_arrival, arrival_airport)""",
+    """WITH e AS (SELECT user_id AS gufi, event_type AS arrival_airport, event_id % 2 = 0 AS is_arrival, ts, value FROM events),
+    a AS (SELECT gufi, is_arrival, arrival_airport, ts AS estimated_arrival_time FROM e WHERE value >= 50),
+    d AS (SELECT gufi, is_arrival, arrival_airport, ts AS estimated_departure_time FROM e WHERE value < 50)
+    SELECT gufi, is_arrival, arrival_airport, estimated_arrival_time, estimated_departure_time
+    FROM a FULL OUTER JOIN d USING (gufi, is_arrival, arrival_airport)""",
 )
 def outer_join_tracks(spark, folder):
-    return joins.merge_tracks(*_two_tracks(spark, folder), as_union=False)
+    """Two track tables whose flag is data, so that some rows meet and others stand alone."""
+    events = table(spark, folder, "events").select(
+        F.col("user_id").alias("gufi"),
+        (F.col("event_id") % 2 == 0).alias("is_arrival"),
+        F.col("event_type").alias("arrival_airport"),
+        "ts",
+        "value",
+    )
+    keys = list(joins.TRACK_KEYS)
+    return joins.outer_join_tracks(
+        events.filter("value >= 50").select(*keys, F.col("ts").alias("estimated_arrival_time")),
+        events.filter("value < 50").select(*keys, F.col("ts").alias("estimated_departure_time")),
+    )
 
 
 @query(

@@ -73,12 +73,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing exists there yet."""
     return os.path.join(shared_dir(spark), "tarmac", f"{label}-{uuid.uuid4().hex[:12]}")
-
-
-def checkpointed(df):
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
-    return df.checkpoint(eager=True)

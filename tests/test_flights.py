@@ -79,7 +79,9 @@ def test_tracks_union_equals_outer_join(rows):
     a = rows("gufi:string arrival_airport:string estimated_arrival_time:ts", [("g1", "K", "2022-09-01 00:00:00"), ("g2", "K", None)])
     d = rows("gufi:string arrival_airport:string estimated_departure_time:ts", [("g1", "K", "2022-09-01 05:00:00")])
     union = joins.merge_tracks(a, d)
-    outer = joins.merge_tracks(a, d, as_union=False).select(*union.columns)
+    # The flag as data: true where there is a flight at all, false likewise.
+    flagged = [a.withColumn("is_arrival", F.col("gufi").isNotNull()), d.withColumn("is_arrival", F.col("gufi").isNull())]
+    outer = joins.outer_join_tracks(*flagged).select(*union.columns)
     assert union.count() == 3
     assert sorted(map(str, union.collect())) == sorted(map(str, outer.collect()))
 

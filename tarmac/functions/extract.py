@@ -76,9 +76,9 @@ def _inches(piece: Column) -> Column:
     return F.bround(tenths, 0).cast("int")
 
 
-def _clock(piece: Column) -> Column:
-    """Two-digit numbers of a ``DDHH/DDHH`` or ``DDHHMM`` piece, by place."""
-    places = {"a": 1, "b": 3, "c": 5, "d": 6, "e": 8}
+def _clock(piece: Column, period: bool) -> Column:
+    """Two-digit numbers of a ``DDHH/DDHH`` period or a ``DDHHMM`` moment, by place."""
+    places = {"a": 1, "b": 3, "d": 6, "e": 8} if period else {"a": 1, "b": 3, "c": 5}
     return F.struct(*[_digits(piece, start).alias(name) for name, start in places.items()])
 
 
@@ -99,7 +99,7 @@ def with_validity(df: DataFrame, block: str = "block", base: str = "issue_ts", l
     pieces = df.withColumns({"_frame": month_frame(base), "_validity": F.regexp_extract(block, codes.VALIDITY, 1)})
     start, end = _period("_validity", legacy)
     return (
-        pieces.withColumn("_validity", _clock(F.col("_validity")))
+        pieces.withColumn("_validity", _clock(F.col("_validity"), True))
         .withColumns({"validity_start": start, "validity_end": end})
         .drop("_validity")
     )
@@ -135,7 +135,7 @@ def observation_fields(df: DataFrame, line: str = "line", base: str = "base", le
         **_wind(F.col("_wind"), gust_after_unit=legacy),
         **cloud_layers(F.col("_layers")),
     }
-    clocks = {"_time": _clock(F.col("_time"))}
+    clocks = {"_time": _clock(F.col("_time"), False)}
     return df.withColumns(pieces).withColumns(clocks).withColumns(fields).drop(*pieces)
 
 
@@ -182,5 +182,5 @@ def forecast_fields(df: DataFrame, line: str = "line", legacy: bool = False) ->
         **_wind(F.col("_wind")),
         **cloud_layers(F.col("_layers")),
     }
-    clocks = {name: _clock(F.col(name)) for name in ("_from", "_tempo", "_becmg")}
+    clocks = {name: _clock(F.col(name), name != "_from") for name in ("_from", "_tempo", "_becmg")}
     return df.withColumns(pieces).withColumns(clocks).withColumns(fields).drop(*pieces)

@@ -45,17 +45,22 @@ def clean_forecast_block(block: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), "\n{2,}", "\n")
 
 
-def report_kinds(block: Column) -> Column:
-    """Kinds a block belongs to; one with both marker words is amended and corrected at once."""
-    amended = block.rlike(rf"(?i)\b{codes.AMENDMENT_WORD}\b")
-    corrected = block.rlike(rf"(?i)\b{codes.CORRECTION_WORD}\b")
-    return F.array_compact(
-        F.array(
-            F.when(~amended & ~corrected, F.lit("original")),
-            F.when(amended, F.lit("amended")),
-            F.when(corrected, F.lit("corrected")),
-        )
+def with_kinds(df: DataFrame, block: str = "block", kind: str = "kind") -> DataFrame:
+    """One row per kind of a block; one with both marker words is amended and corrected at once."""
+    marked = df.withColumns(
+        {
+            "_amended": F.col(block).rlike(rf"(?i)\b{codes.AMENDMENT_WORD}\b"),
+            "_corrected": F.col(block).rlike(rf"(?i)\b{codes.CORRECTION_WORD}\b"),
+        }
     )
+    original, amended, corrected = (F.array(F.lit(k)) for k in ("original", "amended", "corrected"))
+    kinds = (
+        F.when(F.col("_amended") & F.col("_corrected"), F.concat(amended, corrected))
+        .when(F.col("_amended"), amended)
+        .when(F.col("_corrected"), corrected)
+        .otherwise(original)
+    )
+    return marked.select(*df.columns, F.explode(kinds).alias(kind))
 
 
 def strip_markers(block: Column) -> Column:

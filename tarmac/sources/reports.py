@@ -96,9 +96,8 @@ def forecast_blocks(texts: DataFrame, base: Column | None = None) -> DataFrame:
     cleaned = text.split_blocks(texts.withColumn("issue_ts", issue)).withColumn(
         "block", text.clean_forecast_block(F.col("block"))
     )
-    return cleaned.select("*", F.explode(text.report_kinds(F.col("block"))).alias("kind")).withColumn(
-        "block", F.when(F.col("kind") == "original", F.col("block")).otherwise(text.strip_markers(F.col("block")))
-    )
+    stripped = F.when(F.col("kind") == "original", F.col("block")).otherwise(text.strip_markers(F.col("block")))
+    return text.with_kinds(cleaned).withColumn("block", stripped)
 
 
 def parse_forecasts(texts: DataFrame, base: Column | None = None, legacy: bool = False) -> DataFrame:

@@ -65,7 +65,7 @@ def _order_counts(spark, folder, legacy):
 @query(
     "on_the_hour_arrivals",
     f"""WITH {_ORDER_ARRIVALS}, n AS (SELECT station, arrival_ts AS bucket_end, count(*) AS n FROM seen GROUP BY ALL)
-    SELECT station, count(*) AS buckets, sum(coalesce(n, 0))::BIGINT AS arrivals, count_if(n > 0)::BIGINT AS busy
+    SELECT station, count(*) AS buckets, sum(coalesce(n, 0))::BIGINT AS arrivals, count(*) FILTER (n > 0) AS busy
     FROM grid LEFT JOIN n USING (station, bucket_end) GROUP BY station""",
 )
 def on_the_hour_arrivals(spark, folder):

@@ -80,3 +80,38 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+#: A list of ids with no more rows than this is broadcast (8 MB); a longer one is joined by shuffling.
+FEW_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id with a written table of ids, without moving the rows where the ids are few."""
+    few = ids.count() <= FEW_IDS
+    return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the ends of edges (a, b): the smallest node that can be reached.
+
+    Every node takes the smallest of itself and its neighbours, edges are drawn anew between what the nodes took, until
+    none is left: logarithmically many rounds. Minima are partial sums before the shuffle, so a node with many
+    neighbours is no burden; every round is written, so that lost executors cost a re-read.
+    """
+    spark = edges.sparkSession
+    links = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    nodes = None
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        taken = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "taken")
+        if nodes is None:
+            nodes = taken
+        else:
+            later = taken.select(F.col("node").alias("component"), F.col("component").alias("_next"))
+            nodes = cut(nodes.join(later, "component", "left").select("node", F.coalesce("_next", "component").alias("component")), "nodes")
+        left = taken.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+        right = taken.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+        moved = links.join(left, "a").join(right, "b").filter("_a <> _b")
+        links = cut(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+    return nodes if nodes is not None else spark.createDataFrame([], "node bigint, component bigint")

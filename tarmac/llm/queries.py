@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import credentials, digest, mixing, pieces, quality, tokens
+from tarmac.llm import credentials, digest, mixing, neardup, pieces, quality, tokens
 from tarmac.llm.common import read
 from tarmac.session import configure
 
@@ -48,6 +48,14 @@ def op6_source_mixing(spark, folder):
 ORACLES["op6_source_mixing"] = mixing.MIX_SQL
 
 
+@query
+def op7_minhash_near_dedup(spark, folder):
+    return neardup.near_duplicates(read(spark, folder, "documents"))
+
+
+ORACLES["op7_minhash_near_dedup"] = neardup.NEAR_SQL
+
+
 @query
 def op9_token_counts(spark, folder):
     return tokens.token_counts(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import credentials, digest, mixing, neardup, pieces, quality, tokens
+from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, tokens
 from tarmac.llm.common import read
 from tarmac.session import configure
 
@@ -25,6 +25,14 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op1_line_dedup(spark, folder):
+    return lines.dedup_lines(read(spark, folder, "documents"))
+
+
+ORACLES["op1_line_dedup"] = lines.LINES_SQL
+
+
 @query
 def op2_secret_scan(spark, folder):
     return credentials.secrets(read(spark, folder, "documents"))

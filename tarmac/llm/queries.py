@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, tokens
+from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, repeats, tokens
 from tarmac.llm.common import read
 from tarmac.session import configure
 
@@ -38,6 +38,11 @@ def op2_secret_scan(spark, folder):
     return credentials.secrets(read(spark, folder, "documents"))
 
 
+@query
+def op3_suffix_array_dedup(spark, folder):
+    return repeats.remove_repeats(read(spark, folder, "documents")).drop("kept")
+
+
 @query
 def op4_document_fingerprints(spark, folder):
     return digest.fingerprints(read(spark, folder, "documents"))

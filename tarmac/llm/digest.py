@@ -109,6 +109,19 @@ def _row(before: tuple, following: str, next_print: str) -> tuple:
     return doc_id, len(text), hashlib.sha256(changed).hexdigest(), own, other, likeness(own, other), likeness(own, next_print)
 
 
+def _ranked(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Documents with the range of their id, -1 without one: a search in the bounds; texts pass untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            place = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right").astype(np.int32)
+            place[ids.is_null().to_numpy(zero_copy_only=False)] = -1
+            yield pa.RecordBatch.from_arrays([ids, batch.column("text"), pa.array(place)], names=["doc_id", "text", "_range"])
+
+    return docs.mapInArrow(run, "doc_id bigint, text string, _range int")
+
+
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprint of every document, of its edited text, and their likenesses.
 
@@ -123,11 +136,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ranges = min(ranges or partitions(spark), 2000)
     steps = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps or [0.5])), F.lit(10_000)).alias("b")).first().b or []))
-    place = F.lit(0)
-    if bounds:
-        # ids are sorted into ranges by binary search, written as nested cases
-        place = _search(F.col("doc_id"), bounds, 0, len(bounds))
-    ranked = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place))
+    ranked = _ranked(docs, np.array(bounds, dtype=np.int64))
     order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.xxhash64("text"), F.md5(F.col("text").cast("binary")))
     heads = ranked.groupBy("_range").agg(F.max(order).alias("h")).orderBy(F.desc("_range")).collect()
     # one guest for each range: at most 2,001 rows of ids
@@ -153,10 +162,3 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     return dealt.select("_range", "doc_id", "text", "_guest").mapInArrow(
         _compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
-
-
-def _search(value, bounds: list[int], low: int, high: int):
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(value < bounds[middle], _search(value, bounds, low, middle)).otherwise(_search(value, bounds, middle + 1, high))

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, repeats, tokens
+from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, repeats, tokens, toxicity
 from tarmac.llm.common import read
 from tarmac.session import configure
 
@@ -69,6 +69,11 @@ def op7_minhash_near_dedup(spark, folder):
 ORACLES["op7_minhash_near_dedup"] = neardup.NEAR_SQL
 
 
+@query
+def op8_toxicity(spark, folder):
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op9_token_counts(spark, folder):
     return tokens.token_counts(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -24,7 +24,7 @@ BEGINNINGS = (4, 5)
 LEAST_CHI2 = 40.0
 NEIGHBOURS = 25
 THRESHOLD = 0.3
-#: Weight of a vote is one over the distance (one minus the cosine) plus this.
+#: Weight of a vote is one over the square of the distance (one minus the cosine) plus this.
 NEAREST = 0.05
 #: The overall rate counts as one more vote of weight 1.
 PRIOR = 1.0
@@ -163,7 +163,7 @@ class Index:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             near = self.nearest(query)
-            weights = [1 / (NEAREST + max(0.0, 1 - c)) for c, _ in near]
+            weights = [1 / (NEAREST + max(0.0, 1 - c)) ** 2 for c, _ in near]
             votes = sum(w * self.toxic[p] for w, (_, p) in zip(weights, near))
             score = (votes + PRIOR * self.rate) / (sum(weights) + PRIOR)
             self.known[query] = (float(min(1.0, max(0.0, score))), [int(self.ids[p]) for _, p in near[:5]])

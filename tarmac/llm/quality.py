@@ -127,9 +127,10 @@ def choose_cutoffs(counts: dict[tuple[str, str], list[int]], risk: float = RISK,
     level = math.log(delta / (len(RULES) * max(1, len(strata))))
     chosen = {}
     for (stratum, rule), exceeded in sorted(counts.items()):
-        n, rejected = sum(exceeded), sum(exceeded)
+        n, rejected = sum(exceeded), 0
         for place, cutoff in enumerate(RULES[rule]):
-            rejected -= exceeded[place]
+            # a document that exceeds k cutoffs exceeds the k strictest
+            rejected += exceeded[len(RULES[rule]) - place]
             if log_binomial_tail(rejected, n, risk / len(RULES)) > level:
                 break
             chosen[stratum, rule] = cutoff

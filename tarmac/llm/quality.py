@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import cut, documents, map_rows, pick
 
 #: Share of good documents of one stratum that all rules together may reject, and the chance that this is missed.
-RISK = 0.01
+RISK = 0.02
 DELTA = 0.05
 #: Languages with a threshold of their own: those with most good labelled documents; the others share one stratum.
 STRATA = 64
@@ -20,11 +20,9 @@ REST = "\x00rest"
 RULES = {
     "symbol_ratio": tuple(x / 100 for x in (200, 100, 75, 50, 40, 30, 25, 20, 15, 12, 10, 8, 6, 5, 4, 3)),
     "duplicate_line_ratio": tuple(x / 100 for x in (95, 90, 85, 80, 75, 70, 65, 60, 55, 50, 45, 40, 35, 30, 25, 20)),
-    "repeat_word_ratio": tuple(x / 100 for x in (30, 28, 26, 24, 22, 20, 18, 16, 14, 12, 10)),
     "repeated_neighbour_ratio": tuple(x / 100 for x in (95, 90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20, 15, 10)),
     "capital_ratio": tuple(x / 100 for x in (99, 95, 90, 85, 80, 75, 70, 65, 60, 55, 50, 45, 40)),
     "mean_word_length": (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0),
-    "shortness": tuple(-float(x) for x in (21, 22, 24, 26, 28, 30)),
 }
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -67,11 +65,9 @@ def measure(text: str | None) -> tuple:
     rules = (
         symbols / n if n else 0.0,
         duplicates / len(lines) if lines else 0.0,
-        repeats / n if n else 0.0,
         neighbours / (n - 1) if n > 1 else 0.0,
         capitals / letters if letters else 0.0,
         word_chars / n if n else 0.0,
-        -float(n),
     )
     return (n, word_chars, symbols, duplicates, repeats) + rules
 
@@ -141,7 +137,7 @@ def learn_cutoffs(measures: DataFrame, labels: DataFrame) -> dict[tuple[str, str
     """Cutoffs from all labelled good documents that pass the fixed rules.
 
     Good is a doc_id whose labels say quality 1 at least once and never 0. Only counts per stratum, rule and cutoff leave
-    the cluster: at most 65 strata times 7 rules times 17 steps.
+    the cluster: at most 65 strata times 5 rules times 17 steps.
     """
     marks = pick(labels, "doc_id", "quality").filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"))
     good = measures.filter(~base_failed()).join(marks.filter("q = 1").select("_id"), F.col("doc_id") == F.col("_id"))

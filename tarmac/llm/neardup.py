@@ -160,13 +160,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     docs = pick(docs, "doc_id", "text")
     rows = cut(sketches(docs, width), "sketches")
     known = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join below reads plain shuffles, whose hot keys Spark can split
+    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     member = cut(rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "members")
 
     keys = known.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "semi")
     keys = keys.select("doc_id", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    shared = cut(keys.join(buckets.select("key", "first"), "key"), "buckets")
+    shared = cut(keys.join(cut(buckets.select("key", "first"), "bucket-keys"), "key"), "buckets")
     wanted = cut(shared.select("doc_id").distinct(), "candidates")
     sets = cut(shingle_sets(with_ids(docs, wanted, "semi"), width), "sets")
 

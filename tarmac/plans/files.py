@@ -25,17 +25,23 @@ def directory_merge_schema(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_tax")
     write_table(lines.filter("l_returnflag = 'A'").drop("l_tax"), f"{path}/narrow")
     write_table(lines.filter("l_returnflag <> 'A'"), f"{path}/wide")
-    return read_parts(spark, path, lines.columns)
+    return read_parts(spark, path, lines.schema)
 
 
-@query("compacted_rewrite", "SELECT * FROM orders")
+@query("compacted_rewrite", "SELECT *, 20 AS files_before, 1 AS files_after FROM orders")
 def compacted_rewrite(spark, folder):
-    """Many small files to a fifth as many, same rows."""
+    """Many small files to few, same rows, with the numbers of files."""
     path = scratch(spark, "compact")
     orders = table(spark, folder, "orders")
     write_table(orders.repartition(20), f"{path}/small")
-    compact(spark, f"{path}/small", f"{path}/large")
-    return spark.read.schema(orders.schema).parquet(f"{path}/large")
+    compact(spark, f"{path}/small", f"{path}/large", orders.schema)
+    files = [
+        spark.read.schema(orders.schema).parquet(f"{path}/{name}").agg(F.count_distinct("_metadata.file_path").cast("int").alias(alias))
+        for name, alias in (("small", "files_before"), ("large", "files_after"))
+    ]
+    before, after = (df.first()[0] for df in files)
+    large = spark.read.schema(orders.schema).parquet(f"{path}/large")
+    return large.withColumns({"files_before": F.lit(before), "files_after": F.lit(after)})
 
 
 @query(
@@ -85,7 +91,7 @@ def transformed_copy(spark, folder):
     def preprocess(df):
         return throughput(df.withColumnRenamed("event_type", "station"))
 
-    transform_table(spark, f"{folder}/events.parquet", path, preprocess, ["event_type", "ts"])
+    transform_table(spark, f"{folder}/events.parquet", path, preprocess, schemas.schema("event_type:string ts:ts"))
     return spark.read.parquet(path)
 
 
@@ -94,8 +100,8 @@ def incremental_ingest(spark, folder):
     """Three runs over growing input; a source that is done is not taken again."""
     path = scratch(spark, "ingest")
     rows = table(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("source_file"), "value")
-    for last in ("2024-01-09", "2024-01-20", "2024-12-31"):
-        append_new(rows.filter(F.col("source_file") <= last), path)
+    for done in (F.col("source_file") <= "2024-01-09", F.col("source_file") <= "2024-01-20", F.lit(True)):
+        append_new(rows.filter(done), path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -185,7 +191,7 @@ def consolidated_filter(spark, folder):
     path = scratch(spark, "batches")
     rows = table(spark, folder, "events").select("event_id", "ts", F.col("event_type").alias("station_id"))
     write_table(rows, path, max_records_per_file=5000)
-    return only_stations(read_parts(spark, path), ["view", "click"]).select("event_id", "ts", "station_id")
+    return only_stations(read_parts(spark, path, rows.schema), ["view", "click"]).select("event_id", "ts", "station_id")
 
 
 @query(

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -51,23 +49,23 @@ def build_session(cpus: int | str = 8, app: str = "tarmac", memory: str = "12g")
     return configure(spark)
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tarmac-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach.
+    """The folder all executors can reach: the one ``spark.checkpoint.dir`` names.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
-    temporary folder, since there driver and executors share one machine.
+    Only where a local session leaves it unset, as in tests, it is a folder beside the session's warehouse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system that the path belongs to has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def scratch(spark: SparkSession, label: str) -> str:

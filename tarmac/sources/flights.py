@@ -13,6 +13,7 @@ from tarmac.functions.casting import conform, times_from_text
 from tarmac.functions.text import first_match
 from tarmac.functions.timebucket import floor_minutes
 from tarmac.operators.dedup import keep_first
+from tarmac.sources.tables import csv_rows, pick_cells
 
 TIME_COLUMNS = {
     "runways_data_set": ["arrival_runway_actual_time", "departure_runway_actual_time"],
@@ -32,35 +33,35 @@ RENAMES = {
 }
 
 
-def file_parts(name: Column) -> dict[str, Column]:
-    """Airport, date and dataset type of a daily file; null parts for a name of another form."""
+def file_parts(name: Column, pattern: str = codes.FLIGHT_FILE) -> dict[str, Column]:
+    """Airport, date and dataset type of a daily file; null parts for a name of another form.
+
+    ``pattern`` has these three as its groups; it may as well be one for whole paths.
+    """
     return {
-        "arrival_airport": first_match(name, codes.FLIGHT_FILE, 1),
-        "file_date": first_match(name, codes.FLIGHT_FILE, 2).try_cast("date"),
-        "dataset_type": first_match(name, codes.FLIGHT_FILE, 3),
+        "arrival_airport": first_match(name, pattern, 1),
+        "file_date": first_match(name, pattern, 2).try_cast("date"),
+        "dataset_type": first_match(name, pattern, 3),
     }
 
 
-def read_daily(spark: SparkSession, folder: str, dataset_type: str) -> DataFrame:
-    """All single-day files of one type, typed, with the airport of the file name.
+def read_daily(
+    spark: SparkSession, folder: str, dataset_type: str, pattern: str = codes.FLIGHT_FILE, glob: str | None = None
+) -> DataFrame:
+    """All single-day files of one type, typed, with the airport that their place names.
 
-    Columns are matched by header name, so extra columns and another column order do no harm.
+    Columns are found by each file's own header, so extra columns and another column order do no harm. By default the
+    place is the file name; a ``pattern`` with a slash is matched with the whole path, for folders by airport, date and
+    type. Files of several days match no pattern and are passed over.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{dataset_type}.csv")
-        .csv(folder)
-    )
-    name = F.col("_metadata.file_name")
-    named = raw.select("*", name.alias("source_file"), file_parts(name)["arrival_airport"].alias("arrival_airport"))
-    daily = named.filter(~F.col("source_file").rlike(codes.TWO_DATES))
-    kept = conform(
-        daily,
-        schemas.schema(
-            " ".join(f"{c}:string" for c in [*schemas.FLIGHT_FILES[dataset_type].names, "arrival_airport", "source_file"])
-        ),
-    )
+    rows = csv_rows(spark, folder, glob or f"*.{dataset_type}.csv")
+    names = [*schemas.FLIGHT_FILES[dataset_type].names]
+    path = F.url_decode("source_path")
+    place = path if "/" in pattern else F.regexp_extract(path, "([^/]+)$", 1)
+    parts = file_parts(place, pattern)
+    named = pick_cells(rows, names).withColumns({"source_file": place, **parts})
+    daily = named.filter((F.col("dataset_type") == dataset_type) & F.col("file_date").isNotNull())
+    kept = daily.select(*names, "arrival_airport", "source_file")
     return times_from_text(kept, TIME_COLUMNS[dataset_type])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,28 +21,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan that gives fewer tasks than there are cores, spread over them before heavy per-row work.
+def read_parts(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """All part files of a folder as one table under a declared schema, also where their columns differ.
 
-    Only small inputs are moved: a large scan has more splits than cores and is left as it is.
+    A file that lacks a column gives nulls. Zero-byte files have no splits and so no rows; any other file that cannot be
+    read fails the job, since its rows would be lost.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def read_parts(spark: SparkSession, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All part files of a folder as one table, also where their columns differ.
-
-    Zero-byte files are skipped: Spark lists no splits for them, and a file with a broken footer is passed over.
-    """
-    df = (
-        spark.read.option("mergeSchema", True)
-        .option("ignoreCorruptFiles", True)
+    return (
+        spark.read.schema(schema)
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
         .parquet(folder)
     )
-    return df.select(*columns) if columns else df
 
 
 def transform_table(
@@ -50,13 +40,10 @@ def transform_table(
     source: str,
     sink: str,
     preprocess: Callable[[DataFrame], DataFrame],
-    columns: Sequence[str] | None = None,
+    schema: T.StructType,
 ) -> None:
     """Read the columns asked for, apply a table function, replace the sink."""
-    df = read_parts(spark, source)
-    if columns:
-        df = df.select(*[c for c in columns if c in df.columns])
-    write_table(df.transform(preprocess), sink)
+    write_table(read_parts(spark, source, schema).transform(preprocess), sink)
 
 
 def write_table(
@@ -78,20 +65,59 @@ def write_table(
     writer.parquet(path)
 
 
-def compact(spark: SparkSession, source: str, sink: str, files_per_output: int = 5) -> None:
-    """Rewrite many small files as fewer, without a shuffle."""
-    df = read_parts(spark, source)
-    outputs = max(1, math.ceil(len(df.inputFiles()) / files_per_output))
-    write_table(df.coalesce(outputs), sink)
+def compact(spark: SparkSession, source: str, sink: str, schema: T.StructType, target_bytes: int = 128 << 20) -> None:
+    """Rewrite many small files as fewer, each about as large as asked for, without a shuffle.
+
+    The size of the input comes from the plan's own statistics, so that no list of files is gathered.
+    """
+    df = read_parts(spark, source, schema)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    write_table(df.coalesce(max(1, math.ceil(int(str(size)) / target_bytes))), sink)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def csv_rows(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Lines of CSV files cut into cells: ``source_path, header, cells``, two arrays of text in the same order.
+
+    Every file has a header of its own, its first line. Cells beyond the header are left out, cells that are missing are
+    null; empty lines and lines that equal the header are no rows.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("start"))
+        .filter("value <> ''")
+    )
+    # A file's first split is read from the front by one task, whose row ids ascend.
+    first = F.min_by("value", "id").alias("first")
+    heads = lines.filter("start = 0").withColumn("id", F.monotonically_increasing_id()).groupBy("source_path").agg(first)
+    width = heads.agg(F.max(F.size(F.split("first", ",")))).first()[0] or 1
+    cells = ", ".join(f"c{i} string" for i in range(width))
+
+    def parsed(line: str) -> Column:
+        row = F.from_csv(line, F.lit(cells))
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    names = F.transform(parsed("first"), lambda n: F.regexp_replace(F.trim(n), "^\ufeff", ""))
+    rows = lines.join(heads.withColumn("header", names), "source_path").filter("value <> first")
+    return rows.select("source_path", "header", parsed("value").alias("cells"))
+
+
+def pick_cells(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns of ``csv_rows`` as text, each found in the header of its own file, beside ``source_path``."""
+    place = lambda name: F.array_position("header", name).cast("int")
+    return rows.select(
+        "source_path", *[F.when(place(n) > 0, F.get("cells", place(n) - 1)).alias(n) for n in names]
+    )
+
+
 def read_csv(spark: SparkSession, path: str, target: T.StructType) -> DataFrame:
-    """A CSV table with a header, under a declared schema. Columns are found by name, unreadable values are null."""
-    return conform(spark.read.option("header", True).csv(path), target)
+    """CSV files under a declared schema. Columns are found by each file's own header, unreadable values are null."""
+    return conform(pick_cells(csv_rows(spark, path), target.names), target)
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:

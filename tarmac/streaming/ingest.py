@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tarmac.operators.joins import unprocessed
+from tarmac.session import path_exists
 from tarmac.sources.tables import write_table
 
 
@@ -15,13 +16,7 @@ def append_new(df: DataFrame, sink: str, key: str = "source_file") -> None:
     """Batch form: add the rows of the sources the sink does not have yet."""
     spark = df.sparkSession
     # Read under the table's own schema; a sink that was never written has no rows.
-    done = spark.read.schema(df.schema).option("ignoreMissingFiles", True)
-    try:
-        seen = done.parquet(sink)
-    except Exception as error:  # first run: the sink does not exist
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        seen = spark.createDataFrame([], df.schema)
+    seen = spark.read.schema(df.schema).parquet(sink) if path_exists(spark, sink) else spark.createDataFrame([], df.schema)
     write_table(unprocessed(df, seen, key), sink, mode="append")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,26 @@ def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list
     return df.mapInArrow(run, full)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``key`` as tables of about so many rows, none of which splits a group."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held)
+            keys = table.column(key).to_numpy()
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield table.slice(0, end).combine_chunks()
+            held = table.slice(end).combine_chunks().to_batches()
+            count = table.num_rows - end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 

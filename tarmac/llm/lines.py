@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import cut, documents, map_rows, pick
+from tarmac.llm.common import BATCH, cut, documents, map_rows, partitions, pick, whole_groups
 
 PERCENT = 80
 #: Lines of fewer different words are neither removed nor compared.
 LEAST_WORDS = 5
 #: Words are counted in so many buckets by their hash: the order of rarity needs one table of fixed size, no dictionary.
 BUCKETS = 1 << 16
+#: Lists of lines with no more numbers than this in all are broadcast; more are joined by shuffling.
+FEW_LINES = 2_000_000
+#: Lines that are compared with all their candidates are broadcast if there are no more than this.
+FEW_ASKED = 50_000
+#: Lines of a word that occurs more often than this are dealt in parts, but not in more than the second number.
+MANY = 20_000
+MOST_PARTS = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -26,10 +36,13 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Lines:
-    """The lines of a batch of texts as ragged arrays: 64-bit names of the words and the line each belongs to."""
+    """The lines of a batch of texts as ragged arrays.
+
+    The different words of the batch have 64-bit names; ``words`` are their places, line by line, each line's words once
+    and in order, by rarity and then by name, or by name alone; ``start`` and ``size`` say which are whose.
+    """
 
-    def __init__(self, texts: list[str | None]):
-        names: dict[bytes, int] = {}
+    def __init__(self, texts: list[str | None], rarity: np.ndarray | None = None):
         words: list[bytes] = []
         sizes: list[int] = []
         self.owner, self.number = [], []
@@ -40,27 +53,28 @@ class Lines:
                 sizes.append(len(own))
                 self.owner.append(place)
                 self.number.append(number)
-        for w in {*words}:
-            names[w] = xxhash.xxh3_64_intdigest(w)
-        self.names = np.fromiter(map(names.__getitem__, words), dtype=np.uint64, count=len(words))
-        self.line = np.repeat(np.arange(len(sizes)), sizes)
-
-    def distinct(self, rarity: np.ndarray | None = None) -> None:
-        """Each line's words once, in the order of rarity, then of name."""
-        rank = self.names if rarity is None else rarity[(self.names % np.uint64(BUCKETS)).astype(np.int64)]
-        order = np.lexsort((self.names, rank, self.line)) if rarity is not None else np.lexsort((self.names, self.line))
-        self.names, self.line = self.names[order], self.line[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.names[1:] != self.names[:-1]) | (self.line[1:] != self.line[:-1])
-        self.names, self.line = self.names[new], self.line[new]
-        self.size = np.bincount(self.line, minlength=len(self.owner))
+        different = list({*words})
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, different), dtype=np.uint64, count=len(different))
+        order = np.argsort(names) if rarity is None else np.lexsort((names, rarity[_bucket(names)]))
+        self.names = names[order]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        place_of = dict(zip(different, rank.tolist()))
+        of = max(1, len(order))
+        keys = np.fromiter(map(place_of.__getitem__, words), dtype=np.int64, count=len(words))
+        keys += np.repeat(np.arange(len(sizes)) * of, sizes)
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        line, self.words = np.divmod(keys, of)
+        self.size = np.bincount(line, minlength=len(sizes))
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
 
-    def _folded(self, values: np.ndarray, how: np.ufunc) -> np.ndarray:
+    def _folded(self, of_name: np.ndarray, how: np.ufunc) -> np.ndarray:
+        """One value for each line from those of its words."""
         out = np.zeros(len(self.owner), dtype=np.uint64)
         filled = np.flatnonzero(self.size)
         if len(filled):
-            out[filled] = how.reduceat(values, self.start[filled])
+            out[filled] = how.reduceat(of_name[self.words], self.start[filled])
         return out
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
@@ -78,60 +92,65 @@ class Lines:
         return low.view(np.int64), high.view(np.int64)
 
 
+def _bucket(names: np.ndarray) -> np.ndarray:
+    return (names % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """How often words of each bucket occur in all texts: a table of fixed size."""
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        counts = np.bincount((Lines(batch["text"]).names % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(counts)
-        return {"bucket": used, "n": counts[used]}
-
-    counts = map_rows(docs.select("text"), run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                texts = batch.column("text").slice(start, BATCH).to_pylist()
+                counts = Counter("\n".join(t or "" for t in texts).encode().translate(_LOWER).split())
+                names = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), dtype=np.uint64, count=len(counts))
+                np.add.at(total, _bucket(names), np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(BUCKETS, dtype=np.int64)
     for bucket, n in counts.collect():  # 65,536 rows at most
         table[bucket] = n
     return table
 
 
+def _parts(table: np.ndarray) -> np.ndarray:
+    """Into how many parts the lines of a word are dealt: one, unless its bucket holds far more than the usual one."""
+    return np.clip((table - 2 * int(np.median(table))) // MANY + 1, 1, MOST_PARTS)
+
+
 def sketched(docs: DataFrame, table: np.ndarray, percent: int, least: int) -> DataFrame:
-    """(d1, d2, doc_id, line, n, low, high, prefix) of every line with enough words.
+    """(d1, d2, doc_id, line, n, low, high, prefix, parts) of every line with enough words.
 
-    ``prefix`` are the rarest words of which a set must share one with any set that is alike enough, 32 bits of each.
+    ``prefix`` are the rarest words of which a set must share one with any set that is alike enough, 32 bits of each;
+    ``parts`` into how many parts the lines of each are dealt, null where none is split.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(table)
+    broadcast = docs.sparkSession.sparkContext.broadcast((table, _parts(table)))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        lines = Lines(batch["text"])
-        lines.distinct(broadcast.value)
+        counts, parts = broadcast.value
+        lines = Lines(batch["text"], counts)
         low, high = lines.parities()
-        out, used = _located(lines, batch["doc_id"], least)
+        d1, d2 = lines.digests()
+        used = np.flatnonzero(lines.size >= least)
         n = lines.size[used]
-        prefix = n - (n * percent + 99) // 100 + 1
-        names = (lines.names >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        ends = (lines.start[used] + prefix).tolist()
-        return out | {"n": n, "low": low[used], "high": high[used], "prefix": [names[s:e] for s, e in zip(lines.start[used].tolist(), ends)]}
-
-    return map_rows(docs, run, f"{_PLACED}, n int, low bigint, high bigint, prefix array<int>")
-
-
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(d1, d2, doc_id, line) of every line with enough words."""
-
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        lines = Lines(batch["text"])
-        lines.distinct()
-        return _located(lines, batch["doc_id"], least)[0]
-
-    return map_rows(docs, run, _PLACED)
-
-
-_PLACED = "d1 bigint, d2 bigint, doc_id bigint, line int"
-
-
-def _located(lines: Lines, ids: list[int], least: int) -> tuple[dict[str, list], np.ndarray]:
-    d1, d2 = lines.digests()
-    used = np.flatnonzero(lines.size >= least)
-    return {"d1": d1[used], "d2": d2[used], "doc_id": [ids[lines.owner[i]] for i in used], "line": [lines.number[i] for i in used]}, used
+        ends = lines.start[used] + n - (n * percent + 99) // 100 + 1
+        short = (lines.names >> np.uint64(32)).astype(np.uint32).view(np.int32)[lines.words]
+        dealt = parts[_bucket(lines.names)][lines.words]
+        split = np.concatenate([[0], np.cumsum(dealt > 1)])
+        spans = list(zip(lines.start[used].tolist(), ends.tolist()))
+        return {
+            "d1": d1[used], "d2": d2[used],
+            "doc_id": [batch["doc_id"][lines.owner[i]] for i in used], "line": [lines.number[i] for i in used],
+            "n": n, "low": low[used], "high": high[used],
+            "prefix": [short[s:e] for s, e in spans],
+            "parts": [dealt[s:e] if split[e] > split[s] else None for s, e in spans],
+        }
+
+    return map_rows(docs, run, "d1 bigint, d2 bigint, doc_id bigint, line int, n int, low bigint, high bigint, prefix array<int>, parts array<int>")
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -140,9 +159,8 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         lines = Lines(batch["text"])
-        lines.distinct()
         out: dict[str, list] = {"doc_id": [], "line": [], "names": []}
-        names = lines.names.view(np.int64)
+        names = lines.names.view(np.int64)[lines.words]
         sets = [set(w) for w in batch["wanted"]]
         for i, (owner, number) in enumerate(zip(lines.owner, lines.number)):
             if number in sets[owner]:
@@ -151,37 +169,97 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out["names"].append(names[lines.start[i] : lines.start[i] + lines.size[i]])
         return out
 
-    return map_rows(docs.join(lists, "doc_id"), run, "doc_id bigint, line int, names array<bigint>")
+    lists = cut(lists, "line-lists")
+    total = lists.agg(F.sum(F.size("wanted") + 1)).first()[0] or 0
+    rows = docs.join(F.broadcast(lists) if total <= FEW_LINES else lists, "doc_id")
+    return map_rows(rows, run, "doc_id bigint, line int, names array<bigint>")
 
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """Words that two sets of these sizes must share."""
-    return F.ceil((n + m) * percent / F.lit(100.0 + percent)).cast("int")
+def _needed(total, percent: int):
+    """Words that two sets must share whose sizes add up to this."""
+    return -(-total * percent // (100 + percent))
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (later, earlier) of lines that pass the prefix, length, position and parity filters.
+def first_matches(key, n, p, order, low, high, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines with a word in common: which have an earlier match, the place of the earliest, whether there are more.
 
-    The join is on 32 bits of a word's name, which only adds pairs. Its rows are packed, since there are many: a word's
-    name with the set's size, the line's number with the word's position.
+    Rows come by key and size. A row is compared with those before it, one step further away each time, while the length
+    filter lets any pair through; the position and the parity filter decide.
     """
-    long = lambda c: F.col(c).cast("bigint")
-    word = classes.select("doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("p", "w"))
-    word = word.select(
-        (F.shiftleft(long("w"), 32) + long("n")).alias("word_n"), "doc_id", (F.shiftleft(long("line"), 32) + long("p")).alias("line_p"), "low", "high"
-    )
-    a, b = word.alias("a"), word.alias("b")
-    part = lambda s, c, high: (F.shiftright(F.col(f"{s}.{c}"), 32) if high else F.col(f"{s}.{c}").bitwiseAND(F.lit(2**32 - 1))).cast("int")
-    n, m = part("a", "word_n", False), part("b", "word_n", False)
-    p, q = part("a", "line_p", False), part("b", "line_p", False)
-    la, lb = part("a", "line_p", True), part("b", "line_p", True)
-    later = (F.col("a.doc_id") > F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (la > lb))
-    needed = _needed(n, m, percent)
-    apart = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
-    fits = later & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - p, m - q) >= needed) & (n + m - apart >= 2 * needed)
-    same = F.shiftright(F.col("a.word_n"), 32) == F.shiftright(F.col("b.word_n"), 32)
-    pairs = a.join(b, same & fits).select(F.col("a.doc_id").alias("doc_a"), la.alias("line_a"), F.col("b.doc_id").alias("doc_b"), lb.alias("line_b"))
-    return pairs.distinct()
+    best = np.full(len(key), np.iinfo(np.int64).max)
+    count = np.zeros(len(key), dtype=np.int64)
+    place = np.argsort(order)  # of an order number
+    at, step = np.arange(len(key)), 0
+    while True:
+        step += 1
+        at = at[at >= step]
+        other = at - step
+        at = at[(key[at] == key[other]) & (100 * n[other] >= percent * n[at])]
+        if not len(at):
+            break
+        other = at - step
+        total = n[at] + n[other]
+        needed = _needed(total, percent)
+        fits = np.minimum(n[at] - p[at], n[other] - p[other]) >= needed
+        a, b, total, needed = at[fits], other[fits], total[fits], needed[fits]
+        apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
+        fits = total - apart >= 2 * needed
+        a, b = a[fits], b[fits]
+        later, earlier = np.where(order[a] > order[b], a, b), np.minimum(order[a], order[b])
+        np.minimum.at(best, later, earlier)
+        np.add.at(count, later, 1)
+    found = np.flatnonzero(count)
+    return found, place[best[found]], count[found] > 1
+
+
+_MATCHES = pa.schema([("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("more", pa.bool_())])
+#: Rows are compared so many at a time, in whole groups.
+CHUNK = 200_000
+
+
+def word_rows(classes: DataFrame) -> DataFrame:
+    """(key, doc_id, line, n, p, low, high): a row for each word of each prefix; lines of a very common word in parts."""
+    rows = classes.select("d1", "doc_id", "line", "n", "low", "high", "parts", F.posexplode("prefix").alias("p", "word"))
+    part = F.pmod("d1", F.coalesce(F.get("parts", F.col("p")), F.lit(1)).cast("bigint"))
+    return rows.select((F.shiftleft(F.col("word").cast("bigint"), 32) + part).alias("key"), "doc_id", "line", "n", "p", "low", "high")
+
+
+def first_candidates(words: DataFrame, percent: int) -> DataFrame:
+    """(doc_a, line_a, doc_b, line_b, more): for each line and word the earliest line with that word that passes the
+    length, position and parity filters; ``more`` tells whether it is not the only one. One row for each row at most."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        key, doc, line, n, p, low, high = (table.column(c).to_numpy() for c in ("key", "doc_id", "line", "n", "p", "low", "high"))
+        order = np.empty(len(key), dtype=np.int64)
+        order[np.lexsort((line, doc))] = np.arange(len(key))
+        a, b, more = first_matches(key, n.astype(np.int64), p.astype(np.int64), order, low, high, percent)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], line[a], doc[b], line[b], more)], schema=_MATCHES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key", CHUNK):
+            yield work(table)
+
+    dealt = words.repartition(partitions(words.sparkSession), "key").sortWithinPartitions("key", "n")
+    return dealt.mapInArrow(run, "doc_a bigint, line_a int, doc_b bigint, line_b int, more boolean")
+
+
+def all_candidates(asked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (later, earlier) of all lines asked about that pass the filters, whatever part their words are dealt to."""
+    word = F.shiftright("key", 32)
+    names = ("doc_id", "line", "n", "p", "low", "high")
+    sides = []
+    for side, rows in (("a", asked), ("b", classes)):
+        rows = word_rows(rows).select(word.alias("word"), *[F.col(c).alias(f"{c}_{side}") for c in names])
+        sides.append(rows.withColumnsRenamed({f"doc_id_{side}": f"doc_{side}"}))
+    n, m = F.col("n_a"), F.col("n_b")
+    later = (F.col("doc_a") > F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") > F.col("line_b")))
+    needed = F.ceil((n + m) * percent / F.lit(100.0 + percent)).cast("int")
+    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+    fits = later & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - F.col("p_a"), m - F.col("p_b")) >= needed)
+    few = asked.count() <= FEW_ASKED
+    left = F.broadcast(sides[0]) if few else sides[0]
+    pairs = sides[1].join(left, "word").filter(fits & (n + m - apart >= 2 * needed))
+    return pairs.select("doc_a", "line_a", "doc_b", "line_b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,26 +277,39 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WO
     A line is removed if an earlier one (smaller doc_id, or the same document and a smaller number) has a set of words
     that is alike enough, whether that one is removed or not. Lines with the same set are one class; the first line of
     each class enters the join. Lines of fewer than ``least`` different words stay.
+
+    One earlier match settles a line, so of a group of lines that are all alike not all pairs are made: each line is first
+    compared with its earliest candidate for each word of its prefix, and only lines that this leaves open with all others.
     """
     docs = pick(docs, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    place = F.struct("doc_id", "line")
-    classes = sketched(docs, rarity(docs), percent, least).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line", "n", "low", "high", "prefix")).alias("f"))
-    pairs = cut(candidates(classes.select("f.*"), percent), "line-pairs")
-    ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).union(pairs.select("doc_b", "line_b")).distinct()
-    sets = cut(line_sets(docs, cut(ends, "line-ends")), "line-sets")
-    later = verified(pairs, sets, percent).select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).distinct()
-
-    all_ = occurrences(docs, least)
-    firsts = all_.groupBy("d1", "d2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c"))
-    firsts = firsts.select("d1", "d2", F.col("f.doc_id").alias("doc_id"), F.col("f.line").alias("line"), "c")
-    firsts = firsts.join(later.withColumn("_gone", F.lit(True)), ["doc_id", "line"], "left").filter("c > 1 OR _gone")
-    firsts = cut(firsts.select("d1", "d2", F.struct("doc_id", "line").alias("first"), F.coalesce("_gone", F.lit(False)).alias("gone")), "line-classes")
-    gone = all_.join(firsts, ["d1", "d2"]).filter(F.col("gone") | (place != F.col("first")))
+    all_ = cut(sketched(docs, rarity(docs), percent, least), "lines")
+    first = F.min(F.struct("doc_id", "line", "n", "low", "high", "prefix", "parts"))
+    classes = cut(all_.groupBy("d1", "d2").agg(first.alias("f"), F.count(F.lit(1)).alias("c")).select("d1", "d2", "f.*", "c"), "line-classes")
+    place = ["doc_id", "line"]
+    as_later = [F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")]
+
+    found = cut(first_candidates(word_rows(classes), percent), "first-candidates")
+    pairs = found.drop("more").distinct()
+    later = cut(confirm_lines(docs, pairs, percent).select(*as_later).distinct(), "later-lines")
+    # lines whose earliest candidates are not alike enough, but that have others, or words that were dealt in parts
+    unsure = found.filter("more").select(*as_later).union(classes.filter("parts IS NOT NULL").select(*place)).distinct()
+    unsure = unsure.join(later, place, "left_anti")
+    asked = cut(classes.join(unsure, place, "left_semi"), "unsettled-lines")
+    rest = all_candidates(asked, classes, percent).join(found.drop("more").distinct(), ["doc_a", "line_a", "doc_b", "line_b"], "left_anti")
+    later = later.union(confirm_lines(docs, rest, percent).select(*as_later).distinct())
+
+    firsts = classes.select("d1", "d2", *place, "c").join(later.withColumn("_gone", F.lit(True)), place, "left")
+    firsts = firsts.filter("c > 1 OR _gone").select("d1", "d2", F.struct(*place).alias("first"), F.coalesce("_gone", F.lit(False)).alias("gone"))
+    gone = all_.select("d1", "d2", *place).join(cut(firsts, "line-verdicts"), ["d1", "d2"])
+    gone = gone.filter(F.col("gone") | (F.struct(*place) != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-#: Lists of removed lines with no more numbers than this in all are broadcast; more are joined by shuffling.
-FEW_LINES = 2_000_000
+def confirm_lines(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose word sets, read from the texts, are alike enough."""
+    pairs = cut(pairs, "line-pairs")
+    ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).union(pairs.select("doc_b", "line_b")).distinct()
+    return verified(pairs, cut(line_sets(docs, ends), "line-sets"), percent)
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import cut, map_rows, partitions, pick
+from tarmac.llm.common import cut, map_rows, partitions, pick, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -319,9 +319,7 @@ CHUNK = 20_000
 
 
 def _sort_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by hash and place; a group is complete when the next one begins."""
-    held: list[pa.Table] = []
-    count = 0
+    """Rows come by hash and place."""
 
     def work(table: pa.Table) -> pa.RecordBatch:
         h = table.column("k1").to_numpy()
@@ -330,20 +328,8 @@ def _sort_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         spans = _merged(repeated_spans(group, places, table.column("stop").to_numpy().astype(np.int64), table.column("data").to_pylist()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*spans)) or [[]] * 3, _SPANS)], schema=_SPANS)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.Table.from_batches([batch]))
-        count += batch.num_rows
-        if count >= CHUNK:
-            table = pa.concat_tables(held)
-            h = table.column("k1").to_numpy()
-            whole = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
-            if whole:
-                yield work(table.slice(0, whole).combine_chunks())
-            held, count = [table.slice(whole)], len(h) - whole
-    if held:
-        yield work(pa.concat_tables(held).combine_chunks())
+    for table in whole_groups(batches, "k1", CHUNK):
+        yield work(table)
 
 
 def spans_of_repeats(docs: DataFrame) -> DataFrame:

@@ -45,8 +45,11 @@ def similar_lines(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_removed_lines_equal_all_comparisons(docs, seed):
+@pytest.mark.parametrize("seed, many, few", [(1, 20_000, 50_000), (2, 20_000, 0), (3, 20, 50_000), (4, 20, 0)])
+def test_removed_lines_equal_all_comparisons(docs, monkeypatch, seed, many, few):
+    """Also with common words dealt in parts, and with the unsettled lines joined by shuffling."""
+    monkeypatch.setattr(lines, "MANY", many)
+    monkeypatch.setattr(lines, "FEW_ASKED", few)
     rows = similar_lines(seed)
     got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(docs(rows)).collect()}
     assert got == removed_by_force(rows)

@@ -57,6 +57,8 @@ MILES_UNLIMITED = r"(?:^|\s)(9999)(?:\s|$)"
 MILES_WHOLE = r"(?:^|\s)[PM]?(\d{1,2})SM(?:\s|$)"
 MILES_FRACTION = r"(?:^|\sM?)((?:\d{1,2} )?\d/\d{1,2})SM(?:\s|$)"
 TEMPERATURE_WORD = r"(?:^|\s)(M?\d{2}/M?\d{2})(?:\s|$)"
+TEMPERATURE_MOST = r"(?:^|\s)TX(M?\d{2})/\d{4}Z(?:\s|$)"
+TEMPERATURE_LEAST = r"(?:^|\s)TN(M?\d{2})/\d{4}Z(?:\s|$)"
 ALTIMETER_A = r"\bA(\d{4})\b"
 
 # File names.

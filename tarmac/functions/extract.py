@@ -142,12 +142,15 @@ def observation_fields(df: DataFrame, line: str = "line", base: str = "base", le
 def forecast_fields(df: DataFrame, line: str = "line", legacy: bool = False) -> DataFrame:
     """Adds all fields of one forecast line; ``_frame`` and the block's own fields come from ``with_validity``.
 
+    A temperature is a pair that stands as a word, else the highest the line announces (``TX``), else the lowest (``TN``).
     The legacy form loses the top of a fraction of a mile, takes the first pair of two-digit numbers as temperatures
     and reads no pressure but inches.
     """
     text = F.col(line)
     none = F.lit(None).cast("string")
     pieces = {
+        "_most": none if legacy else _piece(text, "TX", codes.TEMPERATURE_MOST),
+        "_least": none if legacy else _piece(text, "TN", codes.TEMPERATURE_LEAST),
         "_from": _piece(text, "FM", codes.FROM_TIME),
         "_tempo": _piece(text, "TEMPO", codes.TEMPO),
         "_becmg": _piece(text, "BECMG", codes.BECMG),
@@ -179,6 +182,9 @@ def forecast_fields(df: DataFrame, line: str = "line", legacy: bool = False) ->
             _int(F.col("_hpa")) * 10, _inches(F.col("_inches")), _inches(F.col("_a"))
         ),
         **_degrees(F.col("_degrees")),
+        "temperature": F.coalesce(
+            _degrees(F.col("_degrees"))["temperature"], signed_number(F.col("_most")), signed_number(F.col("_least"))
+        ),
         **_wind(F.col("_wind")),
         **cloud_layers(F.col("_layers")),
     }

@@ -92,11 +92,11 @@ def unscale(value: Column, low: Column, high: Column, to: tuple[float, float] =
 
 
 def half_mean(values: Column) -> tuple[Column, Column]:
-    """Means of the first and the second half of a flat coordinate array."""
+    """Means of the first and the second half of a flat coordinate array; null for one of odd length, which has no halves."""
     half = F.floor(F.size(values) / 2).cast("int")
 
     def mean(part: Column) -> Column:
         total = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-        return F.when(half > 0, total / half)
+        return F.when((half > 0) & (F.size(values) % 2 == 0), total / half)
 
     return mean(F.slice(values, F.lit(1), half)), mean(F.slice(values, half + 1, half))

@@ -36,6 +36,11 @@ def ceil_us(us: Column, step: int) -> Column:
     return us + F.pmod(-us, F.lit(step))
 
 
+def on_grid(us: Column, step: int) -> Column:
+    """The instant itself; one that is no multiple of ``step`` fails the job, where a rule holds for grid instants only."""
+    return F.when(us % step != 0, F.raise_error(F.lit("an instant does not lie on the grid")).cast("bigint")).otherwise(us)
+
+
 def floor_minutes(ts, minutes: int) -> Column:
     """Left-closed bucket start, aligned to the epoch."""
     return from_us(floor_us(epoch_us(ts), minutes * MINUTE_US))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarmac.functions import codes
-from tarmac.functions.timebucket import HOUR_US, MINUTE_US, ceil_us, epoch_us, floor_us
+from tarmac.functions.timebucket import HOUR_US, MINUTE_US, ceil_us, epoch_us, floor_us, on_grid
 
 
 def asof_observation(
@@ -27,7 +27,7 @@ def asof_observation(
     """Each spine row with the values of the newest observation at or before it, at most the tolerance old.
 
     The whole newest row is taken, nulls included; equal times are decided by ``order``. Spine instants must lie
-    on the ``minutes`` grid, which makes two reductions exact:
+    on the ``minutes`` grid (others fail), which makes two reductions exact:
 
     1. of all observations between two grid instants only the newest can ever be taken, so a partial aggregate
        leaves at most one per station and bucket, however dense or skewed the input is;
@@ -54,7 +54,7 @@ def asof_observation(
     )
     asked = spine.select(
         F.col(station).alias("_st"),
-        epoch_us(at).alias("_us"),
+        on_grid(epoch_us(at), grid).alias("_us"),
         F.struct(*[F.col(c) for c in spine.columns]).alias("_row"),
     ).withColumn("_slot", floor_us(F.col("_us"), slot_us))
     both = observed_rows.unionByName(asked, allowMissingColumns=True)

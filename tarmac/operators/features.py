@@ -24,6 +24,7 @@ FLIGHT_COLUMNS = [
     "is_arrival",
     "arrival_airport",
 ]
+FLIGHT = "gufi"
 FORECAST_COLUMNS = ["datetime", "station_id", "temperature", "visibility", "wind_speed"]
 FORECAST_NAMES = {
     "temperature": "forecast_temperature",
@@ -32,9 +33,12 @@ FORECAST_NAMES = {
 }
 
 
-def prepare_flights(df: DataFrame, narrow: bool = True) -> DataFrame:
-    """Arrivals, without duplicates, with the bucket of the estimated else the actual time of each row."""
-    kept = present_columns(df, FLIGHT_COLUMNS)
+def prepare_flights(df: DataFrame, narrow: bool = True, legacy: bool = False) -> DataFrame:
+    """Arrivals, without duplicates, with the bucket of the estimated else the actual time of each row.
+
+    Rows of different flights are no duplicates; the legacy form, which drops the flight first, merges those of equal times.
+    """
+    kept = present_columns(df, FLIGHT_COLUMNS if legacy else [FLIGHT, *FLIGHT_COLUMNS])
     kept = times_from_text(kept, [c for c in kept.columns if "time" in c])
     if "is_arrival" in kept.columns:
         kept = kept.filter(F.col("is_arrival"))
@@ -45,6 +49,7 @@ def prepare_flights(df: DataFrame, narrow: bool = True) -> DataFrame:
         .withColumnRenamed("arrival_airport", "station")
         .dropna(subset=["station", "time_bucket"])
     )
+    out = out.drop(FLIGHT)
     return downcast(out) if narrow else out
 
 
@@ -97,4 +102,4 @@ def flight_feature_table(flights: DataFrame, forecasts: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("datetime", *values)).alias("w"))
         .select("station", "time_bucket", *[F.col(f"w.{v}").alias(v) for v in values])
     )
-    return add_features(join_weather(counted, weather), fill=values, stations=flights)
+    return add_features(join_weather(counted, weather), fill=values, stations=counted)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarmac.functions import codes
-from tarmac.functions.timebucket import DAY_US, HOUR_US, MINUTE_US, ceil_us, epoch_us, floor_us
+from tarmac.functions.timebucket import DAY_US, HOUR_US, MINUTE_US, ceil_us, epoch_us, floor_us, on_grid
 
 KINDS = ("original", "amended", "corrected")
 LOOKBACK_HOURS = 6
@@ -79,48 +79,44 @@ def report_states(
     return states.join(above, group, "left")
 
 
-def _with_state(df: DataFrame, values: Sequence[str], at_us: str, legacy: bool) -> DataFrame:
-    """Adds ``state``, the values of a report group at an instant, from its base line and its steps."""
-    started = F.filter("steps", lambda s: s["eff_us"] <= F.col(at_us))
-    found = df.withColumn("change", F.array_max(F.transform(started, lambda s: s["change"])))
-    sources = ["change", "base"]
+def _in_force(state: Column, at_us: Column, values: Sequence[str], legacy: bool) -> list[Column]:
+    """The values of a report group at an instant, from its base line and its steps."""
+    started = F.filter(state["steps"], lambda s: s["eff_us"] <= at_us)
+    change = F.array_max(F.transform(started, lambda s: s["change"]))
+    sources = [change, state["base"]]
     if legacy:
-        sources = ["base", "change", "above"]
-        upward = F.filter("aboves", lambda a: a["mark"] <= F.col("change.o"))
-        found = found.withColumn("above", F.array_max(F.transform(upward, lambda a: a["above"])))
-    fields = [F.coalesce(*[F.col(f"{source}.v.{v}") for source in sources]).alias(v) for v in values]
-    return found.withColumn("state", F.struct(*fields))
+        upward = F.filter(state["aboves"], lambda a: a["mark"] <= change["o"])
+        sources = [state["base"], change, F.array_max(F.transform(upward, lambda a: a["above"]))]
+    return [F.coalesce(*[source["v"][v] for source in sources]) for v in values]
 
 
-def newest_reports(
-    spine: DataFrame, lines: DataFrame, at: str = "bucket_end", minutes: int = codes.BUCKET_MINUTES
-) -> DataFrame:
-    """Spine rows with, per kind, the newest validity start at or before them, not older than 6 hours before their day.
+def newest_reports(spine: DataFrame, states: DataFrame, at: str = "bucket_end", minutes: int = codes.BUCKET_MINUTES) -> DataFrame:
+    """Spine rows with, per kind, the state of the newest report that is valid at them, begun at most 6 hours before their day.
 
-    Adds ``at_us`` and the struct ``newest``. Only the newest start of a grid bucket can be the answer, which leaves at
-    most one row per station and bucket. The window is over (station, day); starts of a day's last six hours are
-    copied to the next day.
+    Adds ``at_us`` and one struct for each kind. Only the newest start of a grid bucket can be the answer, which leaves at
+    most one row per station and bucket. The window is over (station, day); starts of a day's last six hours are copied
+    to the next day. The states themselves travel with the rows, so that nothing is joined afterwards.
     """
     grid = minutes * MINUTE_US
-    valid_us = epoch_us("validity_start")
+    parts = [c for c in states.columns if c not in ("station", "kind")]
     starts = (
-        lines.filter(F.col("station").isNotNull() & F.col("validity_start").isNotNull())
-        .groupBy("station", ceil_us(valid_us, grid).alias("at_us"), floor_us(valid_us, DAY_US).alias("day"))
-        .agg(*[F.max(F.when(F.col("kind") == k, valid_us)).alias(k) for k in KINDS])
+        states.withColumn("state", F.struct(*parts))
+        .groupBy("station", ceil_us(F.col("valid_us"), grid).alias("at_us"), floor_us(F.col("valid_us"), DAY_US).alias("day"))
+        .agg(*[F.max_by(F.when(F.col("kind") == k, F.col("state")), F.when(F.col("kind") == k, F.col("valid_us"))).alias(k) for k in KINDS])
     )
     evening = F.col("day") + F.lit(DAY_US - LOOKBACK_HOURS * HOUR_US)
 
     def still_valid(kind: str) -> Column:
-        return F.when((F.col("to") == F.col("day")) | (F.col(kind) >= evening), F.col(kind)).alias(kind)
+        return F.when((F.col("to") == F.col("day")) | (F.col(kind)["valid_us"] >= evening), F.col(kind)).alias(kind)
 
-    latest = F.greatest(*[F.col(k) for k in KINDS])
+    latest = F.greatest(*[F.col(k)["valid_us"] for k in KINDS])
     days = F.when(latest >= evening, F.array(F.col("day"), F.col("day") + F.lit(DAY_US))).otherwise(F.array("day"))
     starts = starts.select("*", F.explode(days).alias("to")).select(
         "station", "at_us", F.col("to").alias("day"), *[still_valid(k) for k in KINDS], F.lit(None).alias("row")
     )
     asked = spine.select(
         "station",
-        epoch_us(at).alias("at_us"),
+        on_grid(epoch_us(at), grid).alias("at_us"),
         floor_us(epoch_us(at), DAY_US).alias("day"),
         F.struct(*[F.col(c) for c in spine.columns]).alias("row"),
     )
@@ -129,12 +125,11 @@ def newest_reports(
         .orderBy("at_us", F.col("row").isNotNull())
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    newest = F.struct(*[F.last(k, ignorenulls=True).over(history).alias(k) for k in KINDS])
+    both = starts.unionByName(asked, allowMissingColumns=True)
     return (
-        starts.unionByName(asked, allowMissingColumns=True)
-        .withColumn("newest", newest)
+        both.withColumns({k: F.last(k, ignorenulls=True).over(history) for k in KINDS})
         .filter(F.col("row").isNotNull())
-        .select("row.*", "at_us", "newest")
+        .select("row.*", "at_us", F.struct(*KINDS).alias("newest"))
     )
 
 
@@ -158,16 +153,14 @@ def forecast_asof(
     minutes: int = codes.BUCKET_MINUTES,
     legacy: bool = False,
 ) -> DataFrame:
-    """Spine rows, which must be distinct, with the forecast values in force.
+    """Spine rows with the forecast values in force; equal rows stay apart.
 
-    The rows themselves pass through every step, so nothing is joined back to the spine. ``lines`` needs ``station,
-    kind, validity_start``, the change starts, the order columns and the values. A change line that has started wins
-    over the base line; the legacy form lets the base line win.
+    ``lines`` needs ``station, kind, validity_start``, the change starts, the order columns and the values. A change line
+    that has started wins over the base line; the legacy form lets the base line win. Field by field a corrected report
+    wins over an amended one, that one over the original. Spine instants must lie on the ``minutes`` grid; others fail.
     """
-    kept = spine.columns
     states = report_states(lines, values, order, change_starts, minutes, legacy)
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"newest.{k}").alias("valid_us")) for k in KINDS])
-    picked = newest_reports(spine, lines, at, minutes).select(*kept, "at_us", F.inline(kinds))
-    joined = picked.join(states, ["station", "kind", "valid_us"], "left")
-    at_kind = _with_state(joined, values, "at_us", legacy).select(*kept, "kind", "state")
-    return overlay_kinds(at_kind, kept, values)
+    found = newest_reports(spine, states, at, minutes)
+    by_kind = [_in_force(F.col("newest")[k], F.col("at_us"), values, legacy) for k in reversed(KINDS)]
+    merged = [F.coalesce(*picks).alias(v) for v, picks in zip(values, zip(*by_kind))]
+    return found.select(*[F.col(c) for c in spine.columns], *merged)

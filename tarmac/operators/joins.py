@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import codes
 from tarmac.functions.timebucket import floor_minutes
+from tarmac.session import scratch
 
 TRACK_KEYS = ("gufi", "is_arrival", "arrival_airport")
 
@@ -17,9 +18,33 @@ def tag(df: DataFrame, **literals) -> DataFrame:
     return df.withColumns({name: F.lit(value) for name, value in literals.items()})
 
 
+#: A table of keys with no more rows than this is broadcast; a longer one is joined by shuffling.
+FEW_ROWS = 10_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of which ``rows`` rows were counted, marked for a broadcast if these are few."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
+def counted_few(df: DataFrame) -> DataFrame:
+    """A table of one row per key, written so that its rows can be counted, and marked if they are few."""
+    spark = df.sparkSession
+    path = scratch(spark, "few")
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return few(written, written.count())
+
+
 def outer_join_tracks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Full outer join of two track tables that carry ``is_arrival`` as data."""
-    return left.join(right, list(TRACK_KEYS), "full_outer")
+    """Full outer join of two track tables that carry ``is_arrival`` as data.
+
+    Written as the left join and the rows of the right side that it misses, since Spark splits the hot keys of these two
+    but not those of a full outer join.
+    """
+    keys = list(TRACK_KEYS)
+    missed = right.join(left.select(*keys), keys, "left_anti")
+    return left.join(right, keys, "left").unionByName(missed, allowMissingColumns=True)
 
 
 def merge_tracks(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
@@ -70,7 +95,7 @@ def join_weather(flights: DataFrame, weather: DataFrame, suffix: str = "_taf") -
 
 def relevant_weather(weather: DataFrame, flights: DataFrame) -> DataFrame:
     """Weather whose station occurs among the flights and whose bucket does, each on its own."""
-    stations = flights.select("station").distinct()
+    stations = counted_few(flights.select("station").distinct())
     buckets = flights.select("time_bucket").distinct()
     return weather.join(stations, "station", "left_semi").join(buckets, "time_bucket", "left_semi")
 

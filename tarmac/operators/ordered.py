@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarmac.functions.timebucket import DAY_US, epoch_us, floor_us
+from tarmac.operators.joins import few
+from tarmac.session import scratch
 
 
 def day_chunk(order: str, days: int = 1) -> Column:
@@ -176,24 +178,23 @@ def block_fill(
     return df.withColumns({c: filled(c) for c in columns}).drop(*[f"{c}{observed_suffix}" for c in columns])
 
 
-def category_codes(
-    df: DataFrame, column: str, name: str, prefix: int = 3, source: DataFrame | None = None
-) -> DataFrame:
+def category_codes(df: DataFrame, column: str, name: str, source: DataFrame | None = None) -> DataFrame:
     """0-based rank of each label among the sorted distinct labels of ``source``, by default ``df`` itself.
 
-    Labels are ranked within their prefix and moved up by the number of labels under smaller prefixes, so no task
-    sorts all labels.
+    The labels are dealt to ranges by their order and written, so that a range stays what it was when its rows are ranked;
+    a label's code is its rank within its range plus the sizes of the ranges before, of which there are as many as shuffle
+    partitions. No task sorts all labels.
     """
-    labels = (df if source is None else source).select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", F.substring(column, 1, prefix))
-    offsets = (
-        labels.groupBy("_p")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)))
-    )
-    ranked = labels.join(offsets, "_p").select(
-        column,
-        (F.coalesce("_before", F.lit(0)) + F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1)
-        .cast("int")
-        .alias(name),
-    )
-    return df.join(ranked, column, "left").select(*df.columns, name)
+    spark = df.sparkSession
+    path = scratch(spark, "labels")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = (df if source is None else source).select(F.col(column).alias("_label")).filter("_label IS NOT NULL").distinct()
+    labels.repartitionByRange(ranges, "_label").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    labels = spark.read.schema(labels.withColumn("_range", F.lit(0)).schema).parquet(path)
+    before, total = {}, 0
+    for place, size in sorted(labels.groupBy("_range").count().collect()):
+        before[place], total = total, total + size
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_range")) if before else F.lit(0)
+    rank = F.row_number().over(W.partitionBy("_range").orderBy("_label"))
+    ranked = labels.select("_label", (start + rank - 1).cast("int").alias(name))
+    return df.join(few(ranked, total), F.col(column) == F.col("_label"), "left").select(*df.columns, name)

@@ -16,16 +16,23 @@ def stamp_of_file(name):
     return F.try_make_timestamp_ntz(*parts, F.lit(0))
 
 
+LEVEL = "/Deviation Probability[^/]*/FCST[^/]*/FLVL[^/]*/[^/]*Contour[^/]*/TRSH[^/]*/POLY"
+
+
+def rejected_polygons(leaves: DataFrame) -> DataFrame:
+    """Polygons whose coordinates are odd in number, so that they have no two halves."""
+    return leaves.filter(F.concat(F.lit("/"), F.col("path")).rlike(LEVEL) & (F.size("coords") % 2 == 1))
+
+
 def polygon_rows(leaves: DataFrame) -> DataFrame:
     """``source_file, path, coords`` to one row per polygon.
 
     A path reads ``Deviation Probability/FCST060/FLVL250/Contour/TRSH070/POLY003``; other leaves are passed over,
-    as are polygons without points.
+    as are polygons without points. Coordinates of odd number go to ``rejected_polygons``.
     """
-    level = "/Deviation Probability[^/]*/FCST[^/]*/FLVL[^/]*/[^/]*Contour[^/]*/TRSH[^/]*/POLY"
     path = F.concat(F.lit("/"), F.col("path"))
     lat, lon = half_mean(F.col("coords"))
-    return leaves.filter(path.rlike(level) & (F.size("coords") > 1)).select(
+    return leaves.filter(path.rlike(LEVEL) & (F.size("coords") > 1) & (F.size("coords") % 2 == 0)).select(
         stamp_of_file(F.col("source_file")).alias("datetime_utc"),
         first_match(path, r"/FCST\D*(\d+)").cast("int").alias("forecast_offset_min"),
         (first_match(path, r"/FLVL\D*(\d+)").cast("int") * 100).alias("flight_level_ft"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.numeric import rescale, unscale
+from tarmac.operators.joins import counted_few
 
 
 def fit_minmax(df: DataFrame, columns: Sequence[str], key: str = "station") -> DataFrame:
@@ -18,8 +19,8 @@ def fit_minmax(df: DataFrame, columns: Sequence[str], key: str = "station") -> D
 
 
 def _with_params(df: DataFrame, params: DataFrame, columns: Sequence[str], key: str, expression) -> DataFrame:
-    # One parameter row per key: AQE broadcasts it when it measures small, else splits the hot keys of ``df``.
-    joined = df.join(params, key, "left")
+    # One parameter row per key: few are broadcast, so that the rows of ``df`` stay where they are.
+    joined = df.join(counted_few(params), key, "left")
     return joined.withColumns({c: expression(c) for c in columns}).select(*df.columns)
 
 

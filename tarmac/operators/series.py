@@ -93,19 +93,20 @@ def horizon_rows(df: DataFrame, station: str = "station", start: str = "start",
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], chunk: Column | None = None
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], ranges_per_key: int = 64
 ) -> DataFrame:
-    """Mean, sum and interpolated quantiles per key, exact for groups of any size.
+    """Mean, sum and interpolated quantiles per key, exact for groups of any size and values of any scale.
 
-    Equal values are counted first. Ranks are running counts inside value ranges (``chunk``, by default the whole
-    part of the value) plus the totals of the ranges below, so no task sorts or holds a whole group.
+    Equal values are counted first. Approximate percentiles cut each key into ranges of about equal weight; ranks are
+    running counts inside a range plus the totals of the ranges below, so no task sorts or holds a whole group. The cuts
+    only deal the work, so their error doesn't reach the result.
     """
-    chunk = F.floor(F.col(value)) if chunk is None else chunk
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"), chunk.alias("_c"))
-        .agg(F.count("*").alias("_n"))
-    )
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / ranges_per_key) for i in range(1, ranges_per_key)]), F.lit(1000))
+    bounds = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(cuts.alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    placed = counts.join(bounds, same, "left").select(*keys, "_v", "_n", "_cuts")
+    counted = placed.withColumn("_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     ranges = counted.groupBy(*keys, "_c").agg(
         F.sum("_n").alias("_size"), F.sum(F.col("_v") * F.col("_n")).alias("_total")
     )

@@ -11,7 +11,7 @@ from tarmac.plans.registry import query
 from tarmac.plans.reports import _OBSERVATION_LINES, STATIONS, observation_texts
 from tarmac.session import scratch
 from tarmac.sources import flights, reports
-from tarmac.sources.tables import compact, read_csv, read_parts, table, transform_table, write_csv, write_table
+from tarmac.sources.tables import compact, read_csv, read_parts, read_template, table, transform_table, write_csv, write_table
 from tarmac.streaming.ingest import append_new, stream_new_files
 
 
@@ -118,22 +118,26 @@ def stream_ingest(spark, folder):
 
 @query(
     "whole_text_scan",
-    f"""WITH {_OBSERVATION_LINES} SELECT DISTINCT substr(line, 1, 4) AS station_id, datetime,
-    try_cast(nullif(regexp_extract(line, '(\\d{{3}})(\\d{{2}})(?:G(\\d{{2}}))?KT', 2), '') AS DOUBLE) AS wind_speed, line[-5:] AS pressure
-    FROM lines WHERE substr(line, 1, 4) IN ({', '.join(repr(n) for n in STATIONS)})""",
+    f"""WITH {_OBSERVATION_LINES} SELECT substr(line, 1, 4) AS station_id, datetime,
+    try_cast(nullif(regexp_extract(line, '(\\d{{3}})(\\d{{2}})(?:G(\\d{{2}}))?KT', 2), '') AS DOUBLE) AS wind_speed, line[-5:] AS pressure,
+    count(*) AS events, sum(split_part(source_file, '/', 1)::BIGINT)::BIGINT AS event_ids
+    FROM lines WHERE substr(line, 1, 4) IN ({', '.join(repr(n) for n in STATIONS)}) GROUP BY ALL""",
 )
 def whole_text_scan(spark, folder):
-    """Report files of a folder, each read whole, cut into blocks and parsed."""
+    """Report files of a folder, each read whole, cut into blocks and parsed; the event's number ends each line, so that
+    lost or doubled rows would show."""
     path = scratch(spark, "texts")
-    texts = observation_texts(spark, folder).select("value")
+    event = F.split("source_file", "/")[0]
+    texts = observation_texts(spark, folder).select(F.regexp_replace("value", "(?m)(Z .*)$", F.concat(F.lit("$1 RMK "), event)).alias("value"))
     texts.write.option("maxRecordsPerFile", 500).text(path)
     blocks = reports.observation_blocks(reports.read_texts(spark, path))
     parsed = reports.parse_observations(reports.read_texts(spark, path), STATIONS)
-    pressures = blocks.select("source_file", "block_no", F.right("line", F.lit(5)).alias("pressure"))
+    said = F.split("line", " RMK ")
+    ends = blocks.select("source_file", "block_no", F.right(said[0], F.lit(5)).alias("pressure"), F.get(said, F.lit(1)).cast("bigint").alias("event"))
     return (
-        parsed.join(pressures, ["source_file", "block_no"])
-        .select("station_id", "datetime", F.col("wind_speed").cast("double").alias("wind_speed"), "pressure")
-        .distinct()
+        parsed.join(ends, ["source_file", "block_no"])
+        .groupBy("station_id", "datetime", F.col("wind_speed").cast("double").alias("wind_speed"), "pressure")
+        .agg(F.count("*").alias("events"), F.sum("event").alias("event_ids"))
     )
 
 
@@ -209,3 +213,58 @@ def lenient_flight_times(spark, folder):
         F.lit(None).cast("timestamp_ntz").alias("departure_runway_actual_time"),
     )
     return flights.runway_flights(raw).select("gufi", "arrival_runway_actual_time", "is_arrival")
+
+
+_ETD_FOLDERS = r"/arrival_airport=([^/]+)/file_date=(\d{4}-\d{2}-\d{2})/dataset_type=(\w+)/[^/]+$"
+
+
+@query(
+    "daily_flight_files",
+    """SELECT event_id::VARCHAR AS gufi, 'K' || upper(substr(event_type, 1, 3)) AS arrival_airport,
+    CASE WHEN user_id % 6 <> 0 THEN date_trunc('second', ts)::TIMESTAMP END AS departure_runway_estimated_time,
+    date_trunc('second', ts)::TIMESTAMP AS timestamp FROM events WHERE user_id % 5 <> 0""",
+)
+def daily_flight_files(spark, folder):
+    """Daily CSV files by airport, date and type: two orders of columns, one with an extra column, and files of two days,
+    which are passed over."""
+    path = scratch(spark, "daily")
+    day, second = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    rows = table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("gufi"),
+        F.when(F.col("user_id") % 6 == 0, F.lit("unknown")).otherwise(second).alias("departure_runway_estimated_time"),
+        second.alias("timestamp"),
+        F.concat(F.lit("a, "), F.col("event_type")).alias("remark"),
+        F.concat(F.lit("K"), F.upper(F.substring("event_type", 1, 3))).alias("arrival_airport"),
+        F.when(F.col("user_id") % 5 == 0, F.concat_ws("_", day, day)).otherwise(day).alias("file_date"),
+        F.lit("ETD_data_set").alias("dataset_type"),
+        (F.col("user_id") % 2).alias("form"),
+    )
+    places = ["arrival_airport", "file_date", "dataset_type"]
+    forms = {0: ["gufi", "departure_runway_estimated_time", "timestamp"], 1: ["timestamp", "remark", "gufi", "departure_runway_estimated_time"]}
+    for form, names in forms.items():
+        part = rows.filter(F.col("form") == form).select(*names, *places).repartition(*places)
+        part.write.mode("append").option("header", True).partitionBy(*places).csv(path)
+    daily = flights.read_daily(spark, path, "ETD_data_set", _ETD_FOLDERS, "*.csv")
+    return daily.select("gufi", "arrival_airport", "departure_runway_estimated_time", "timestamp")
+
+
+@query("template_from_csv", """SELECT o_orderpriority || '_' || o_orderkey AS "ID", o_custkey::INTEGER AS "Value" FROM orders""")
+def template_from_csv(spark, folder):
+    """A submission template whose columns stand in another order, beside one that is not wanted."""
+    path = scratch(spark, "template")
+    id_ = F.concat_ws("_", "o_orderpriority", "o_orderkey")
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("Value"), F.col("o_orderstatus").alias("other"), id_.alias("ID"))
+    write_csv(rows, path)
+    return read_template(spark, path)
+
+
+@query("parts_with_empty_files", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name END AS p_name FROM part")
+def parts_with_empty_files(spark, folder):
+    """Part files of two forms and one of no bytes; nothing that has rows is passed over."""
+    path = scratch(spark, "parts")
+    parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
+    write_table(parts.filter("p_size > 25").select("p_partkey", "p_name"), f"{path}/a")
+    write_table(parts.filter("p_size <= 25").select("p_partkey"), f"{path}/b")
+    empty = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/b/part-empty.parquet")
+    empty.getFileSystem(spark._jsc.hadoopConfiguration()).create(empty).close()
+    return read_parts(spark, path, parts.select("p_partkey", "p_name").schema)

@@ -232,7 +232,7 @@ def forecast_texts(spark, folder):
         head, F.lit(" "), wind, F.lit(" P6SM "), _pick(CLOUDS, user), F.lit(" QNH2992INS\n"),
         F.lit("  FM"), at(210, "ddHHmm"), F.lit(" 18012G25KT 1 1/2SM BKN008CB\n\n"),
         F.lit("  TEMPO "), at(240, "ddHH"), F.lit("/"), ends(360), F.lit(" 1/2SM TSRA OVC004\n"),
-        F.lit("  BECMG "), at(480, "ddHH"), F.lit("/"), ends(600), F.lit(" "), wind, F.lit(" 9999 SCT250 QNH1013HPA"),
+        F.lit("  BECMG "), at(480, "ddHH"), F.lit("/"), ends(600), F.lit(" "), wind, F.lit(" 9999 SCT250 QNH1013HPA TX"), _two(user % 35), F.lit("/"), at(840, "ddHH"), F.lit("Z TNM"), _two(user % 20), F.lit("/"), at(1260, "ddHH"), F.lit("Z"),
     )
     name = F.concat(
         F.col("event_id").cast("string"), F.lit("/taf."), at(0, "yyyyMMdd"), F.lit("."), at(0, "HH"), F.lit("Z.txt")
@@ -253,13 +253,14 @@ _FORECAST_LINES = f"""
       SELECT source_file, user_id, first + 0 AS line_no, base, event_type, NULL::TIMESTAMP AS from_time, NULL::TIMESTAMP AS tempo_start,
         NULL::TIMESTAMP AS tempo_end, NULL::TIMESTAMP AS becmg_start, NULL::TIMESTAMP AS becmg_end, 6.0::DOUBLE AS visibility,
         10132::INTEGER AS altimeter_tenths_hpa, {_WIND}, substr(layers[1], 1, 3) AS cover_type_1,
-        try_cast(substr(layers[1], 4, 3) AS INTEGER) * 100 AS altitude_1, nullif(substr(layers[1], 7), '') AS cloud_type_1 FROM issued
+        try_cast(substr(layers[1], 4, 3) AS INTEGER) * 100 AS altitude_1, nullif(substr(layers[1], 7), '') AS cloud_type_1,
+        layers, NULL::DOUBLE AS temperature FROM issued
       UNION ALL SELECT source_file, user_id, first + 1, base, event_type, base + INTERVAL 210 MINUTES, NULL, NULL, NULL, NULL, 1.5, NULL,
-        180, 12, 25, 'BKN', 800, 'CB' FROM issued
+        180, 12, 25, 'BKN', 800, 'CB', [], NULL FROM issued
       UNION ALL SELECT source_file, user_id, first + 2, base, event_type, NULL, base + INTERVAL 4 HOURS, base + INTERVAL 6 HOURS, NULL, NULL,
-        0.5, NULL, NULL, NULL, NULL, 'OVC', 400, NULL FROM issued
+        0.5, NULL, NULL, NULL, NULL, 'OVC', 400, NULL, [], NULL FROM issued
       UNION ALL SELECT source_file, user_id, first + 3, base, event_type, NULL, NULL, NULL, base + INTERVAL 8 HOURS, base + INTERVAL 10 HOURS,
-        6.0, 10130, (user_id * 10 % 360)::DOUBLE, (floor(value)::BIGINT % 60)::DOUBLE, NULL, 'SCT', 25000, NULL FROM issued)"""
+        6.0, 10130, (user_id * 10 % 360)::DOUBLE, (floor(value)::BIGINT % 60)::DOUBLE, NULL, 'SCT', 25000, NULL, [], (user_id % 35)::DOUBLE FROM issued)"""
 
 
 @query(
@@ -268,14 +269,30 @@ _FORECAST_LINES = f"""
     SELECT source_file, 0::INTEGER AS block_no, line_no::INTEGER AS line_no, kind, kind = 'amended' AS is_ammend,
       kind = 'corrected' AS is_correct, upper(substr(event_type, 1, 4)) AS station_id, base AS datetime, base AS validity_start,
       base + INTERVAL 24 HOURS AS validity_end, from_time, tempo_start, tempo_end, becmg_start, becmg_end, visibility,
-      altimeter_tenths_hpa, NULL::DOUBLE AS temperature, wind_direction, wind_speed, wind_gust, cover_type_1, altitude_1, cloud_type_1
+      altimeter_tenths_hpa, temperature, NULL::DOUBLE AS dew_point, wind_direction, wind_speed, wind_gust, cover_type_1, altitude_1, cloud_type_1,
+      substr(layers[2], 1, 3) AS cover_type_2, try_cast(substr(layers[2], 4, 3) AS INTEGER) * 100 AS altitude_2, nullif(substr(layers[2], 7), '') AS cloud_type_2,
+      substr(layers[3], 1, 3) AS cover_type_3, try_cast(substr(layers[3], 4, 3) AS INTEGER) * 100 AS altitude_3, nullif(substr(layers[3], 7), '') AS cloud_type_3
     FROM k""",
 )
 def parse_forecast_lines(spark, folder):
     """Forecast text to one row per line, with roles and times; periods run over midnight and month ends."""
-    lines = reports.parse_forecasts(forecast_texts(spark, folder))
-    kept = [c for c in lines.columns if c not in ("dew_point",) and not c.endswith(("_2", "_3"))]
-    return lines.select(*kept)
+    return reports.parse_forecasts(forecast_texts(spark, folder))
+
+
+@query(
+    "rejected_forecast_blocks",
+    """SELECT event_id || '/taf.' || CASE WHEN event_id % 5 = 0 THEN 'latest' ELSE strftime(ts, '%Y%m%d.%HZ') END || '.txt' AS source_file,
+    0::INTEGER AS block_no, concat_ws(', ', CASE WHEN event_id % 5 = 0 THEN 'issue time' END,
+      CASE WHEN event_id % 7 = 0 THEN 'station' END, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'validity' END) AS missing
+    FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0""",
+)
+def rejected_forecast_blocks(spark, folder):
+    """Files whose name has no time, and blocks that are no report."""
+    event = F.split("source_file", "/")[0].cast("bigint")
+    texts = forecast_texts(spark, folder).withColumn("event", event)
+    broken = F.when(F.col("event") % 7 == 0, F.lit("2024/01/01 00:00\nno report here\n")).otherwise(F.col("value"))
+    name = F.when(F.col("event") % 5 == 0, F.concat(F.col("event").cast("string"), F.lit("/taf.latest.txt"))).otherwise(F.col("source_file"))
+    return reports.rejected_forecasts(texts.select(broken.alias("value"), name.alias("source_file")))
 
 
 @query(

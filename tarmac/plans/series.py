@@ -231,7 +231,7 @@ def category_codes(spark, folder):
 )
 def category_codes_many(spark, folder):
     """As many labels as rows; ranked by prefix ranges."""
-    return ordered.category_codes(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "code", prefix=14)
+    return ordered.category_codes(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "code")
 
 
 def _windows_sql(source="counted", key="cycle"):
@@ -381,6 +381,21 @@ def sample_quantiles(spark, folder):
     return _rounded(_rounded(rows, ["mean", *names]), ["total"], 4)
 
 
+@query(
+    "scaled_quantiles",
+    f"""WITH v AS (SELECT l_returnflag AS flag, l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem) AS x FROM lineitem)
+    SELECT flag, count(*) AS samples, {', '.join(f"round(quantile_cont(x, {q}), 9) AS q{int(round(q * 100)):02d}" for q in _QUANTILES)}
+    FROM v GROUP BY flag""",
+)
+def scaled_quantiles(spark, folder):
+    """Nineteen exact quantiles of values that all lie between 0 and 1."""
+    lines = table(spark, folder, "lineitem")
+    top = lines.agg(F.max("l_extendedprice")).first()[0]
+    values = lines.select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / F.lit(top)).alias("x"))
+    names = [f"q{int(round(q * 100)):02d}" for q in _QUANTILES]
+    return _rounded(series.exact_quantiles(values, ["flag"], "x", _QUANTILES).drop("mean", "total"), names, 9)
+
+
 _NAIVE = f"""{_ALL}, p AS (SELECT station, value, lag(value) OVER (PARTITION BY station ORDER BY bucket_end) AS guess FROM counted)"""
 
 

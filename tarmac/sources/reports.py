@@ -100,17 +100,31 @@ def forecast_blocks(texts: DataFrame, base: Column | None = None) -> DataFrame:
     return text.with_kinds(cleaned).withColumn("block", stripped)
 
 
+def rejected_forecasts(texts: DataFrame, base: Column | None = None) -> DataFrame:
+    """Blocks that give no forecast: no issue time, no station or no validity. A block of two kinds is listed once."""
+    blocks = with_validity(forecast_blocks(texts, base))
+    missing = F.concat_ws(
+        ", ",
+        F.when(F.col("issue_ts").isNull(), F.lit("issue time")),
+        F.when(first_match(F.col("block"), codes.FORECAST_STATION).isNull(), F.lit("station")),
+        F.when(F.col("validity_start").isNull() | F.col("validity_end").isNull(), F.lit("validity")),
+    )
+    return blocks.withColumn("missing", missing).filter("missing <> ''").select(*ORDER, "missing").distinct()
+
+
 def parse_forecasts(texts: DataFrame, base: Column | None = None, legacy: bool = False) -> DataFrame:
     """One row per line of every forecast block, in file order, with the fields of the line.
 
     The issue time is that of the file name unless ``base`` gives another. Empty lines and the date line of a block
-    are no forecast lines; the legacy form keeps them.
+    are no forecast lines, and blocks of ``rejected_forecasts`` give none; the legacy form keeps them.
     """
     blocks = forecast_blocks(texts, base).withColumn(
         "station_id", first_match(F.col("block"), codes.FORECAST_STATION)
     )
     lines = text.split_lines(with_validity(blocks, legacy=legacy))
     if not legacy:
+        whole = [F.col(c).isNotNull() for c in ("issue_ts", "station_id", "validity_start", "validity_end")]
+        lines = lines.filter(whole[0] & whole[1] & whole[2] & whole[3])
         lines = lines.filter((F.col("line") != "") & ~F.col("line").rlike(f"^{codes.BLOCK_DATE}"))
     flagged = lines.withColumns(
         {

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators.quality import rmse, score
+from tarmac.operators.split import hash_bucket
 from tarmac.session import scratch
 from tarmac.sources.tables import write_table
 
@@ -85,8 +86,13 @@ def random_search(
     seed: int = 42,
     parallelism: int = 4,
     rounds: tuple[int, int] = (100, 1000),
+    keys: Sequence[str] = (),
 ) -> tuple[PipelineModel, DataFrame]:
-    """Best model and the mean squared error of every draw of the tree parameters."""
+    """Best model and the mean squared error of every draw of the tree parameters.
+
+    Folds are dealt by the hash of ``keys``, so that they don't hang on partitions; without keys, by Spark. The share of
+    columns a split may choose from is drawn too.
+    """
     pipeline = boosted_trees(features, target, seed=seed)
     trees = pipeline.getStages()[-1]
     dice = random.Random(seed)
@@ -96,6 +102,7 @@ def random_search(
             trees.stepSize: 0.01 + 0.1 * dice.random(),
             trees.maxDepth: dice.randrange(3, 10),
             trees.subsamplingRate: 0.6 + 0.4 * dice.random(),
+            trees.featureSubsetStrategy: str(round(0.6 + 0.4 * dice.random(), 3)),
         }
         for _ in range(draws)
     ]
@@ -106,12 +113,14 @@ def random_search(
         numFolds=folds,
         parallelism=parallelism,
         seed=seed,
-    ).fit(train)
+        foldCol="_fold" if keys else "",
+    ).fit(train.withColumn("_fold", hash_bucket(keys, seed, folds)) if keys else train)
+    drawn = (trees.maxIter, trees.stepSize, trees.maxDepth, trees.subsamplingRate, trees.featureSubsetStrategy)
     rows = [
-        (i, *[float(m[p]) for p in (trees.maxIter, trees.stepSize, trees.maxDepth, trees.subsamplingRate)], float(e))
+        (i, *[float(m[p]) for p in drawn], float(e))
         for i, (m, e) in enumerate(zip(maps, search.avgMetrics))
     ]
-    names = "draw int, rounds double, rate double, depth double, subsample double, mse double"
+    names = "draw int, rounds double, rate double, depth double, subsample double, columns double, mse double"
     return search.bestModel, train.sparkSession.createDataFrame(rows, names)
 
 

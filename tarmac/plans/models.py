@@ -85,7 +85,7 @@ def early_stopped_boosting(spark, folder):
 def random_search(spark, folder):
     """Cross-validated error of sampled tree parameters."""
     table, _ = training_table(spark, folder)
-    _, results = learn.random_search(_parts(table)[0], FEATURES, "value", draws=2, folds=3, rounds=(3, 6))
+    _, results = learn.random_search(_parts(table)[0], FEATURES, "value", draws=2, folds=3, rounds=(3, 6), keys=["station", "bucket_end", "step"])
     return results
 
 

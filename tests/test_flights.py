@@ -192,3 +192,24 @@ def test_scores_and_audits(rows):
     assert abs(df.agg(quality.rmse(F.col("y"), F.col("p"))).first()[0] - 0.5**0.5) < 1e-12
     audit = {r["column"]: r.nulls for r in quality.null_audit(df).collect()}
     assert audit == {"y": 1, "p": 0}
+
+
+def test_flights_of_equal_times_are_counted_apart(rows):
+    from tarmac.operators.features import prepare_flights
+
+    spec = "gufi:string arrival_airport:string is_arrival:boolean arrival_runway_actual_time:ts"
+    one = ("KDEN", True, "2022-09-01 10:20:00")
+    df = rows(spec, [("g1", *one), ("g1", *one), ("g2", *one)])
+    assert prepare_flights(df).count() == 2 and prepare_flights(df, legacy=True).count() == 1
+    assert "gufi" not in prepare_flights(df).columns
+
+
+def test_outer_join_keeps_both_sides(rows):
+    from tarmac.operators.joins import outer_join_tracks
+
+    spec = "gufi:string is_arrival:boolean arrival_airport:string"
+    left = rows(spec + " a:long", [("g", True, "K", 1), ("g", True, "K", 2), ("h", True, "K", 3), (None, True, "K", 4)])
+    right = rows(spec + " b:long", [("g", True, "K", 5), ("i", True, "K", 6), (None, True, "K", 7)])
+    got = sorted(outer_join_tracks(left, right).select("gufi", "a", "b").collect(), key=str)
+    want = sorted(left.join(right, ["gufi", "is_arrival", "arrival_airport"], "full_outer").select("gufi", "a", "b").collect(), key=str)
+    assert got == want and len(got) == 6

@@ -1,6 +1,7 @@
 import random
 from datetime import timedelta
 
+import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from tarmac.functions import numeric
 from tarmac.operators import ordered
 from tarmac.operators.asof import asof_observation
 from tarmac.operators.forecast_asof import forecast_asof
-from tarmac.operators.polygons import polygon_rows
+from tarmac.operators.polygons import polygon_rows, rejected_polygons
 from tarmac.sources.tables import read_polygons, write_table
 
 T = "2022-09-25 12:00:00"
@@ -49,6 +50,27 @@ def in_force(rows, lines, legacy=False):
     return [(r.visibility, r.wind_speed) for r in out.collect()]
 
 
+def test_equal_spine_rows_stay_apart(rows):
+    grid = rows("station:string bucket_end:ts", [("KDEN", T)] * 3 + [("KATL", T)])
+    out = forecast_asof(grid, rows(LINES, [line(0, vis=6.0, wind=10.0)]), ["visibility"], ["issue_ts", "line_no"])
+    assert sorted((r.station, r.visibility) for r in out.collect()) == [("KATL", None)] + [("KDEN", 6.0)] * 3
+
+
+def test_instants_off_the_grid_fail(rows):
+    grid = rows("station:string bucket_end:ts", [("KDEN", "2022-09-25 10:07:00")])
+    with pytest.raises(Exception, match="grid"):
+        asof_observation(grid, rows(OBS, [("KDEN", T, 1, 1.0)]), ["temperature"], [F.col("line_no")]).collect()
+    with pytest.raises(Exception, match="grid"):
+        forecast_asof(grid, rows(LINES, [line(0, vis=6.0)]), ["visibility"], ["issue_ts", "line_no"]).collect()
+
+
+def test_coordinates_without_halves_are_listed(rows):
+    path = "Deviation Probability/FCST060/FLVL250/Contour/TRSH070/POLY003"
+    leaves = rows("source_file:string path:string coords:doubles", [("a", path, [1.0, 2.0, 3.0]), ("b", path, [1.0, 3.0]), ("c", "x", [1.0])])
+    assert [r.centroid_lat for r in polygon_rows(leaves).collect()] == [1.0]
+    assert [r.source_file for r in rejected_polygons(leaves).collect()] == ["a"]
+
+
 def test_change_line_over_base_line(rows):
     lines = [line(0, vis=6.0, wind=10.0), line(1, STARTED, wind=20.0)]
     assert in_force(rows, lines) == [(6.0, 20.0)]

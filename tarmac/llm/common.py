@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ from tarmac.session import scratch
 
 DOCUMENT_COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
-#: Rows of one batch that Python tasks work on at once; texts may be long, so it is small.
+#: Rows and bytes of text that Python tasks work on at once; a longer text is a batch of its own.
 BATCH = 512
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,8 +65,7 @@ def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
+            for part in slices(whole):
                 made = function({c: part.column(c).to_pylist() for c in given})
                 columns = [part.column(f.name).cast(f.type) if f.name in keep else _array(made[f.name], f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
@@ -72,6 +73,22 @@ def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list
     return df.mapInArrow(run, full)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows and few megabytes."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and (row - start >= BATCH or held + size > BATCH_BYTES):
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
     """Rows that come sorted by ``key`` as tables of about so many rows, none of which splits a group."""
     held: list[pa.RecordBatch] = []

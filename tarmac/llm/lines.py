@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import BATCH, cut, documents, map_rows, partitions, pick, whole_groups
+from tarmac.llm.common import cut, documents, map_rows, partitions, pick, slices, whole_groups
 
 PERCENT = 80
 #: Lines of fewer different words are neither removed nor compared.
@@ -27,6 +25,9 @@ FEW_ASKED = 50_000
 MANY = 20_000
 MOST_PARTS = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E6C63D0876A9A4B
+_VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)[np.frombuffer(_LOWER, dtype=np.uint8)]
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -35,6 +36,36 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the words of a text and where they begin. Letters A-Z count as lower case.
+
+    A name is a polynomial in the bytes' table values, read off running sums and brought to the word's beginning by the
+    inverse power, then mixed with the length.
+    """
+    n = len(data)
+    power, inverse = _powers(n)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
+    edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    names = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[2]
+    return _mix(_mix(names, 0), 1), start
+
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64, kept for the next text."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.cumprod(steps)
+    return _POWERS["up"], _POWERS["down"]
+
+
 class Lines:
     """The lines of a batch of texts as ragged arrays.
 
@@ -43,31 +74,25 @@ class Lines:
     """
 
     def __init__(self, texts: list[str | None], rarity: np.ndarray | None = None):
-        words: list[bytes] = []
-        sizes: list[int] = []
-        self.owner, self.number = [], []
-        for place, text in enumerate(texts):
-            for number, line in enumerate((text or "").encode().translate(_LOWER).split(b"\n")):
-                own = line.split()
-                words += own
-                sizes.append(len(own))
-                self.owner.append(place)
-                self.number.append(number)
-        different = list({*words})
-        names = np.fromiter(map(xxhash.xxh3_64_intdigest, different), dtype=np.uint64, count=len(different))
-        order = np.argsort(names) if rarity is None else np.lexsort((names, rarity[_bucket(names)]))
-        self.names = names[order]
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        place_of = dict(zip(different, rank.tolist()))
-        of = max(1, len(order))
-        keys = np.fromiter(map(place_of.__getitem__, words), dtype=np.int64, count=len(words))
-        keys += np.repeat(np.arange(len(sizes)) * of, sizes)
+        lengths = np.array([(t or "").count("\n") + 1 for t in texts], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), lengths)
+        self.number = np.arange(len(self.owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        data = np.frombuffer("\n".join(t or "" for t in texts).encode(), dtype=np.uint8)
+        names, at = word_names(data)
+        line = np.searchsorted(np.flatnonzero(data == 10), at)
+        self.names, place = np.unique(names, return_inverse=True)
+        if rarity is not None:
+            order = np.argsort(rarity[_bucket(self.names)], kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            self.names, place = self.names[order], rank[place]
+        of = max(1, len(self.names))
+        keys = line * of + place
         keys.sort()
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         line, self.words = np.divmod(keys, of)
-        self.size = np.bincount(line, minlength=len(sizes))
-        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.size = np.bincount(line, minlength=len(self.owner))
+        self.start = np.cumsum(self.size) - self.size
 
     def _folded(self, of_name: np.ndarray, how: np.ufunc) -> np.ndarray:
         """One value for each line from those of its words."""
@@ -102,11 +127,10 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                texts = batch.column("text").slice(start, BATCH).to_pylist()
-                counts = Counter("\n".join(t or "" for t in texts).encode().translate(_LOWER).split())
-                names = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), dtype=np.uint64, count=len(counts))
-                np.add.at(total, _bucket(names), np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
+            for part in slices(batch):
+                text = "\n".join(t or "" for t in part.column("text").to_pylist())
+                names, _ = word_names(np.frombuffer(text.encode(), dtype=np.uint8))
+                total += np.bincount(_bucket(names), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
 
@@ -144,7 +168,7 @@ def sketched(docs: DataFrame, table: np.ndarray, percent: int, least: int) -> Da
         spans = list(zip(lines.start[used].tolist(), ends.tolist()))
         return {
             "d1": d1[used], "d2": d2[used],
-            "doc_id": [batch["doc_id"][lines.owner[i]] for i in used], "line": [lines.number[i] for i in used],
+            "doc_id": [batch["doc_id"][i] for i in lines.owner[used].tolist()], "line": lines.number[used],
             "n": n, "low": low[used], "high": high[used],
             "prefix": [short[s:e] for s, e in spans],
             "parts": [dealt[s:e] if split[e] > split[s] else None for s, e in spans],
@@ -158,16 +182,17 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     lists = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        lines = Lines(batch["text"])
-        out: dict[str, list] = {"doc_id": [], "line": [], "names": []}
+        place = [(i, n) for i, own in enumerate(batch["wanted"]) for n in own]
+        split = [(t or "").split("\n") for t in batch["text"]]
+        place = [(i, n) for i, n in place if n < len(split[i])]
+        lines = Lines([split[i][n] for i, n in place])
         names = lines.names.view(np.int64)[lines.words]
-        sets = [set(w) for w in batch["wanted"]]
-        for i, (owner, number) in enumerate(zip(lines.owner, lines.number)):
-            if number in sets[owner]:
-                out["doc_id"].append(batch["doc_id"][owner])
-                out["line"].append(number)
-                out["names"].append(names[lines.start[i] : lines.start[i] + lines.size[i]])
-        return out
+        spans = zip(lines.start.tolist(), (lines.start + lines.size).tolist())
+        return {
+            "doc_id": [batch["doc_id"][i] for i, _ in place],
+            "line": [n for _, n in place],
+            "names": [names[s:e] for s, e in spans],
+        }
 
     lists = cut(lists, "line-lists")
     total = lists.agg(F.sum(F.size("wanted") + 1)).first()[0] or 0
@@ -189,6 +214,7 @@ def first_matches(key, n, p, order, low, high, percent: int) -> tuple[np.ndarray
     best = np.full(len(key), np.iinfo(np.int64).max)
     count = np.zeros(len(key), dtype=np.int64)
     place = np.argsort(order)  # of an order number
+    low, high = low.view(np.uint64), high.view(np.uint64)  # bits are counted of numbers without a sign
     at, step = np.arange(len(key)), 0
     while True:
         step += 1

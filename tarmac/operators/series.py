@@ -29,8 +29,8 @@ def dense_series(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
 
 
 def pivot_series(df: DataFrame, index: str, series: str, names: Sequence[str], value: str) -> DataFrame:
-    """One column per series; the names are given, so no extra pass looks them up."""
-    return df.groupBy(index).pivot(series, list(names)).agg(F.first(value))
+    """One column per series, the largest value where an index has several; the names are given, so no pass looks them up."""
+    return df.groupBy(index).pivot(series, list(names)).agg(F.max(value))
 
 
 def supervised_windows(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tarmac.functions import numeric, timebucket
 from tarmac.operators import submission
 from tarmac.operators.counts import zero_filled_arrivals
-from tarmac.operators.dedup import keep_first
 from tarmac.operators.joins import on_template
 from tarmac.plans import standins as s
 from tarmac.plans.registry import query
@@ -171,4 +170,4 @@ def complete_submission(spark, folder):
 def submission_in_order(spark, folder):
     """The finished table sorted by ID, as the CSV is written."""
     _, predictions = _template_and_predictions(spark, folder)
-    return keep_first(submission.to_submission(predictions), ["ID"], [F.col("Value")]).orderBy("ID")
+    return submission.to_submission(predictions).orderBy("ID")

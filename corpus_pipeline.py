@@ -6,36 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.llm import lines, mixing, neardup, pieces, quality
-from tarmac.llm.common import cut, documents, read
-from tarmac.session import configure
+from tarmac.llm.common import cut, documents, read, settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules and the cutoffs learnt from ``labels`` keep."""
-    return quality.keep_good(docs, read(configure(spark), sf_dir, "labels"))
+    return quality.keep_good(docs, read(settle(spark), sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines like an earlier one; documents that have no words left go."""
-    configure(spark)
+    settle(spark)
     return lines.keep_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest doc_id, of each group of near duplicates."""
-    configure(spark)
+    settle(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in shuffled order; copies are equal rows."""
-    configure(spark)
+    settle(spark)
     return documents(mixing.mix(docs))
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_ids, round_trip) of every row."""
-    configure(spark)
+    settle(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

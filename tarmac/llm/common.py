@@ -10,13 +10,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.session import scratch
+from tarmac.session import configure, scratch
 
 DOCUMENT_COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 #: Rows and bytes of text that Python tasks work on at once; a longer text is a batch of its own.
 BATCH = 512
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+
+
+#: Rows that Spark hands to a Python task at once; with texts of a few thousand characters some megabytes.
+ARROW_ROWS = 2000
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """The settings that the queries of this part rely on."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return spark
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +80,7 @@ def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list
                 made = function({c: part.column(c).to_pylist() for c in given})
                 columns = [part.column(f.name).cast(f.type) if f.name in keep else _array(made[f.name], f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
+        pa.default_memory_pool().release_unused()  # the process lives on for other tasks
 
     return df.mapInArrow(run, full)
 

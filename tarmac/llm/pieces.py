@@ -17,7 +17,7 @@ SPACE = "▁"
 #: What a character without a piece costs more than the rarest piece; it is written as its bytes.
 UNKNOWN_PENALTY = 10.0
 #: A task remembers the ids of so many words, none longer than 64 characters, then begins anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 CHUNK = 4096
 #: Words of no more characters are searched in step.
 SHORT = 24
@@ -157,8 +157,8 @@ class Pieces:
             known.clear()
         new = {w for words in cut for w in words}.difference(known)
         short = [w for w in new if len(w) <= SHORT]
-        for start in range(0, len(short), 20_000):
-            self._in_step(short[start : start + 20_000])
+        for start in range(0, len(short), 8_000):
+            self._in_step(short[start : start + 8_000])
         for word in new.difference(known):
             known[word] = self._streamed(word).tobytes()
         ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in cut]

@@ -9,8 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, repeats, tokens, toxicity
-from tarmac.llm.common import read
-from tarmac.session import configure
+from tarmac.llm.common import read, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def query(function: Callable[[SparkSession, str], DataFrame]):
     @wraps(function)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return function(configure(spark), folder)
+        return function(settle(spark), folder)
 
     QUERIES[function.__name__] = run
     return function

@@ -15,7 +15,7 @@ from tarmac.llm.common import map_rows, pick
 
 LIMIT = 2048
 #: A task remembers the counts of so many words, none longer than 64 characters, then begins anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 _SPACE = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _BEYOND = regex.compile(r"[^\x00-\u024f]")

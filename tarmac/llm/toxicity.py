@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,7 @@ from tarmac.llm.common import FEW_IDS, map_rows, pick
 
 #: At most so many labelled rows become examples, those whose ids have the smallest hashes.
 EXAMPLES = 20_000
-#: At most so many terms become features. A term is one if its share of toxic rows is at least five times the overall one (or
-#: half of all, where that is less) or at most a fifth of it, and if this is no chance: its chi-square is over the limit.
-FEATURES = 512
-LIFT = 5.0
 BEGINNINGS = (4, 5)
-LEAST_CHI2 = 40.0
 NEIGHBOURS = 25
 THRESHOLD = 0.3
 #: Weight of a vote is one over the square of the distance (one minus the cosine) plus this.
@@ -29,6 +25,10 @@ NEAREST = 0.05
 #: The overall rate counts as one more vote of weight 1.
 PRIOR = 1.0
 BLOCK = 128
+#: At most so many terms that more than this share of the examples hold are bounded before they are added up; both numbers
+#: set the speed, not results.
+COMMON_TERMS = 512
+COMMON = 0.2
 REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,144 +60,202 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): in how many labelled rows of either kind each term occurs."""
+    """(word, n): in how many labelled rows each term occurs, for the terms of the examples (rows with ``chosen``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts, own = Counter(), set()
 
         def flush() -> pa.RecordBatch:
-            seen = sorted({*counts[0], *counts[1]})
-            made = [pa.array(seen, pa.string()), *(pa.array([c[w] for w in seen], pa.int64()) for c in (counts[1], counts[0]))]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays(made, names=["word", "toxic", "clean"])
+            seen = sorted(counts)
+            made = [pa.array(seen, pa.string()), pa.array([counts[w] for w in seen], pa.int64()), pa.array([w in own for w in seen], pa.bool_())]
+            counts.clear()
+            own.clear()
+            return pa.RecordBatch.from_arrays(made, names=["word", "n", "own"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                counts[toxic].update(terms(text).keys())
-                if len(counts[0]) + len(counts[1]) > 300_000:
+            for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
+                found = terms(text).keys()
+                counts.update(found)
+                if chosen:
+                    own.update(found)
+                if len(counts) > 300_000:
                     yield flush()
         yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, "word string, toxic bigint, clean bigint").groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    )
-
-
-def features(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms that tell toxic rows from clean ones, with their inverse document frequency."""
-    n = n_toxic + n_clean
-    if not n_toxic or not n_clean:
-        return {}
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    c, d = F.lit(float(n_toxic)) - a, F.lit(float(n_clean)) - b
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * F.greatest(c + d, F.lit(1.0)) * F.lit(float(n_toxic)) * F.lit(float(n_clean)))
-    lift = (a / (a + b)) / F.lit(n_toxic / n)
-    telling = counts.withColumns({"chi2": chi2, "lift": lift}).filter((F.col("chi2") >= LEAST_CHI2) & ((F.col("lift") >= min(LIFT, 0.5 * n / n_toxic)) | (F.col("lift") <= 1 / LIFT)))
-    best = telling.orderBy(F.desc("chi2"), "word").limit(FEATURES).collect()
-    return {r["word"]: math.log((1 + n) / (1 + r["toxic"] + r["clean"])) + 1 for r in best}
+    counts = rows.select("text", "chosen").mapInArrow(run, "word string, n bigint, own boolean").groupBy("word")
+    return counts.agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("own").select("word", "n")
 
 
 def vector(text: str | None, idf: dict[str, float]) -> tuple[tuple[str, float], ...]:
-    """TF-IDF of the features in a text, of length one; empty without any."""
+    """TF-IDF of the known terms in a text, of length one; empty without any."""
     raw = [(w, (1 + math.log(n)) * idf[w]) for w, n in sorted((w, n) for w, n in terms(text).items() if w in idf)] if idf else []
     norm = math.sqrt(sum(x * x for _, x in raw))
     return tuple((w, x / norm) for w, x in raw)
 
 
 class Index:
-    """Inverted lists of the examples, cut into blocks of 128 examples; each list knows its largest weight in each block.
+    """Inverted lists of the examples, cut into blocks of 128 examples; each list of a common term knows its largest weight
+    in each block.
 
-    A query's best possible cosine in a block is the sum of its weights times those maxima. Blocks are opened from the best
-    bound down and only while the bound is not below the cosine of the k-th neighbour found, so the result is exact.
+    Lists of rare terms are added up in full. What the common terms can add to an example is at most the sum of the query's
+    weights times the block's maxima, and at most the product of the lengths of both vectors' common parts. The k-th cosine
+    among the examples of best bounds is a floor; only blocks whose bound reaches it are opened, and in them the examples
+    whose own bound does, so the result is exact.
     """
 
-    def __init__(self, examples: list[tuple[int, int, tuple[tuple[str, float], ...]]], idf: dict[str, float]):
-        toxic_empty = [y for _, y, v in examples if not v]
-        # like examples lie together, so that bounds are tight
-        examples = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2], key=lambda x: (-x[1], x[0])), e[0]))
-        self.ids = np.array([i for i, _, _ in examples], dtype=np.int64)
-        self.toxic = np.array([y for _, y, _ in examples], dtype=np.float64)
-        total = len(examples) + len(toxic_empty)
+    def __init__(self, examples: Iterable[tuple[int, int, tuple[tuple[str, float], ...]]], idf: dict[str, float]):
+        self.number = {w: i for i, w in enumerate(sorted(idf))}
+        self.idf = np.array([idf[w] for w in self.number])
+        self._fill((i, y, *self._parts(v)) for i, y, v in examples)
+
+    @classmethod
+    def of_arrays(cls, examples: Iterable[tuple[int, int, np.ndarray, np.ndarray]], idf: dict[str, float]) -> Index:
+        """From examples whose terms are places in the sorted words of ``idf``."""
+        index = cls((), idf)
+        index._fill(examples)
+        return index
+
+    def _parts(self, v: tuple[tuple[str, float], ...]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([self.number[w] for w, _ in v], dtype=np.int32), np.array([x for _, x in v], dtype=np.float64)
+
+    def _fill(self, examples: Iterable[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        full, toxic_empty = [], []
+        for i, y, words, weights in examples:
+            if len(words):
+                # like examples lie together, so that bounds are tight
+                strongest = np.lexsort((words, -weights))[:8]
+                full.append((tuple(zip((-weights[strongest]).tolist(), words[strongest].tolist())), i, y, words, weights))
+            else:
+                toxic_empty.append(y)
+        full.sort(key=lambda e: ([(w, x) for x, w in e[0]], e[1]))
+        self.ids = np.array([i for _, i, *_ in full], dtype=np.int64)
+        self.toxic = np.array([y for _, _, y, *_ in full], dtype=np.float64)
+        total = len(full) + len(toxic_empty)
         self.rate = (float(self.toxic.sum()) + sum(toxic_empty)) / total if total else 0.0
         self.rate_empty = (sum(toxic_empty) + PRIOR * self.rate) / (len(toxic_empty) + PRIOR)
-        self.idf = idf
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for place, (_, _, v) in enumerate(examples):
-            for w, x in v:
-                lists.setdefault(w, []).append((place, x))
-        self.blocks = -(-len(examples) // BLOCK)
-        self.lists = {}
-        for w, entries in lists.items():
-            places, weights = np.array([p for p, _ in entries]), np.array([x for _, x in entries])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, places // BLOCK, weights)
-            self.lists[w] = (places, weights, most, np.searchsorted(places, np.arange(self.blocks + 1) * BLOCK))
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.blocks = -(-len(full) // BLOCK)
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
+        if not full:
+            return
+        sizes = np.array([len(e[3]) for e in full])
+        words, weights = np.concatenate([e[3] for e in full]), np.concatenate([e[4] for e in full])
+        del full
+        places = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        held = np.bincount(words, minlength=len(self.number))
+        common = held > COMMON * len(sizes)
+        common[np.argsort(-held, kind="stable")[COMMON_TERMS:]] = False
+        #: places of common terms in the arrays below, -1 for rare ones
+        self.common = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        often = common[words]
+        # common terms, a row for each example
+        self.rows = np.zeros((len(sizes), int(common.sum())))
+        self.rows[places[often], self.common[words[often]]] = weights[often]
+        self.length = np.sqrt((self.rows**2).sum(axis=1))
+        self.most = np.maximum.reduceat(self.rows, np.arange(0, len(sizes), BLOCK))
+        # rare terms, term by term
+        words, places, weights = words[~often], places[~often], weights[~often]
+        order = np.argsort(words, kind="stable")
+        self.r_places, self.r_weights = places[order], weights[order]
+        self.r_starts = np.concatenate([[0], np.cumsum(np.where(common, 0, held))])
 
     def nearest(self, query: tuple[tuple[str, float], ...], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k largest (cosine, place), ties by place; examples without a common word are none."""
-        lists = [(self.lists[w], x) for w, x in query if w in self.lists]
-        if not lists:
+        return self._nearest(*self._parts(tuple((w, x) for w, x in query if w in self.number)), k)
+
+    def _nearest(self, words: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        if not self.blocks or not len(words):
             return []
-        bound = sum(x * most for (_, _, most, _), x in lists)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] + 1e-9 < best[-1][0]):
-                break
-            scores = np.zeros(BLOCK)
-            for (places, weights, _, starts), x in lists:
-                part = slice(starts[block], starts[block + 1])
-                scores[places[part] - block * BLOCK] += x * weights[part]
+        n = len(self.ids)
+        often = self.common[words] >= 0
+        ask = np.zeros(self.rows.shape[1])
+        ask[self.common[words[often]]] = weights[often]
+        starts, ends = self.r_starts[words[~often]], self.r_starts[words[~often] + 1]
+        spans = list(zip(starts.tolist(), ends.tolist()))
+        sums = np.zeros(n)
+        if spans:
+            where = np.concatenate([self.r_places[s:e] for s, e in spans])
+            sums = np.bincount(where, np.concatenate([self.r_weights[s:e] for s, e in spans]) * np.repeat(weights[~often], ends - starts), n)
+        bound = sums + np.minimum(np.repeat(self.most @ ask, BLOCK)[:n], self.length * math.sqrt(float(ask @ ask)))
+        least = 0.0
+        if n > k:
+            likely = np.argpartition(-bound, k)[: 4 * k] if n <= 4 * k else np.argpartition(-bound, 4 * k)[: 4 * k]
             # rounded, so that ties don't hang on the order of sums
-            found = [(round(float(scores[i]), 9), block * BLOCK + int(i)) for i in np.flatnonzero(scores)]
-            best = sorted(best + found, key=lambda s: (-s[0], s[1]))[:k]
-        return best
+            least = float(np.sort(np.round(sums[likely] + self.rows[likely] @ ask, 9))[-k])
+        open_ = (bound > 0) & (bound + 1e-8 >= least)
+        found: list[tuple[float, int]] = []
+        for block in np.flatnonzero(np.logical_or.reduceat(open_, np.arange(0, n, BLOCK))).tolist():
+            first = block * BLOCK
+            inside = np.flatnonzero(open_[first : first + BLOCK])
+            scores = np.zeros(BLOCK)
+            scores[inside] = np.round(sums[first + inside] + self.rows[first + inside] @ ask, 9)
+            inside = inside[(scores[inside] >= least) & (scores[inside] > 0)]
+            found += zip(scores[inside].tolist(), (first + inside).tolist())
+        return sorted(found, key=lambda s: (-s[0], s[1]))[:k]
+
+    def _weighed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same as ``vector``, as arrays."""
+        counts = [(self.number[w], n) for w, n in terms(text).items() if w in self.number]
+        if not counts:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        words, times = np.array(sorted(counts)).T
+        weights = (1 + np.log(times)) * self.idf[words]
+        return words, weights / math.sqrt(float(weights @ weights))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Chance that a text is toxic, and the ids of its nearest examples."""
-        query = vector(text, self.idf)
-        if not query:
-            return self.rate_empty, []
-        if query not in self.known:
+        key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+        if key not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            near = self.nearest(query)
-            weights = [1 / (NEAREST + max(0.0, 1 - c)) ** 2 for c, _ in near]
-            votes = sum(w * self.toxic[p] for w, (_, p) in zip(weights, near))
-            score = (votes + PRIOR * self.rate) / (sum(weights) + PRIOR)
-            self.known[query] = (float(min(1.0, max(0.0, score))), [int(self.ids[p]) for _, p in near[:5]])
-        return self.known[query]
+            self.known[key] = self._score(*self._weighed(text))
+        return self.known[key]
+
+    def _score(self, words: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
+        if not len(words):
+            return self.rate_empty, []
+        near = self._nearest(words, weights)
+        weights = [1 / (NEAREST + max(0.0, 1 - c)) ** 2 for c, _ in near]
+        votes = sum(w * self.toxic[p] for w, (_, p) in zip(weights, near))
+        score = (votes + PRIOR * self.rate) / (sum(weights) + PRIOR)
+        return float(min(1.0, max(0.0, score))), [int(self.ids[p]) for _, p in near[:5]]
 
 
 def build_index(docs: DataFrame, labels: DataFrame) -> Index:
-    """Features from all labelled rows, examples from a bounded sample of them; both fit into the driver by their bounds."""
+    """Examples are a bounded sample of the labelled rows, with all their terms; inverse document frequencies are over all
+    labelled rows. The driver holds the terms of at most ``EXAMPLES`` texts."""
     rows = labelled(docs, labels)
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    idf = features(word_counts(rows), sizes.get(1, 0), sizes.get(0, 0))
-    share = EXAMPLES / max(1, sum(sizes.values()))
-    chosen = rows
+    n = rows.count()
+    share = EXAMPLES / max(1, n)
+    drawn = F.lit(True)
     if share < 1:
         # a little fewer than wanted are drawn by hash, so that the bound holds; the limit only guards it
-        chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.97 * share * 1_000_000))
+        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.97 * share * 1_000_000)
+    rows = rows.withColumn("chosen", drawn)
+    idf = {r["word"]: math.log((1 + n) / (1 + r["n"])) + 1 for r in word_counts(rows).toLocalIterator()}
+    number = {w: i for i, w in enumerate(sorted(idf))}
+    known = docs.sparkSession.sparkContext.broadcast((idf, number))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
+        idf, number = known.value
         vectors = [vector(t, idf) for t in batch["text"]]
-        return {"words": [[w for w, _ in v] for v in vectors], "weights": [[x for _, x in v] for v in vectors]}
+        return {
+            "words": [np.array([number[w] for w, _ in v], dtype=np.int32).tobytes() for v in vectors],
+            "weights": [np.array([x for _, x in v], dtype=np.float64).tobytes() for v in vectors],
+        }
 
-    made = map_rows(chosen.select("doc_id", "toxic", "text"), run, "words array<string>, weights array<double>", ("doc_id", "toxic")).limit(EXAMPLES)
-    examples = [(r["doc_id"], r["toxic"], tuple(zip(r["words"], r["weights"]))) for r in made.toLocalIterator()]
-    return Index(examples, idf)
+    made = map_rows(rows.filter("chosen").select("doc_id", "toxic", "text"), run, "words binary, weights binary", ("doc_id", "toxic")).limit(EXAMPLES)
+    examples = ((r["doc_id"], r["toxic"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["weights"])) for r in made.toLocalIterator())
+    return Index.of_arrays(examples, idf)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every document; evidence are the ids of its nearest examples.
 
     The score is the weighted share of toxic ones among the 25 nearest examples by cosine, with the overall rate as one
-    more vote. A text without any feature gets the rate of examples without any. Only texts are looked at; labels of rows
+    more vote. Cosines are over all terms that an example holds; a text without any gets the rate of examples without any. Only texts are looked at; labels of rows
     whose crc32(doc_id) mod 4 is 2 are never read.
 
-    Null or empty text: no features. Null doc_id: not held out, not learnt from. Repeated rows: each scored, labels of one
+    Null or empty text: no terms. Null doc_id: not held out, not learnt from. Repeated rows: each scored, labels of one
     id count once by the highest. No labels, or of one kind only: every score is the overall rate. Empty table: empty
     result. Other columns are left out.
     """

@@ -193,6 +193,32 @@ def test_sample_keeps_its_bound(docs, labels, monkeypatch):
     assert 0 < len(index.ids) <= 100
 
 
+def test_a_rare_toxic_word_is_compared(docs, labels):
+    """Three of forty toxic examples prove no feature (chi-square 20), but they hold the word."""
+    import zlib
+
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2][:300]
+    plain = {i: " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + (i * 3 + k * k) % 26)}" for k in range(6)) for i in ids}
+    own = {i: plain[i] + (" zaunkoenig" if i in ids[:3] else "") for i in ids}
+    index = toxicity.build_index(docs(list(own.items())), labels([(i, 1, int(i in ids[:40])) for i in ids]))
+    score, evidence = index.score("zaunkoenig")
+    assert sorted(evidence) == ids[:3]
+    assert score > 5 * index.rate
+
+
+def test_common_terms_are_bounded_and_exact(examples, monkeypatch):
+    idf, rows = examples
+    draw = random.Random(6)
+    queries = [toxicity.vector(" ".join(draw.choice(list(idf)) for _ in range(6)), idf) for _ in range(40)]
+    found = []
+    for share, most in ((0.0, 512), (0.1, 5), (2.0, 512)):
+        monkeypatch.setattr(toxicity, "COMMON", share)
+        monkeypatch.setattr(toxicity, "COMMON_TERMS", most)
+        index = toxicity.Index(rows, idf)
+        found.append([index.nearest(q) for q in queries])
+    assert found[0] == found[1] == found[2]
+
+
 def test_toxicity_of_odd_rows(odd, empty, labels):
     for marks in ([], [(4, 1, 1)], [(4, 1, 1), (5, 1, 0), (4, 1, 1), (None, 1, 1), (6, 1, None), (2, 1, 0)]):
         found = toxicity.toxicity(odd, labels(marks)).collect()

@@ -13,9 +13,8 @@ from tarmac.llm.common import cut, documents, map_rows, pick
 #: Share of good documents of one stratum that all rules together may reject, and the chance that this is missed.
 RISK = 0.02
 DELTA = 0.05
-#: Languages with a threshold of their own: those with most good labelled documents; the others share one stratum.
-STRATA = 64
-REST = "\x00rest"
+#: Languages with proven cutoffs are broadcast if there are no more than this.
+FEW_STRATA = 100_000
 #: The rules: a measure, and cutoffs from lenient to strict. A document that measures over the cutoff is rejected.
 RULES = {
     "symbol_ratio": tuple(x / 100 for x in (200, 100, 75, 50, 40, 30, 25, 20, 15, 12, 10, 8, 6, 5, 4, 3)),
@@ -111,16 +110,20 @@ def log_binomial_tail(k: int, n: int, p: float) -> float:
     return min(0.0, term + math.log(total))
 
 
-def choose_cutoffs(counts: dict[tuple[str, str], list[int]], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
+def _level(strata: int, delta: float = DELTA) -> float:
+    return math.log(delta / (len(RULES) * max(1, strata)))
+
+
+def choose_cutoffs(counts: dict[tuple[str, str], list[int]], risk: float = RISK, delta: float = DELTA, strata: int | None = None) -> dict[tuple[str, str], float]:
     """Cutoff of each (stratum, rule): the strictest that is proven to reject few good documents.
 
     ``counts`` has for each stratum and rule the good documents by the number of cutoffs they exceed. A rule may reject
     ``risk`` over the number of rules; a cutoff is proven if so few rejections as seen had a chance of at most ``delta``
     over the number of (stratum, rule) pairs (Bonferroni) were its true rate higher. Within a pair cutoffs are tested from
-    lenient to strict up to the first that fails, which needs no further correction. No proof, no rule.
+    lenient to strict up to the first that fails, which needs no further correction. No proof, no rule. ``strata`` is
+    their number where ``counts`` leaves some out.
     """
-    strata = {s for s, _ in counts}
-    level = math.log(delta / (len(RULES) * max(1, len(strata))))
+    level = _level(strata or len({s for s, _ in counts}), delta)
     chosen = {}
     for (stratum, rule), exceeded in sorted(counts.items()):
         n, rejected = sum(exceeded), 0
@@ -136,46 +139,47 @@ def choose_cutoffs(counts: dict[tuple[str, str], list[int]], risk: float = RISK,
 def learn_cutoffs(measures: DataFrame, labels: DataFrame) -> dict[tuple[str, str], float]:
     """Cutoffs from all labelled good documents that pass the fixed rules.
 
-    Good is a doc_id whose labels say quality 1 at least once and never 0. Only counts per stratum, rule and cutoff leave
-    the cluster: at most 65 strata times 5 rules times 17 steps.
+    Good is a doc_id whose labels say quality 1 at least once and never 0. Every language is a stratum. Only counts per
+    stratum, rule and cutoff leave the cluster, and only of strata with so many documents that a proof is possible.
     """
     marks = pick(labels, "doc_id", "quality").filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"))
     good = measures.filter(~base_failed()).join(marks.filter("q = 1").select("_id"), F.col("doc_id") == F.col("_id"))
-    languages = good.groupBy(F.coalesce("lang", F.lit("")).alias("l")).count().orderBy(F.desc("count"), "l").limit(STRATA).collect()
-    own = [r["l"] for r in languages]
-    stratum = _stratum(own)
     steps = F.array(
         *[
             F.struct(F.lit(rule).alias("rule"), _exceeded(F.col(rule), cutoffs).alias("step"))
             for rule, cutoffs in RULES.items()
         ]
     )
-    table = good.select(stratum.alias("stratum"), F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.step").count()
+    table = good.select(_stratum().alias("stratum"), F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.step").count()
+    table = cut(table.groupBy("stratum").agg(F.collect_list(F.struct("rule", "step", "count")).alias("steps"), F.sum("count").alias("n")), "strata")
+    strata = table.count()
+    least = _level(strata) / math.log1p(-RISK / len(RULES))  # fewer prove nothing, even if none is rejected
     counts: dict[tuple[str, str], list[int]] = {}
-    for stratum_, rule, step, n in table.collect():
-        counts.setdefault((stratum_, rule), [0] * (len(RULES[rule]) + 1))[step] = n
-    return choose_cutoffs(counts)
+    for stratum, found in table.filter(F.col("n") >= int(least) * len(RULES)).select("stratum", "steps").toLocalIterator():
+        for rule, step, n in found:
+            counts.setdefault((stratum, rule), [0] * (len(RULES[rule]) + 1))[step] = n
+    return choose_cutoffs(counts, strata=strata)
 
 
 def _exceeded(value: Column, cutoffs: tuple[float, ...]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: c < value))
 
 
-def _stratum(own: list[str]) -> Column:
-    language = F.coalesce("lang", F.lit(""))
-    return F.when(language.isin(own), language).otherwise(F.lit(REST)) if own else F.lit(REST)
+def _stratum() -> Column:
+    return F.coalesce("lang", F.lit(""))
 
 
-def verdict(cutoffs: dict[tuple[str, str], float]) -> Column:
-    """True where no rule of the document's stratum rejects it."""
+def passing(rows: DataFrame, cutoffs: dict[tuple[str, str], float]) -> DataFrame:
+    """The rows beside ``_passes``: whether no fixed rule and no learnt rule of the document's own stratum rejects it. A
+    stratum without a proof has no learnt rules."""
     strata = sorted({s for s, _ in cutoffs})
-    rejected = F.lit(False)
-    by_stratum = _stratum([s for s in strata if s != REST]) if strata else F.lit(REST)
+    schema = ", ".join(["_stratum string"] + [f"_cut_{rule} double" for rule in RULES])
+    table = rows.sparkSession.createDataFrame([(s, *(cutoffs.get((s, rule)) for rule in RULES)) for s in strata], schema)
+    joined = rows.join(F.broadcast(table) if len(strata) <= FEW_STRATA else table, _stratum() == F.col("_stratum"), "left")
+    rejected = base_failed()
     for rule in RULES:
-        for cutoff in sorted({c for (_, r), c in cutoffs.items() if r == rule}):
-            where = [s for s in strata if cutoffs.get((s, rule)) == cutoff]
-            rejected = rejected | (by_stratum.isin(where) & (F.col(rule) > F.lit(cutoff)))
-    return ~rejected
+        rejected = rejected | F.coalesce(F.col(rule) > F.col(f"_cut_{rule}"), F.lit(False))
+    return joined.withColumn("_passes", ~rejected)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,8 +192,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     not good. Empty labels: the fixed rules alone. Empty table: empty result. Other columns are left out.
     """
     rows = cut(measured(documents(docs), ("doc_id", "lang")), "quality")
-    kept = ~base_failed() & verdict(learn_cutoffs(rows, labels))
-    return rows.select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept.alias("kept"), *RULES)
+    rows = passing(rows, learn_cutoffs(rows, labels))
+    return rows.select("doc_id", *COUNTS, base_failed().alias("base_failed"), F.col("_passes").alias("kept"), *RULES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,4 +201,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = documents(docs)
     rows = cut(measured(docs, ("doc_id", "lang")), "quality")
     cutoffs = learn_cutoffs(rows, labels)
-    return measured(docs, tuple(docs.columns)).filter(~base_failed() & verdict(cutoffs)).select(*docs.columns)
+    return passing(measured(docs, tuple(docs.columns)), cutoffs).filter("_passes").select(*docs.columns)

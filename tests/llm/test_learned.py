@@ -100,6 +100,21 @@ def test_learnt_rules_reject_shouting_and_keep_the_rest(docs, labels):
     assert quality.keep_good(docs(rows), labels(marks)).count() == pytest.approx(sum(kept.values()), abs=2)
 
 
+@pytest.mark.parametrize("each, proven", [(2500, True), (400, False)])
+def test_every_language_is_proven_by_its_own_documents(spark, labels, each, proven):
+    """Seventy languages: none is pooled with others, whose documents would prove or disprove its rules."""
+    rows = spark.range(70 * each).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 70).cast("string")).alias("lang"),
+        *[F.lit(40 if c == "n_words" else 0).cast("bigint").alias(c) for c in quality.COUNTS], *[F.lit(0.0).alias(r) for r in quality.RULES],
+    )
+    marks = spark.range(70 * each).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    cutoffs = quality.learn_cutoffs(rows, marks)
+    assert {s for s, _ in cutoffs} == ({f"l{i}" for i in range(70)} if proven else set())
+    shouting = rows.limit(1).withColumns({"capital_ratio": F.lit(1.0), "lang": F.explode(F.array(F.lit("new"), F.lit("l5"), F.lit(None)))})
+    passed = {r["lang"]: r["_passes"] for r in quality.passing(shouting, cutoffs).collect()}
+    assert passed == {"new": True, None: True, "l5": not proven}
+
+
 def test_quality_of_odd_rows(odd, empty, labels):
     found = quality.quality(odd, labels([(4, 1, 0), (4, 0, 0), (None, None, None)])).collect()
     assert len(found) == len(ODD_ROWS)

@@ -17,7 +17,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Names that announce a credential, then a sign or a quote, then the value.
 CONTEXT = re.compile(
     r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|signing)[_-]?key|auth(?:orization)?|credentials?|bearer)"""
-    r"""["']?(?:\x20{0,8}(?:=>|:=|[:=])\x20{0,8}(?:bearer\x20|basic\x20)?["']?|\x20["'])([^\s"'<>,;]{6,})"""
+    r"""["']?(?:[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+(?:bearer[\x20\t]++|basic[\x20\t]++)?["']?|\x20["'])([^\s"'<>,;]{6,})"""
 )
 _MARKS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
 #: A value is a secret if guessing it takes this many tries or more, as a power of ten.
@@ -118,7 +118,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         taken = sorted(spans)
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(a < end and start < b for a, b, _ in taken) and log_guesses(text[start:end]) >= LOG_GUESSES:
+            if not any(a <= start and end <= b for a, b, _ in taken) and log_guesses(text[start:end]) >= LOG_GUESSES:
                 spans.append((start, end, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -130,8 +130,8 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def secrets(docs: DataFrame) -> DataFrame:
     """Secrets of every document: counts by kind, the SHA-256 of the base spans, all spans, the cheapest guess.
 
-    Base spans come from three patterns. The method adds a span of kind ``guess`` for a value behind the name of a
-    credential that no base span touches and that takes 10^10 guesses or more; ``n_weak`` counts values of base
+    Base spans come from three patterns. The method adds a span of kind ``guess`` for a whole value behind the name of a
+    credential that no base span covers in full and that takes 10^10 guesses or more; ``n_weak`` counts values of base
     assignments that take fewer.
 
     Null or empty text: no spans, the hash of the empty string. Null doc_id and repeated rows: rows of their own. Empty

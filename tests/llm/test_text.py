@@ -78,6 +78,18 @@ def test_added_spans_leave_base_ones(docs):
     assert rows[2]["spans"] == rows[3]["spans"] == ""
 
 
+def test_values_are_scored_whole():
+    """A base span ends at the first character outside its set; the value does not."""
+    assert credentials.scan("password=abc123$Tr0ub4dor&3") == [(0, 15, "assign"), (9, 27, "guess")]
+    assert credentials.scan("password=Zq81kkWm20xv") == [(0, 21, "assign")]
+
+
+@pytest.mark.parametrize("sign", [" " * 12 + "= ", "\t=\t", ":" + " " * 40, " \t => \t"])
+def test_any_run_of_spaces_and_tabs_around_the_sign(sign):
+    text = f"pwd{sign}Xk9$mQ2!vbT"
+    assert credentials.scan(text) == [(3 + len(sign), len(text), "guess")]
+
+
 def test_secrets_of_odd_rows(odd, empty):
     found = credentials.secrets(odd).collect()
     assert len(found) == len(ODD_ROWS) and all(r["spans"] == "" for r in found)

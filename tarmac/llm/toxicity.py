@@ -7,13 +7,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import FEW_IDS, map_rows, pick
+from tarmac.llm.common import FEW_IDS, cut, map_rows, pick
 
 #: At most so many labelled rows become examples, those whose ids have the smallest hashes.
 EXAMPLES = 20_000
@@ -228,7 +229,7 @@ def build_index(docs: DataFrame, labels: DataFrame) -> Index:
     share = EXAMPLES / max(1, n)
     drawn = F.lit(True)
     if share < 1:
-        # a little fewer than wanted are drawn by hash, so that the bound holds; the limit only guards it
+        # a little fewer than wanted are drawn by hash, so that the bound holds; the end of the iterator only guards it
         drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.97 * share * 1_000_000)
     rows = rows.withColumn("chosen", drawn)
     idf = {r["word"]: math.log((1 + n) / (1 + r["n"])) + 1 for r in word_counts(rows).toLocalIterator()}
@@ -243,9 +244,9 @@ def build_index(docs: DataFrame, labels: DataFrame) -> Index:
             "weights": [np.array([x for _, x in v], dtype=np.float64).tobytes() for v in vectors],
         }
 
-    made = map_rows(rows.filter("chosen").select("doc_id", "toxic", "text"), run, "words binary, weights binary", ("doc_id", "toxic")).limit(EXAMPLES)
-    examples = ((r["doc_id"], r["toxic"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["weights"])) for r in made.toLocalIterator())
-    return Index.of_arrays(examples, idf)
+    made = map_rows(rows.filter("chosen").select("doc_id", "toxic", "text"), run, "words binary, weights binary", ("doc_id", "toxic"))
+    examples = ((r["doc_id"], r["toxic"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["weights"])) for r in cut(made, "examples").toLocalIterator())
+    return Index.of_arrays(islice(examples, EXAMPLES), idf)  # part by part, so that the driver never holds all rows at once
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import credentials, digest, lines, mixing, neardup, pieces, quality, repeats, tokens, toxicity
+from tarmac.llm import credentials, digest, lexical, lines, mixing, neardup, packing, pieces, quality, repeats, runs, tokens, toxicity
 from tarmac.llm.common import read, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,21 @@ def op9_token_counts(spark, folder):
 @query
 def op10_sentencepiece(spark, folder):
     return pieces.encode(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_lexical_search(spark, folder):
+    return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = lexical.SEARCH_SQL
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    return runs.periodic_runs(read(spark, folder, "documents"), rewrite=True)
+
+
+@query
+def op13_packing(spark, folder):
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

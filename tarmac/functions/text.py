@@ -34,9 +34,9 @@ def split_blocks(df: DataFrame, text: str = "value", block: str = "block", block
 
 
 def split_lines(df: DataFrame, block: str = "block", line: str = "line", line_no: str = "line_no") -> DataFrame:
-    """One row per line of a block, in order."""
+    """One row per line of a block, in order; one null line where there is no block."""
     others = [c for c in df.columns if c != block]
-    return df.select(*others, F.posexplode(F.split(F.col(block), "\n")).alias(line_no, line))
+    return df.select(*others, F.posexplode_outer(F.split(F.col(block), "\n")).alias(line_no, line))
 
 
 def clean_forecast_block(block: Column) -> Column:

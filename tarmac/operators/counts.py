@@ -57,13 +57,13 @@ def distinct_flights(
 
     A time exactly on the grid lies in the bucket that starts there and in the one that ends there.
     """
+    rows = flights_of_buckets(df, flight, station, at, minutes)
+    return rows.distinct().groupBy(station, "time_bucket").agg(F.count(flight).alias("flights"))
+
+
+def flights_of_buckets(df: DataFrame, flight: str, station: str, at: str, minutes: int) -> DataFrame:
+    """``station, flight, time_bucket`` of each row, once or, on the grid, twice."""
     start = floor_minutes(at, minutes)
     step = F.expr(f"INTERVAL {minutes} MINUTES")
     buckets = F.when(start == F.col(at), F.array(start, start - step)).otherwise(F.array(start))
-    return (
-        df.filter(F.col(at).isNotNull())
-        .select(station, flight, F.explode(buckets).alias("time_bucket"))
-        .distinct()
-        .groupBy(station, "time_bucket")
-        .agg(F.count(flight).alias("flights"))
-    )
+    return df.filter(F.col(at).isNotNull()).select(station, flight, F.explode(buckets).alias("time_bucket"))

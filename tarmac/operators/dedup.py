@@ -45,25 +45,35 @@ def first_seen(
     return keep_first(seen, [flight], [F.col(station_ord), F.col(at)])
 
 
-def first_seen_packed(
-    df: DataFrame, flight: str = "gufi", station_ord: str = "station_ord", at: str = "arrival_ts"
-) -> DataFrame:
-    """``first_seen`` for the three columns alone, as ``station_ord, arrival_ts``.
+_HALF = 1 << 53
+
 
-    Station place and time are packed into one long, whose minimum is a plain hash aggregate without a sort. Places
-    below 256 and the years 1684 to 2255 fit; anything else stops the job.
+def packed_first_value(station_ord: str = "station_ord", at: str = "arrival_ts") -> Column:
+    """Station place and time as one long, which orders as the pair does.
+
+    Places below 256 and the years 1684 to 2255 fit; anything else stops the job.
     """
-    half = 1 << 53
     us = epoch_us(at)
-    fits = us.between(-half, half - 1) & F.col(station_ord).between(0, 255)
-    packed = F.shiftleft(F.col(station_ord).cast("long"), 54) + us + F.lit(half)
-    guarded = F.when(fits, packed).otherwise(F.raise_error(F.lit("station place or time out of range")).cast("long"))
+    fits = us.between(-_HALF, _HALF - 1) & F.col(station_ord).between(0, 255)
+    packed = F.shiftleft(F.col(station_ord).cast("long"), 54) + us + F.lit(_HALF)
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("station place or time out of range")).cast("long"))
+
+
+def packed_first(
+    df: DataFrame, flight: str = "gufi", station_ord: str = "station_ord", at: str = "arrival_ts"
+) -> DataFrame:
+    """``flight, first``: the least packed value of each flight, a plain hash aggregate without a sort."""
     seen = df.filter(F.col(flight).isNotNull() & F.col(station_ord).isNotNull() & F.col(at).isNotNull())
-    return (
-        seen.groupBy(flight)
-        .agg(F.min(guarded).alias("_first"))
-        .select(
-            F.shiftright("_first", 54).cast("int").alias(station_ord),
-            from_us(F.col("_first").bitwiseAND(F.lit((1 << 54) - 1)) - half).alias(at),
-        )
-    )
+    return seen.groupBy(flight).agg(F.min(packed_first_value(station_ord, at)).alias("first"))
+
+
+def unpacked_first(first: Column, station_ord: str = "station_ord", at: str = "arrival_ts") -> list[Column]:
+    time = from_us(first.bitwiseAND(F.lit((1 << 54) - 1)) - _HALF)
+    return [F.shiftright(first, 54).cast("int").alias(station_ord), time.alias(at)]
+
+
+def first_seen_packed(
+    df: DataFrame, flight: str = "gufi", station_ord: str = "station_ord", at: str = "arrival_ts"
+) -> DataFrame:
+    """``first_seen`` for the three columns alone, as ``station_ord, arrival_ts``."""
+    return packed_first(df, flight, station_ord, at).select(*unpacked_first(F.col("first"), station_ord, at))

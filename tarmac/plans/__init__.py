@@ -2,6 +2,7 @@
 
 from tarmac.plans import registry
 from tarmac.plans import (  # noqa: F401  (importing registers the queries)
+    arriving,
     files,
     flights,
     ids,

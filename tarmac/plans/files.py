@@ -8,10 +8,21 @@ from tarmac import schemas
 from tarmac.functions.timebucket import lenient_timestamp
 from tarmac.operators.counts import throughput
 from tarmac.plans.registry import query
-from tarmac.plans.reports import _OBSERVATION_LINES, STATIONS, observation_texts
-from tarmac.session import scratch
+from tarmac.plans.reports import _FORECAST_LINES, _KINDS_SQL, _OBSERVATION_LINES, STATIONS, forecast_texts, observation_texts
+from tarmac.session import scratch, settings
 from tarmac.sources import flights, reports
-from tarmac.sources.tables import compact, read_csv, read_parts, read_template, table, transform_table, write_csv, write_table
+from tarmac.sources.records import read_blocks
+from tarmac.sources.tables import (
+    compact,
+    read_csv,
+    read_parts,
+    read_sound_parts,
+    read_template,
+    table,
+    transform_table,
+    write_csv,
+    write_table,
+)
 from tarmac.streaming.ingest import append_new, stream_new_files
 
 
@@ -141,6 +152,94 @@ def whole_text_scan(spark, folder):
     )
 
 
+#: Splits of report files in the queries: far smaller than on a cluster, so that a file has several.
+_SPLITS = {"spark.sql.files.maxPartitionBytes": "200k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.files.minPartitionNum": "64"}
+
+
+@query(
+    "split_report_scan",
+    f"""WITH {_OBSERVATION_LINES}, kept AS (SELECT *, split_part(source_file, '/', 1)::BIGINT AS event FROM lines)
+    SELECT event, substr(line, 1, 4) AS station_id, datetime,
+    try_cast(nullif(regexp_extract(line, '(\\d{{3}})(\\d{{2}})(?:G(\\d{{2}}))?KT', 2), '') AS DOUBLE) AS wind_speed,
+    (SELECT count(*) FROM events) * 2 AS blocks, true AS numbered
+    FROM kept WHERE substr(line, 1, 4) IN ({', '.join(repr(n) for n in STATIONS)})""",
+)
+def split_report_scan(spark, folder):
+    """All reports in one file of many splits, read by blocks: each event's number comes back, and the blocks are numbered
+    without gaps."""
+    path = scratch(spark, "texts")
+    event = F.split("source_file", "/")[0]
+    texts = observation_texts(spark, folder).select(F.regexp_replace("value", "(?m)(Z .*)$", F.concat(F.lit("$1 RMK "), event)).alias("value"))
+    texts.coalesce(1).write.text(path)
+    with settings(spark, _SPLITS):
+        write_table(read_blocks(spark, path), f"{path}-blocks")
+    blocks = spark.read.schema("source_file string, block_no int, block string").parquet(f"{path}-blocks")
+    size, last, files = blocks.agg(F.count("*"), F.max("block_no"), F.count_distinct("source_file", "block_no")).first()
+    said = F.get(F.split("line", " RMK "), F.lit(1)).cast("bigint")
+    ends = reports.observation_blocks(blocks).select("source_file", "block_no", said.alias("event"))
+    parsed = reports.parse_observations(blocks, STATIONS).join(ends, ["source_file", "block_no"])
+    return parsed.select(
+        "event", "station_id", "datetime", F.col("wind_speed").cast("double").alias("wind_speed"),
+        F.lit(size).cast("bigint").alias("blocks"), F.lit(last + 1 == size == files).alias("numbered"),
+    )
+
+
+@query(
+    "forecast_file_scan",
+    f"""WITH {_FORECAST_LINES}, k AS (SELECT *, unnest({_KINDS_SQL}) AS kind FROM roles)
+    SELECT kind, upper(substr(event_type, 1, 4)) AS station_id, base AS datetime, base + INTERVAL 24 HOURS AS validity_end, from_time, tempo_start,
+      tempo_end, becmg_start, becmg_end, visibility, altimeter_tenths_hpa, temperature, wind_direction, wind_speed, cover_type_1, altitude_1, count(*) AS lines
+    FROM k GROUP BY ALL""",
+)
+def forecast_file_scan(spark, folder):
+    """Forecast files, one folder for each hour of issue and many reports to a file, read by splits and parsed."""
+    path = scratch(spark, "forecasts")
+    name = F.regexp_extract("source_file", r"taf\.(\d{8}\.\d{2}Z)", 1)
+    forecast_texts(spark, folder).select("value", name.alias("issued")).repartition("issued").write.partitionBy("issued").text(path)
+    issue = reports.issue_time_of_file(F.concat(F.lit("taf."), F.regexp_extract("source_file", "issued=([^/]+)/", 1), F.lit(".txt")))
+    parsed = reports.parse_forecasts(read_blocks(spark, path), issue)
+    keys = ["kind", "station_id", "datetime", "validity_end", "from_time", "tempo_start", "tempo_end", "becmg_start", "becmg_end"]
+    values = ["visibility", "altimeter_tenths_hpa", "temperature", "wind_direction", "wind_speed", "cover_type_1", "altitude_1"]
+    return parsed.groupBy(*keys, *values).agg(F.count("*").alias("lines"))
+
+
+@query(
+    "quoted_csv_records",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderpriority || CASE o_orderkey % 5 WHEN 0 THEN chr(10) || 'o_orderkey,note' || chr(10)
+      WHEN 1 THEN ' "quoted, twice"' WHEN 2 THEN chr(10) || '"' ELSE '' END END AS note FROM orders""",
+)
+def quoted_csv_records(spark, folder):
+    """Fields with line breaks, quotes and a line that equals the header, in files of several splits."""
+    path = scratch(spark, "quoted")
+    odd = F.col("o_orderkey") % 5
+    more = F.when(odd == 0, "\no_orderkey,note\n").when(odd == 1, ' "quoted, twice"').when(odd == 2, '\n"').otherwise("")
+    note = F.when(odd != 4, F.concat("o_orderpriority", more))
+    write_csv(table(spark, folder, "orders").select("o_orderkey", note.alias("note")).repartition(2, "o_orderkey"), path)
+    with settings(spark, _SPLITS):
+        write_table(read_csv(spark, path, schemas.schema("o_orderkey:long note:string")), f"{path}-rows")
+    return spark.read.schema(schemas.schema("o_orderkey:long note:string")).parquet(f"{path}-rows")
+
+
+@query(
+    "unreadable_parts",
+    """SELECT p_partkey, p_name, NULL AS reason FROM part WHERE p_partkey % 5 <> 3
+    UNION ALL SELECT NULL, NULL, unnest(['too short', 'no mark at the start', 'no mark at the end', 'footer longer than the file'])""",
+)
+def unreadable_parts(spark, folder):
+    """Five parts of which one is broken in four ways: the others are read, the broken files are a table with reasons."""
+    path = scratch(spark, "parts")
+    parts = table(spark, folder, "part").select("p_partkey", "p_name")
+    for place in (0, 1, 2, 4):
+        write_table(parts.filter(F.col("p_partkey") % 5 == place), f"{path}/{place}")
+    for place, content in enumerate((b"PAR1", b"these are no columns", b"PAR1 and no end mark", b"PAR1 xxxx\xff\xff\xff\x7fPAR1")):
+        file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/3/broken-{place}.parquet")
+        out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file)
+        out.write(bytearray(content))
+        out.close()
+    sound, rejected = read_sound_parts(spark, path, parts.schema)
+    return sound.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected.select("reason"), allowMissingColumns=True)
+
+
 @query(
     "flight_file_names",
     """SELECT event_id, CASE WHEN user_id % 4 < 2 THEN 'K' || upper(substr(event_type, 1, 3)) END AS arrival_airport,

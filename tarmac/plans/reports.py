@@ -12,8 +12,9 @@ from tarmac.functions import codes, extract
 from tarmac.functions.text import first_match
 from tarmac.functions.timebucket import HOUR_US, MINUTE_US, day_hour, epoch_us, floor_us, from_us, month_frame
 from tarmac.plans.registry import query
+from tarmac.session import scratch
 from tarmac.sources import reports
-from tarmac.sources.tables import table
+from tarmac.sources.tables import table, write_table
 
 STATIONS = ["VIEW", "SIGN", "PURC", "CLIC"]
 CLOUDS = ["CLR", "FEW030", "SCT045CB BKN100", "FEW010 SCT020 BKN030TCU OVC200", "VV002"]
@@ -112,10 +113,17 @@ def _as_double(df):
     )
 
 
+def _stored(texts):
+    """The texts as a table of several files, as a folder of reports would be; rendering is one task on a small table."""
+    path = scratch(texts.sparkSession, "texts")
+    write_table(texts, path, max_records_per_file=5000)
+    return texts.sparkSession.read.schema(texts.schema).parquet(path)
+
+
 @query("parse_observation_text", _observation_sql(False))
 def parse_observation_text(spark, folder):
     """Observation text to typed rows of the stations asked for."""
-    return _as_double(reports.parse_observations(observation_texts(spark, folder), STATIONS))
+    return _as_double(reports.parse_observations(_stored(observation_texts(spark, folder)), STATIONS))
 
 
 @query("parse_observation_text_legacy", _observation_sql(True))
@@ -276,7 +284,7 @@ _FORECAST_LINES = f"""
 )
 def parse_forecast_lines(spark, folder):
     """Forecast text to one row per line, with roles and times; periods run over midnight and month ends."""
-    return reports.parse_forecasts(forecast_texts(spark, folder))
+    return reports.parse_forecasts(_stored(forecast_texts(spark, folder)))
 
 
 @query(

@@ -6,7 +6,7 @@ table takes part. Each role exists twice: as a DataFrame and as a common table e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.timebucket import DAY_US, HOUR_US, epoch_us, floor_us, from_us
@@ -43,13 +43,14 @@ def grid_sql(part: str = "all") -> str:
       WHERE {keep[part]})"""
 
 
-def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+def arrivals(spark: SparkSession, folder: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """A flight is one user on one day; a small value stands for a flight that never arrived."""
     return table(spark, folder, "events").select(
         F.concat(F.col("user_id").cast("string"), F.lit("."), F.date_format("ts", "yyyyMMdd")).alias("gufi"),
         F.col("event_type").alias("station"),
         station_order(F.col("event_type"), STATIONS).alias("station_ord"),
         F.when(F.col("value") >= 5, F.col("ts")).alias("arrival_ts"),
+        *[column.alias(name) for name, column in (extra or {}).items()],
     )
 
 

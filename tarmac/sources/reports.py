@@ -57,11 +57,16 @@ def issue_time_of_file(name: Column) -> Column:
     return lenient_timestamp(F.concat(day, hour), "yyyyMMddHH")
 
 
+def _blocks(texts: DataFrame) -> DataFrame:
+    """Blocks of whole texts; a table that ``read_blocks`` made has them already."""
+    return texts if "block" in texts.columns else text.split_blocks(texts)
+
+
 def observation_blocks(texts: DataFrame) -> DataFrame:
     """One row per block with its base time and its second line; null where a block lacks them."""
     lines = F.split(F.col("block"), "\n")
     return (
-        text.split_blocks(texts)
+        _blocks(texts)
         .withColumn("base", lenient_timestamp(first_match(F.col("block"), codes.BLOCK_DATE), "yyyy/MM/dd HH:mm"))
         .withColumn("line", text.strip(F.get(lines, F.lit(1))))
     )
@@ -93,7 +98,7 @@ def rejected_observations(texts: DataFrame) -> DataFrame:
 def forecast_blocks(texts: DataFrame, base: Column | None = None) -> DataFrame:
     """Cleaned blocks, one row per kind, with issue time, station and validity."""
     issue = issue_time_of_file(file_name(F.col("source_file"))) if base is None else base
-    cleaned = text.split_blocks(texts.withColumn("issue_ts", issue)).withColumn(
+    cleaned = _blocks(texts.withColumn("issue_ts", issue)).withColumn(
         "block", text.clean_forecast_block(F.col("block"))
     )
     stripped = F.when(F.col("kind") == "original", F.col("block")).otherwise(text.strip_markers(F.col("block")))
@@ -121,10 +126,14 @@ def parse_forecasts(texts: DataFrame, base: Column | None = None, legacy: bool =
     blocks = forecast_blocks(texts, base).withColumn(
         "station_id", first_match(F.col("block"), codes.FORECAST_STATION)
     )
-    lines = text.split_lines(with_validity(blocks, legacy=legacy))
+    valid = with_validity(blocks, legacy=legacy)
     if not legacy:
+        # A block that is rejected has no lines. As a filter, this would be pushed below the fields it asks for, and
+        # they would be computed twice.
         whole = [F.col(c).isNotNull() for c in ("issue_ts", "station_id", "validity_start", "validity_end")]
-        lines = lines.filter(whole[0] & whole[1] & whole[2] & whole[3])
+        valid = valid.withColumn("block", F.when(whole[0] & whole[1] & whole[2] & whole[3], F.col("block")))
+    lines = text.split_lines(valid)
+    if not legacy:
         lines = lines.filter((F.col("line") != "") & ~F.col("line").rlike(f"^{codes.BLOCK_DATE}"))
     flagged = lines.withColumns(
         {

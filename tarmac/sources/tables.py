@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac import schemas
 from tarmac.functions.casting import conform
+from tarmac.sources.records import cells, csv_records
 
 # Brotli is not among the codecs Spark ships with; zstd comes closest in size.
 CODEC = "zstd"
@@ -35,6 +36,50 @@ def read_parts(spark: SparkSession, folder: str, schema: T.StructType) -> DataFr
     )
 
 
+#: More parts than this that give no row are no accident: the probe fails.
+FEW_BROKEN = 1000
+
+
+def probe_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length, reason`` of the part files of a folder that are not Parquet.
+
+    Footers are read, no column, by the tasks that the files are dealt to. Of the files that gave no row the first and
+    last bytes are looked at: one without the marks of the format, or with a footer longer than itself, is listed. All
+    others stay in the scan, where a fault fails the job, so that nothing is passed over in silence.
+    """
+
+    def files(kind: str):
+        return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+
+    file = F.col("_metadata.file_path").alias("path")
+    with_rows = files("parquet").schema("_none int").option("ignoreCorruptFiles", True).load(folder).select(file).distinct()
+    silent = files("binaryFile").load(folder).select(file, F.col("path").alias("place")).join(with_rows, "path", "left_anti")
+    places = [r["place"] for r in silent.select("place").limit(FEW_BROKEN + 1).collect()]
+    if len(places) > FEW_BROKEN:
+        raise ValueError(f"more than {FEW_BROKEN} files below {folder} give no row")
+    if not places:
+        return spark.createDataFrame([], "path string, length bigint, reason string")
+    bytes_ = spark.read.format("binaryFile").load(places).select(file, "length", "content")
+    tail = F.hex(F.substring("content", -8, 8))
+    footer = F.conv(F.concat(*[F.substring(tail, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+    mark = F.lit("50415231")  # the format's four letters
+    reason = (
+        F.when(F.col("length") < 12, "too short")
+        .when(F.hex(F.substring("content", 1, 4)) != mark, "no mark at the start")
+        .when(F.substring(tail, 9, 8) != mark, "no mark at the end")
+        .when(footer + 12 > F.col("length"), "footer longer than the file")
+    )
+    return bytes_.select("path", "length", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def read_sound_parts(spark: SparkSession, folder: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """``read_parts`` without the files that ``probe_parts`` lists, and that list. Listed files are not opened."""
+    rejected = probe_parts(spark, folder)
+    paths = [r["path"] for r in rejected.collect()]  # at most FEW_BROKEN
+    parts = read_parts(spark, folder, schema)
+    return (parts.filter(~F.col("_metadata.file_path").isin(paths)) if paths else parts), rejected
+
+
 def transform_table(
     spark: SparkSession,
     source: str,
@@ -76,35 +121,19 @@ def compact(spark: SparkSession, source: str, sink: str, schema: T.StructType, t
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Fields are written as they are, white space included; quotes are doubled, as ``csv_rows`` and others read them."""
+    exact = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).option("header", True).options(**exact).csv(path)
 
 
 def csv_rows(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Lines of CSV files cut into cells: ``source_path, header, cells``, two arrays of text in the same order.
+    """Records of CSV files cut into cells: ``source_path, header, cells``, two arrays of text in the same order.
 
-    Every file has a header of its own, its first line. Cells beyond the header are left out, cells that are missing are
-    null; empty lines and lines that equal the header are no rows.
+    Every file has a header of its own, its first record. Cells beyond the header are left out, cells that are missing are
+    null; empty lines are no rows. Quoted cells may hold line breaks; files are read by splits all the same.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("start"))
-        .filter("value <> ''")
-    )
-    # A file's first split is read from the front by one task, whose row ids ascend.
-    first = F.min_by("value", "id").alias("first")
-    heads = lines.filter("start = 0").withColumn("id", F.monotonically_increasing_id()).groupBy("source_path").agg(first)
-    width = heads.agg(F.max(F.size(F.split("first", ",")))).first()[0] or 1
-    cells = ", ".join(f"c{i} string" for i in range(width))
-
-    def parsed(line: str) -> Column:
-        row = F.from_csv(line, F.lit(cells))
-        return F.array(*[row[f"c{i}"] for i in range(width)])
-
-    names = F.transform(parsed("first"), lambda n: F.regexp_replace(F.trim(n), "^\ufeff", ""))
-    rows = lines.join(heads.withColumn("header", names), "source_path").filter("value <> first")
-    return rows.select("source_path", "header", parsed("value").alias("cells"))
+    names = F.transform(cells(F.regexp_replace("header", "^\ufeff", "")), lambda n: F.trim(n))
+    return csv_records(spark, path, glob).select("source_path", names.alias("header"), cells(F.col("record")).alias("cells"))
 
 
 def pick_cells(rows: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -41,6 +41,7 @@ class Catchers:
         self.open: dict[int, int] = {}  # period -> first place whose word equals the one a period before, so far to the end
         self.seen: dict[int, int] = {}  # period -> end of its last compared stretch
         self.caught: dict[int, int] = {}  # period -> the stretch whose square was reported last
+        self.done: dict[int, int] = {}  # level -> words whose windows were compared; a level opens when a run fits
         self.runs: dict[tuple[int, int], int] = {}  # (start, end) -> smallest period
         self.squares: list[tuple[int, int]] = []
 
@@ -70,7 +71,8 @@ class Catchers:
             self._stretch(first, self._right(old, period), period)
         level = 0
         while self.exponent << level <= n:
-            self._catch(level, old, n)
+            self._catch(level, self.done.get(level, 0), n)
+            self.done[level] = n
             level += 1
         return self.squares
 

@@ -21,7 +21,7 @@ from tarmac.sources.tables import only_stations, table
 )
 def arrival_throughput_zero_filled(spark, folder):
     """First-seen arrivals per training bucket, zero where none."""
-    counts = zero_filled_arrivals(s.grid(spark, "train"), s.arrivals(spark, folder))
+    counts = zero_filled_arrivals(s.grid(spark, folder, "train"), s.arrivals(spark, folder))
     return counts.select("station", "hour_start", "bucket_end", "cycle", "pos", "value")
 
 
@@ -30,7 +30,7 @@ def arrival_throughput_zero_filled(spark, folder):
     f"{s.counts_sql('test')} SELECT station, hour_start, bucket_end, cycle, pos, value FROM counted",
 )
 def arrival_throughput_test_part(spark, folder):
-    counts = zero_filled_arrivals(s.grid(spark, "test"), s.arrivals(spark, folder))
+    counts = zero_filled_arrivals(s.grid(spark, folder, "test"), s.arrivals(spark, folder))
     return counts.select("station", "hour_start", "bucket_end", "cycle", "pos", "value")
 
 
@@ -40,7 +40,8 @@ _ORDER_ARRIVALS = """
                         list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority) AS station_ord,
                         o_orderdate AS arrival_ts FROM orders),
     seen AS (SELECT * FROM arrivals QUALIFY row_number() OVER (PARTITION BY gufi ORDER BY station_ord, arrival_ts) = 1),
-    hours AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31 23:00:00', INTERVAL 1 HOUR)) AS h),
+    hours AS (SELECT unnest(generate_series(date_trunc('hour', min(o_orderdate) - INTERVAL 1 MICROSECOND)::TIMESTAMP,
+                     date_trunc('hour', max(o_orderdate) - INTERVAL 1 MICROSECOND)::TIMESTAMP, INTERVAL 1 HOUR)) AS h FROM orders),
     grid AS (SELECT station, h + to_minutes(m) AS bucket_end
              FROM hours, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) t(station),
                   (VALUES (15), (30), (45), (60)) q(m))"""
@@ -55,7 +56,7 @@ def _order_counts(spark, folder, legacy):
         station_order(F.col("o_orderpriority"), _PRIORITIES).alias("station_ord"),
         F.col("o_orderdate").alias("arrival_ts"),
     )
-    grid = spine(spark, _PRIORITIES, "1995-01-01 00:00:00", "2001-12-31 23:00:00", "all")
+    grid = spine(spark, _PRIORITIES, *s.hours_of(arrivals, "arrival_ts"), "all")
     counts = zero_filled_arrivals(grid, arrivals, legacy)
     return counts.groupBy("station").agg(
         F.count("*").alias("buckets"), F.sum("value").alias("arrivals"), F.count_if(F.col("value") > 0).alias("busy")

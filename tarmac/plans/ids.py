@@ -127,8 +127,8 @@ def _predictions_sql(keep: str) -> str:
 
 
 def _template_and_predictions(spark, folder):
-    counts = zero_filled_arrivals(s.grid(spark, "test"), s.arrivals(spark, folder))
-    template = submission.template_rows(s.grid(spark, "test"))
+    counts = zero_filled_arrivals(s.grid(spark, folder, "test"), s.arrivals(spark, folder))
+    template = submission.template_rows(s.grid(spark, folder, "test"))
     later = timebucket.block_pos("bucket_end") >= 4
     predictions = counts.filter(later).select(
         "station", F.col("bucket_end").alias("at"), (F.col("value") * 1.5 - 0.25).alias("prediction")

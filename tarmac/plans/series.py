@@ -14,7 +14,7 @@ from tarmac.sources.tables import table
 
 
 def counted(spark, folder, part="all"):
-    return zero_filled_arrivals(s.grid(spark, part), s.arrivals(spark, folder))
+    return zero_filled_arrivals(s.grid(spark, folder, part), s.arrivals(spark, folder))
 
 
 _ALL, _TRAIN = s.counts_sql("all"), s.counts_sql("train")
@@ -432,7 +432,7 @@ def null_audit(spark, folder):
 )
 def row_count_audit(spark, folder):
     """A left join onto the grid neither loses nor multiplies rows."""
-    grid, counts = s.grid(spark), counted(spark, folder)
+    grid, counts = s.grid(spark, folder), counted(spark, folder)
     joined = counts.join(grid.select("station", "bucket_end"), ["station", "bucket_end"], "left")
     return quality.row_audit(spine=grid, counted=counts, joined=joined)
 

@@ -14,16 +14,26 @@ from tarmac.operators.spine import spine, station_order
 from tarmac.sources.tables import table
 
 STATIONS = ["view", "signup", "purchase", "error", "click"]
-START, END = "2024-01-01 00:00:00", "2024-01-30 23:00:00"
 CYCLE_DAYS, TRAIN_DAYS = 8, 6
 
 
-def grid(spark: SparkSession, part: str = "all") -> DataFrame:
-    """Thirty days of quarter hours for the five stations; cycles of six training days and two test days."""
-    return spine(spark, STATIONS, START, END, part, CYCLE_DAYS, TRAIN_DAYS)
+def hours_of(times: DataFrame, column: str, unit: str = "hour") -> tuple[str, str]:
+    """First and last hour of a grid whose buckets hold every time of a column, from one aggregate; the first hour is that
+    of the ``unit`` it lies in. A time exactly on the hour belongs to the hour before."""
+    us = epoch_us(column)
+    low, high = (from_us(end(us) - 1) for end in (F.min, F.max))
+    shown = [F.date_format(F.date_trunc(u, t), "yyyy-MM-dd HH:mm:ss") for u, t in ((unit, low), ("hour", high))]
+    return tuple(times.agg(*shown).first())
 
 
-_DAY = f"date_diff('day', TIMESTAMP '{START}', hour_start)"
+def grid(spark: SparkSession, folder: str, part: str = "all") -> DataFrame:
+    """Quarter hours from the first event's day to the last event, for the five stations; cycles of six training days and
+    two test days."""
+    start, end = hours_of(table(spark, folder, "events"), "ts", "day")
+    return spine(spark, STATIONS, start, end, part, CYCLE_DAYS, TRAIN_DAYS)
+
+
+_DAY = "date_diff('day', first_hour, hour_start)"
 
 
 def grid_sql(part: str = "all") -> str:
@@ -32,7 +42,9 @@ def grid_sql(part: str = "all") -> str:
     skip = TRAIN_DAYS if part == "test" else 0
     names = ", ".join(f"('{s}', {i})" for i, s in enumerate(STATIONS, start=1))
     return f"""
-    hours AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 HOUR)) AS hour_start),
+    span AS (SELECT date_trunc('day', min(ts) - INTERVAL 1 MICROSECOND)::TIMESTAMP AS first_hour,
+                    date_trunc('hour', max(ts) - INTERVAL 1 MICROSECOND)::TIMESTAMP AS last_hour FROM events),
+    hours AS (SELECT first_hour, unnest(generate_series(first_hour, last_hour, INTERVAL 1 HOUR)) AS hour_start FROM span),
     grid AS (
       SELECT s.station, s.station_ord::INTEGER AS station_ord, hour_start,
              hour_start + to_minutes(q.m) AS bucket_end,

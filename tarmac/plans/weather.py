@@ -17,17 +17,17 @@ _FORECAST = f"{s.FORECASTS_SQL}, {s.forecast_asof_sql()}"
 _VALUES = ", ".join(s.WEATHER)
 
 
-def _grid(spark):
-    return s.grid(spark).select("station", "bucket_end")
+def _grid(spark, folder):
+    return s.grid(spark, folder).select("station", "bucket_end")
 
 
 def _observed(spark, folder, spine=None):
-    spine = _grid(spark) if spine is None else spine
+    spine = _grid(spark, folder) if spine is None else spine
     return asof_observation(spine, s.observations(spark, folder), s.WEATHER, [F.col("event_id")])
 
 
 def _forecast(spark, folder, spine=None, legacy=False):
-    spine = _grid(spark) if spine is None else spine
+    spine = _grid(spark, folder) if spine is None else spine
     return forecast_asof(spine, s.forecast_lines(spark, folder), s.WEATHER, s.FORECAST_ORDER, legacy=legacy)
 
 
@@ -137,7 +137,7 @@ def block16_fill(spark, folder):
 )
 def weather_on_targets(spark, folder):
     """The whole path: counts, weather as of each bucket, block fill, forward fill per station."""
-    counts = zero_filled_arrivals(s.grid(spark), s.arrivals(spark, folder)).select("station", "bucket_end", "value")
+    counts = zero_filled_arrivals(s.grid(spark, folder), s.arrivals(spark, folder)).select("station", "bucket_end", "value")
     filled = ordered.fill_forward(_block_filled(spark, folder, counts), ["station"], "bucket_end", s.WEATHER)
     return filled.select("station", "bucket_end", "value", *s.WEATHER)
 
@@ -149,5 +149,5 @@ def weather_on_targets(spark, folder):
 )
 def feature_join_on_id(spark, folder):
     """Two finished tables, targets and weather, joined on their common key."""
-    counts = zero_filled_arrivals(s.grid(spark), s.arrivals(spark, folder)).select("station", "bucket_end", "value")
+    counts = zero_filled_arrivals(s.grid(spark, folder), s.arrivals(spark, folder)).select("station", "bucket_end", "value")
     return counts.join(_observed(spark, folder), ["station", "bucket_end"], "left")

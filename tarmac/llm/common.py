@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,11 +82,27 @@ def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list
                 made = function({c: part.column(c).to_pylist() for c in given})
                 columns = [part.column(f.name).cast(f.type) if f.name in keep else _array(made[f.name], f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
-        pa.default_memory_pool().release_unused()  # the process lives on for other tasks
+        give_back()
 
     return df.mapInArrow(run, full)
 
 
+#: What a module holds for one task only: called at the end of each.
+FORGET: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task, since a Python worker lives on for other tasks."""
+    for forget in FORGET:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library keeps its own counsel
+        pass
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of few rows and few megabytes."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)

@@ -13,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import cut, map_rows, pick
+from tarmac.llm.common import cut, give_back, map_rows, pick
 
 TOP = 50
 #: Terms of items that one pass over the documents looks for; more items take more passes.
@@ -258,7 +258,7 @@ def _search(vectors: DataFrame, given: Broadcast, n_docs: int, n_terms: int, top
             if len(own.ids):
                 ids = pa.array(own.ids, mask=own.ids == _NO_ID)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), item, dtype=np.int32)), ids, pa.array(own.scores)], ["item", "doc_id", "score"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return vectors.filter(F.size("columns") > 0).mapInArrow(run, "item int, doc_id bigint, score bigint")
 

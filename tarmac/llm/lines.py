@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import cut, documents, map_rows, partitions, pick, slices, whole_groups
+from tarmac.llm.common import FORGET, cut, documents, map_rows, partitions, pick, slices, whole_groups
 
 PERCENT = 80
 #: Lines of fewer different words are neither removed nor compared.
@@ -53,6 +53,7 @@ def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _POWERS: dict[str, np.ndarray] = {}
+FORGET.append(_POWERS.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

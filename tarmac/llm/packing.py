@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarmac.llm.common import _arrow_schema, cut, map_rows, pick, slices
+from tarmac.llm.common import _arrow_schema, cut, give_back, map_rows, pick, slices
 from tarmac.llm.tokens import byte_symbols
 
 WINDOW, DEPTH = 1024, 3
@@ -265,7 +265,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame
                     tails[rest] += 1
                 columns = [batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(target)[1:]))]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return cut(rows.mapInArrow(run, _CUT_SCHEMA), "cut-documents")
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import cut, documents, map_rows, pick
+from tarmac.llm.common import cut, documents, map_rows, pick, with_ids
 
 #: Share of good documents of one stratum that all rules together may reject, and the chance that this is missed.
 RISK = 0.02
@@ -197,8 +197,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that ``quality`` keeps, with the columns of documents."""
+    """The documents that ``quality`` keeps, with the columns of documents.
+
+    Cutoffs hang on labelled documents alone, so only these are measured twice. Null, empty and repeated rows: as there; a
+    kept row keeps its nulls.
+    """
     docs = documents(docs)
-    rows = cut(measured(docs, ("doc_id", "lang")), "quality")
-    cutoffs = learn_cutoffs(rows, labels)
+    ids = cut(pick(labels, "doc_id").filter("doc_id IS NOT NULL").distinct(), "labelled")
+    labelled = with_ids(docs, ids, "left_semi")
+    cutoffs = learn_cutoffs(measured(labelled, ("doc_id", "lang")), labels)
     return passing(measured(docs, tuple(docs.columns)), cutoffs).filter("_passes").select(*docs.columns)

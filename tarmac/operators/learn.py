@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
@@ -124,6 +125,59 @@ def random_search(
     return search.bestModel, train.sparkSession.createDataFrame(rows, names)
 
 
+def staged_search(
+    train: DataFrame,
+    features: Sequence[str],
+    target: str,
+    draws: Sequence[dict[str, float]],
+    stages: Sequence[int],
+    keys: Sequence[str],
+    folds: int = 3,
+    keep: float = 0.5,
+    seed: int = 42,
+) -> DataFrame:
+    """``draw, rounds, mse, dropped``: mean held-out error of every draw after each round, losers dropped at set rounds.
+
+    One fit of a draw and fold gives its errors at every round up to the stage's, since the first trees of a longer fit are
+    those of a shorter one; so draws that differ in rounds only are one draw here. After each stage the better share
+    of the draws (by their least error so far) goes on to more rounds. Rows are dealt to folds by the hash of ``keys``.
+    A draw has ``depth``, ``rate``, ``subsample`` and ``columns``, the share of columns a split may choose from.
+    """
+    dealt = train.withColumn("_fold", hash_bucket(keys, seed, folds))
+    alive, errors, dropped = list(range(len(draws))), {}, {}
+    for stage in stages:
+        for number in alive:
+            draw = draws[number]
+            pipeline = boosted_trees(features, target, stage, int(draw["depth"]), draw["rate"], draw["subsample"], seed=seed)
+            pipeline.getStages()[-1].setFeatureSubsetStrategy(str(draw["columns"]))
+            sums = [0.0] * stage
+            for fold in range(folds):
+                model = pipeline.fit(dealt.filter(F.col("_fold") != fold))
+                held = model.stages[0].transform(dealt.filter(F.col("_fold") == fold))
+                sums = [a + b for a, b in zip(sums, model.stages[-1].evaluateEachIteration(held, "squared"))]
+            errors[number] = [x / folds for x in sums]
+        alive.sort(key=lambda n: min(errors[n]))
+        for number in alive[max(1, math.ceil(len(alive) * keep)) :]:
+            dropped[number] = stage
+        alive = [n for n in alive if n not in dropped]
+    rows = [(n, r, float(e), dropped.get(n)) for n, all_ in errors.items() for r, e in enumerate(all_, start=1)]
+    return train.sparkSession.createDataFrame(rows, "draw int, rounds int, mse double, dropped int")
+
+
+def drawn_parameters(draws: int, seed: int = 42) -> list[dict[str, float]]:
+    """Random draws over the ranges of the search."""
+    dice = random.Random(seed)
+    return [
+        {
+            "rate": 0.01 + 0.1 * dice.random(),
+            "depth": dice.randrange(3, 10),
+            "subsample": 0.6 + 0.4 * dice.random(),
+            "columns": round(0.6 + 0.4 * dice.random(), 3),
+        }
+        for _ in range(draws)
+    ]
+
+
 def static_encoder(column: str, out: str) -> Pipeline:
     """Label code and one indicator per label. Fitted once, on training data; unseen labels get a place of their own."""
     index = StringIndexer(inputCol=column, outputCol=f"{column}_code", stringOrderType="alphabetAsc", handleInvalid="keep")

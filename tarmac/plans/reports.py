@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarmac import schemas
 from tarmac.functions import codes, extract
 from tarmac.functions.text import first_match
 from tarmac.functions.timebucket import HOUR_US, MINUTE_US, day_hour, epoch_us, floor_us, from_us, month_frame
+from tarmac.operators.asof import asof_observation
+from tarmac.plans import standins as s
 from tarmac.plans.registry import query
 from tarmac.session import scratch
 from tarmac.sources import reports
@@ -131,6 +134,26 @@ def parse_observation_text_legacy(spark, folder):
     return _as_double(reports.parse_observations(observation_texts(spark, folder), STATIONS, legacy=True))
 
 
+_FIELDS = [c for c in schemas.OBSERVATIONS.names if c not in ("station_id", "datetime")]
+
+
+@query(
+    "reports_on_spine",
+    f"""WITH {s.grid_sql()}, parsed AS ({_observation_sql(False)}),
+    newest AS (
+      SELECT g.station, g.bucket_end, o.* EXCLUDE (source_file, block_no, station_id) FROM grid g ASOF LEFT JOIN
+        (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY station_id, datetime ORDER BY source_file DESC) = 1) o
+        ON upper(substr(g.station, 1, 4)) = o.station_id AND g.bucket_end >= o.datetime)
+    SELECT station, bucket_end, {', '.join(f'CASE WHEN datetime >= bucket_end - INTERVAL 6 HOURS THEN {c} END AS {c}' for c in _FIELDS)} FROM newest""",
+)
+def reports_on_spine(spark, folder):
+    """From report texts to the grid: every field of the newest parsed observation of the last six hours."""
+    parsed = reports.parse_observations(_stored(observation_texts(spark, folder)), STATIONS)
+    grid = s.grid(spark, folder).select("station", "bucket_end", F.upper(F.substring("station", 1, 4)).alias("station_id"))
+    found = asof_observation(grid, parsed, _FIELDS, [F.col(c) for c in reports.ORDER], station="station_id")
+    return _as_double(found.drop("station_id"))
+
+
 @query(
     "rejected_blocks",
     "SELECT event_id || '/obs.txt' AS source_file, 1::INTEGER AS block_no, strftime(ts, '%Y/%m/%d %H:%M') AS block FROM events",

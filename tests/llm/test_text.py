@@ -63,6 +63,50 @@ def test_guess_cost_is_the_least_of_all_cuts(value):
     assert credentials.log_guesses(value) == pytest.approx(cheapest(value), abs=1e-9)
 
 
+def cheapest_of_all(value):
+    """Least cost by trying every span at every place as every kind."""
+    n, low = len(value), value.lower()
+    price = {}
+
+    def offer(i, j, x):
+        price[i, j] = min(x, price.get((i, j), np.inf))
+
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part = low[i:j]
+            offer(i, j, sum(map(credentials._char_cost, value[i:j])))
+            for spelt, extra in ((part, 0.0), (part.translate(credentials._LEET), 0.5)):
+                if spelt in credentials.WORD_RANK:
+                    case = 0.0 if value[i:j].islower() or not any(map(str.isalpha, part)) else 0.3
+                    offer(i, j, np.log10(credentials.WORD_RANK[spelt] + 1) + extra + case)
+                    break
+            if credentials._DATE.fullmatch(value[i:j]):
+                offer(i, j, np.log10(36500) + 0.3 if j - i > 4 else 2.0)
+            for u in range(1, 17):
+                if j - i >= 3 and j - i > u and (j - i) % u == 0 and value[i : i + u] * ((j - i) // u) == value[i:j]:
+                    offer(i, j, sum(map(credentials._char_cost, value[i : i + u])) + np.log10((j - i) // u))
+            steps = [credentials._step(a, b) for a, b in zip(part, part[1:])]
+            if j - i >= 3 and None not in steps:
+                turns = 1 + sum(a != b for a, b in zip(steps, steps[1:]))
+                offer(i, j, np.log10(47) + np.log10(j - i) + turns * np.log10(6))
+    best = [0.0] + [np.inf] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + (0.3 if i else 0.0) + price[i, j] for i in range(j) if (i, j) in price)
+    return best[n]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text("abA1", max_size=14), st.text("qwertasdf12", max_size=14), st.text("0129-/", max_size=12), st.text("pas@word5$ 2019", max_size=14)))
+def test_guess_cost_is_least_over_all_kinds(value):
+    assert credentials.log_guesses(value) == pytest.approx(cheapest_of_all(value), abs=1e-9)
+
+
+def test_a_shifted_repeat_is_as_cheap_and_many_values_are_swept():
+    assert credentials.log_guesses("a" + "ab" * 7) < credentials.log_guesses("ab" * 7) + 2.5
+    text = "password=abc123$Tr0ub4dor&3 " * 4000
+    assert len(credentials.scan(text)) == 8000
+
+
 def test_guess_cost_ranks_values():
     costs = [credentials.log_guesses(v) for v in ("changeme", "qwertyuiop", "aaaaaaaaaaaa", "2019-12-31", "password123")]
     assert max(costs) < 7

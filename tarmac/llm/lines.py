@@ -58,7 +58,7 @@ FORGET.append(_POWERS.clear)
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64, kept for the next text."""
-    if len(_POWERS.get("up", ())) < n:
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, dtype=np.uint64)

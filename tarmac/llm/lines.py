@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import FORGET, cut, documents, map_rows, partitions, pick, slices, whole_groups
 
 PERCENT = 80
-#: Lines of fewer different words are neither removed nor compared.
-LEAST_WORDS = 5
+#: Lines of fewer different words are neither removed nor compared: lines without a word stay.
+LEAST_WORDS = 1
 #: Words are counted in so many buckets by their hash: the order of rarity needs one table of fixed size, no dictionary.
 BUCKETS = 1 << 16
 #: Lists of lines with no more numbers than this in all are broadcast; more are joined by shuffling.
@@ -150,7 +150,8 @@ def _parts(table: np.ndarray) -> np.ndarray:
 def sketched(docs: DataFrame, table: np.ndarray, percent: int, least: int) -> DataFrame:
     """(d1, d2, doc_id, line, n, low, high, prefix, parts) of every line with enough words.
 
-    ``prefix`` are the rarest words of which a set must share one with any set that is alike enough, 32 bits of each;
+    The likest other set of n words has one more, so where n / (n + 1) is too little (three words or fewer at 80 %) only equal
+    sets match: these are one class already, and their prefix is empty. Else ``prefix`` are the rarest words of which a set must share one with any set that is alike enough, 32 bits of each;
     ``parts`` into how many parts the lines of each are dealt, null where none is split.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast((table, _parts(table)))
@@ -162,7 +163,7 @@ def sketched(docs: DataFrame, table: np.ndarray, percent: int, least: int) -> Da
         d1, d2 = lines.digests()
         used = np.flatnonzero(lines.size >= least)
         n = lines.size[used]
-        ends = lines.start[used] + n - (n * percent + 99) // 100 + 1
+        ends = lines.start[used] + np.where(100 * n < percent * (n + 1), 0, n - (n * percent + 99) // 100 + 1)
         short = (lines.names >> np.uint64(32)).astype(np.uint32).view(np.int32)[lines.words]
         dealt = parts[_bucket(lines.names)][lines.words]
         split = np.concatenate([[0], np.cumsum(dealt > 1)])

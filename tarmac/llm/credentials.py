@@ -9,16 +9,18 @@ from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tarmac.llm.common import map_rows, pick
+from tarmac.llm.common import cut, map_rows, pick
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Names that announce a credential, then a sign or a quote, then the value.
+#: Names that announce a credential, then a sign or a quote, then the value. A name begins where a word does: not behind a
+#: letter of its own case (``compass:``), but behind one of the other (``dbPassword:``).
 CONTEXT = re.compile(
-    r"""(?ai)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|signing)[_-]?key|auth(?:orization)?|credentials?|bearer)"""
+    r"""(?ai)(?<!(?-i:[a-z](?=[a-z])|[A-Z](?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|signing)[_-]?key|auth(?:orization)?|credentials?|bearer)"""
     r"""["']?(?:[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+(?:bearer[\x20\t]++|basic[\x20\t]++)?["']?|\x20["'])([^\s"'<>,;]{6,})"""
 )
 _MARKS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
@@ -35,7 +37,12 @@ COMMON_WORDS = (
     "placeholder insert company public private"
 ).split()
 WORD_RANK = {w: i for i, w in reversed(list(enumerate(COMMON_WORDS, 1)))}
-LONGEST_WORD = max(map(len, WORD_RANK))
+#: Words of the documents that count as known: at most so many, in at least so many documents, of at most so many letters.
+DICTIONARY = 50_000
+LEAST_DOCUMENTS = 20
+LONGEST_WORD = 20
+#: A word stands between spaces, quotes, brackets and stops, so that parts of keys and paths are none.
+PLAIN_WORD = r"""(?<![^\s"'(])\p{Ll}{3,20}+(?![^\s.,;:!?"')])"""
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _KEY_AT = {c: (r, i) for r, row in enumerate(KEY_ROWS) for i, c in enumerate(row)}
 _LEET = str.maketrans("@4301$5!7", "aaeoissit")
@@ -51,14 +58,38 @@ def _char_cost(c: str) -> float:
     return 2.0
 
 
-def log_guesses(value: str) -> float:
+def word_ranks(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_DOCUMENTS) -> dict[str, int]:
+    """Ranks of words: the fixed ones first, then those of the documents by the number of documents they are in.
+
+    Counts are over all whole texts. The driver gets at most ``most`` words: classes of like frequency (16 for each doubling) are
+    taken from the commonest on, and the first that does not fit ends the list, so that no order of all words is needed.
+    """
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PLAIN_WORD), F.lit(0)))).alias("word")
+    counts = docs.select(found).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counts = cut(counts, "words")
+    step = F.floor(F.log2("n") * 16).cast("int")
+    total, lowest = 0, None
+    for power, words in sorted(counts.groupBy(step.alias("power")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += words
+        if total > most:
+            break
+        lowest = power
+    ranks = dict(WORD_RANK)
+    if lowest is not None:
+        kept = counts.filter(step >= lowest).collect()
+        for word, _ in sorted(kept, key=lambda r: (-r["n"], r["word"])):
+            ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
+def log_guesses(value: str, ranks: dict[str, int] = WORD_RANK) -> float:
     """Least power of ten of the tries that find the value, over all ways to cut it into words, dates, repeats, keyboard
     walks and spans of brute force.
 
     ``cost[i]`` is the least cost of the first i characters. A span of brute force may end anywhere, so it is added
     character by character; a new piece of another sort costs the choice of its sort. Repeats and walks may start and end
     anywhere, too: their price grows with the logarithm of their length, so of two starts the earlier one, once cheaper,
-    stays so, and a few starts are left. Words and dates are short, so time is linear in the length.
+    stays so, and a few starts are left. Words and dates are short, so time is linear in the length. ``ranks`` are the known words.
     """
     n = len(value)
     low = value.lower()
@@ -114,9 +145,9 @@ def log_guesses(value: str) -> float:
         brute[i + 1] = min(brute[i], begun) + _char_cost(value[i])
         for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             for spelt, extra in ((low[i:end], 0.0), (plain[i:end], 0.5)):
-                if spelt in WORD_RANK:
+                if spelt in ranks:
                     case = 0.0 if value[i:end].islower() or not any(map(str.isalpha, value[i:end])) else 0.3
-                    cost[end] = min(cost[end], begun + math.log10(WORD_RANK[spelt] + 1) + extra + case)
+                    cost[end] = min(cost[end], begun + math.log10(ranks[spelt] + 1) + extra + case)
                     break
         if low[i].isdigit():
             for end in range(i + 4, min(n, i + 10) + 1):
@@ -133,7 +164,7 @@ def _step(a: str, b: str) -> tuple[int, int] | None:
     return (s - r, j - i) if abs(s - r) <= 1 and abs(j - i) <= 1 and (r, i) != (s, j) else None
 
 
-def scan(text: str | None) -> list[tuple[int, int, str]]:
+def scan(text: str | None, ranks: dict[str, int] = WORD_RANK) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind. Code points, end exclusive."""
     if not text:
         return []
@@ -149,7 +180,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
             before = bisect_right(first, start)
-            if not (before and end <= reach[before - 1]) and log_guesses(text[start:end]) >= LOG_GUESSES:
+            if not (before and end <= reach[before - 1]) and log_guesses(text[start:end], ranks) >= LOG_GUESSES:
                 spans.append((start, end, "guess"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -163,24 +194,25 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     Base spans come from three patterns. The method adds a span of kind ``guess`` for a whole value behind the name of a
     credential that no base span covers in full and that takes 10^10 guesses or more; ``n_weak`` counts values of base
-    assignments that take fewer.
+    assignments that take fewer. Known words are a fixed list and the commonest of the documents (``word_ranks``).
 
     Null or empty text: no spans, the hash of the empty string. Null doc_id and repeated rows: rows of their own. Empty
     table: empty result. Other columns are left out.
     """
     rows = pick(docs, "doc_id", "text")
+    known = docs.sparkSession.sparkContext.broadcast(word_ranks(rows))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "n_weak")}
         for text in batch["text"]:
-            spans = scan(text)
+            spans = scan(text, known.value)
             base = [s for s in spans if s[2] != "guess"]
             for kind in KINDS:
                 out[f"n_{kind}"].append(sum(s[2] == kind for s in spans))
             out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
             out["spans"].append(_joined(spans))
             values = [ASSIGN.match(text, start)[2] for start, _, kind in base if kind == "assign"]
-            out["n_weak"].append(sum(log_guesses(v) < LOG_GUESSES for v in values))
+            out["n_weak"].append(sum(log_guesses(v, known.value) < LOG_GUESSES for v in values))
         return out
 
     schema = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint, n_weak bigint"

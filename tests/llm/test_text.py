@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -134,6 +135,24 @@ def test_any_run_of_spaces_and_tabs_around_the_sign(sign):
     assert credentials.scan(text) == [(3 + len(sign), len(text), "guess")]
 
 
+def test_known_words_are_counted_in_the_documents(docs):
+    rows = [(i, f"Einreichung, (required) {'überaus' if i % 2 else 'selten'} key-part x7required {'often ' * 9}") for i in range(60)]
+    rows += [(100, "authorization: required-einreichung"), (101, "authorization: Xk9$mQ2!vbT"), (102, "rare " * 40), (103, None)]
+    ranks = credentials.word_ranks(docs(rows))
+    counted = Counter(w for _, t in rows for w in set(re.findall(r"""(?<![^\s"'(])[a-zü]{3,20}(?![^\s.,;:!?"')])""", (t or "").lower())))
+    own = [w for w, n in sorted(counted.items(), key=lambda x: (-x[1], x[0])) if n >= 20 and w not in credentials.WORD_RANK]
+    assert ranks == {**credentials.WORD_RANK, **{w: len(credentials.WORD_RANK) + i for i, w in enumerate(own, 1)}}
+    assert set(own) == {"einreichung", "required", "überaus", "selten", "often"}
+    assert set(credentials.word_ranks(docs(rows), most=3)) - set(credentials.WORD_RANK) == {"einreichung", "required", "often"}
+    spans = by_id(credentials.secrets(docs(rows)))
+    assert (spans[100]["spans"], spans[101]["spans"]) == ("", "guess:15:26")
+
+
+@pytest.mark.parametrize("name, found", [("compass", 0), ("dbPwd", 1), ("DB_PWD", 1), ("Pwd", 1), ("bypwd", 0), ("1pwd", 1)])
+def test_names_of_credentials_begin_a_word(name, found):
+    assert len(credentials.scan(f"{name}: Xk9$mQ2!vbT")) == found
+
+
 def test_secrets_of_odd_rows(odd, empty):
     found = credentials.secrets(odd).collect()
     assert len(found) == len(ODD_ROWS) and all(r["spans"] == "" for r in found)

@@ -142,6 +142,15 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return table
 
 
+def _lists(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Stretches of ``values`` as one list array, null where told."""
+    sizes = ends - starts if null is None else np.where(null, 0, ends - starts)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(edges[-1]) + np.repeat(starts - edges[:-1], sizes)
+    offsets = pa.array(edges.astype(np.int32), mask=None if null is None else np.append(null, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values[at]))
+
+
 def _parts(table: np.ndarray) -> np.ndarray:
     """Into how many parts the lines of a word are dealt: one, unless its bucket holds far more than the usual one."""
     return np.clip((table - 2 * int(np.median(table))) // MANY + 1, 1, MOST_PARTS)
@@ -167,13 +176,13 @@ def sketched(docs: DataFrame, table: np.ndarray, percent: int, least: int) -> Da
         short = (lines.names >> np.uint64(32)).astype(np.uint32).view(np.int32)[lines.words]
         dealt = parts[_bucket(lines.names)][lines.words]
         split = np.concatenate([[0], np.cumsum(dealt > 1)])
-        spans = list(zip(lines.start[used].tolist(), ends.tolist()))
+        starts = lines.start[used]
         return {
             "d1": d1[used], "d2": d2[used],
-            "doc_id": [batch["doc_id"][i] for i in lines.owner[used].tolist()], "line": lines.number[used],
+            "doc_id": np.array(batch["doc_id"], dtype=np.int64)[lines.owner[used]], "line": lines.number[used],
             "n": n, "low": low[used], "high": high[used],
-            "prefix": [short[s:e] for s, e in spans],
-            "parts": [dealt[s:e] if split[e] > split[s] else None for s, e in spans],
+            "prefix": _lists(short, starts, ends),
+            "parts": _lists(dealt, starts, ends, split[ends] == split[starts]),
         }
 
     return map_rows(docs, run, "d1 bigint, d2 bigint, doc_id bigint, line int, n int, low bigint, high bigint, prefix array<int>, parts array<int>")
@@ -189,11 +198,10 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         place = [(i, n) for i, n in place if n < len(split[i])]
         lines = Lines([split[i][n] for i, n in place])
         names = lines.names.view(np.int64)[lines.words]
-        spans = zip(lines.start.tolist(), (lines.start + lines.size).tolist())
         return {
             "doc_id": [batch["doc_id"][i] for i, _ in place],
             "line": [n for _, n in place],
-            "names": [names[s:e] for s, e in spans],
+            "names": _lists(names, lines.start, lines.start + lines.size),
         }
 
     lists = cut(lists, "line-lists")

@@ -119,8 +119,9 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """Rows that come sorted by ``key`` as tables of about so many rows, none of which splits a group."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int, low_bits: int = 0) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``key`` as tables of about so many rows, none of which splits a group: equal keys, or keys
+    that are equal but for so many bits at the end."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -129,7 +130,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iter
             count += batch.num_rows
         if count >= rows:
             table = pa.Table.from_batches(held)
-            keys = table.column(key).to_numpy()
+            keys = table.column(key).to_numpy() >> low_bits
             end = int(np.searchsorted(keys, keys[-1]))
             if end:
                 yield table.slice(0, end).combine_chunks()

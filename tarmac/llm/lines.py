@@ -24,6 +24,9 @@ FEW_ASKED = 50_000
 #: Lines of a word that occurs more often than this are dealt in parts, but not in more than the second number.
 MANY = 20_000
 MOST_PARTS = 4096
+#: A key of the join is one number: 32 bits of the word, 12 of the part, 20 of the line's size, so that rows are sorted by one number.
+SIZE_BITS = 20
+LARGEST = (1 << SIZE_BITS) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E6C63D0876A9A4B
@@ -218,7 +221,7 @@ def _needed(total, percent: int):
 def first_matches(key, n, p, order, low, high, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For lines with a word in common: which have an earlier match, the place of the earliest, whether there are more.
 
-    Rows come by key and size. A row is compared with those before it, one step further away each time, while the length
+    Rows come by key and size (``ordered``). A row is compared with those before it, one step further away each time, while the length
     filter lets any pair through; the position and the parity filter decide.
     """
     best = np.full(len(key), np.iinfo(np.int64).max)
@@ -254,28 +257,43 @@ CHUNK = 200_000
 
 
 def word_rows(classes: DataFrame) -> DataFrame:
-    """(key, doc_id, line, n, p, low, high): a row for each word of each prefix; lines of a very common word in parts."""
+    """(key, doc_id, line, n, p, low, high): a row for each word of each prefix; lines of a very common word in parts. The key
+    ends with the size of the line, or the largest that it holds."""
     rows = classes.select("d1", "doc_id", "line", "n", "low", "high", "parts", F.posexplode("prefix").alias("p", "word"))
     part = F.pmod("d1", F.coalesce(F.get("parts", F.col("p")), F.lit(1)).cast("bigint"))
-    return rows.select((F.shiftleft(F.col("word").cast("bigint"), 32) + part).alias("key"), "doc_id", "line", "n", "p", "low", "high")
+    key = F.shiftleft(F.col("word").cast("bigint"), 32) + F.shiftleft(part, SIZE_BITS) + F.least("n", F.lit(LARGEST))
+    return rows.select(key.alias("key"), "doc_id", "line", "n", "p", "low", "high")
+
+
+def ordered(table: pa.Table, largest: int) -> list[np.ndarray]:
+    """Key without the size, doc_id, line, n, p, low, high of rows that come by key; sizes beyond the key's are put in order."""
+    key, doc, line, n, p, low, high = (table.column(c).to_numpy() for c in ("key", "doc_id", "line", "n", "p", "low", "high"))
+    key, n, p = key >> SIZE_BITS, n.astype(np.int64), p.astype(np.int64)
+    rows = [key, doc, line, n, p, low, high]
+    if len(n) and n.max() > largest:
+        order = np.lexsort((n, key))
+        rows = [x[order] for x in rows]
+    return rows
 
 
 def first_candidates(words: DataFrame, percent: int) -> DataFrame:
     """(doc_a, line_a, doc_b, line_b, more): for each line and word the earliest line with that word that passes the
     length, position and parity filters; ``more`` tells whether it is not the only one. One row for each row at most."""
 
+    largest = LARGEST
+
     def work(table: pa.Table) -> pa.RecordBatch:
-        key, doc, line, n, p, low, high = (table.column(c).to_numpy() for c in ("key", "doc_id", "line", "n", "p", "low", "high"))
+        key, doc, line, n, p, low, high = ordered(table, largest)
         order = np.empty(len(key), dtype=np.int64)
         order[np.lexsort((line, doc))] = np.arange(len(key))
-        a, b, more = first_matches(key, n.astype(np.int64), p.astype(np.int64), order, low, high, percent)
+        a, b, more = first_matches(key, n, p, order, low, high, percent)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], line[a], doc[b], line[b], more)], schema=_MATCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key", CHUNK):
+        for table in whole_groups(batches, "key", CHUNK, SIZE_BITS):
             yield work(table)
 
-    dealt = words.repartition(partitions(words.sparkSession), "key").sortWithinPartitions("key", "n")
+    dealt = words.repartition(partitions(words.sparkSession), F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc_a bigint, line_a int, doc_b bigint, line_b int, more boolean")
 
 

@@ -45,9 +45,10 @@ def similar_lines(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed, many, few", [(1, 20_000, 50_000), (2, 20_000, 0), (3, 20, 50_000), (4, 20, 0)])
-def test_removed_lines_equal_all_comparisons(docs, monkeypatch, seed, many, few):
-    """Also with common words dealt in parts, and with the unsettled lines joined by shuffling."""
+@pytest.mark.parametrize("seed, many, few, largest", [(1, 20_000, 50_000, 6), (2, 20_000, 0, 2**20 - 1), (3, 20, 50_000, 6), (4, 20, 0, 2**20 - 1)])
+def test_removed_lines_equal_all_comparisons(docs, monkeypatch, seed, many, few, largest):
+    """Also with common words dealt in parts, with the unsettled lines joined by shuffling, with lines too large for their key."""
+    monkeypatch.setattr(lines, "LARGEST", largest)
     monkeypatch.setattr(lines, "MANY", many)
     monkeypatch.setattr(lines, "FEW_ASKED", few)
     rows = similar_lines(seed)

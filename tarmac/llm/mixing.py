@@ -9,8 +9,9 @@ from tarmac.llm.common import cut, documents, partitions
 
 SEED = 20
 
-#: A table of rates with no more rows than this is broadcast; a longer one is joined by shuffling.
-FEW_SOURCES = 10_000
+#: A table of rates with no more numbers than this is broadcast (8 MB); a larger one, by its sources or by the lengths of
+#: their distribution functions, is joined by shuffling.
+FEW_NUMBERS = 1_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -69,7 +70,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, expected: float = 1.0
     """
     docs = documents(docs)
     rates = cut(source_rates(docs, weights, expected), "source-rates").withColumnRenamed("source", "_source")
-    if rates.count() <= FEW_SOURCES:
+    numbers = rates.agg(F.sum(F.lit(2) + F.coalesce(F.size("cdf"), F.lit(0)))).first()[0] or 0
+    if numbers <= FEW_NUMBERS:
         rates = F.broadcast(rates)
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     draw = uniform(F.lit(f"{seed}"), name)

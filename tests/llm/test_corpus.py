@@ -309,10 +309,18 @@ def test_distribution_function(spark, rate):
 def test_many_sources_are_joined_by_shuffling(sample, monkeypatch):
     rows = lambda: sorted(mixing.mix(sample).select("doc_id", "copy_no", "shuffle_key").collect())
     few = rows()
-    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    monkeypatch.setattr(mixing, "FEW_NUMBERS", 0)
     assert rows() == few
 
 
+def test_a_high_rate_counts_by_its_distribution(sample, monkeypatch):
+    """Two sources only, but hundreds of numbers for a rate of some hundred copies: too many for a bound of 100."""
+    monkeypatch.setattr(mixing, "FEW_NUMBERS", 100)
+    pair = sample.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    plan = lambda times: mixing.mix(pair, expected=times)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(0.01) and "strategy=broadcast" not in plan(300.0)
+
+
 def test_mixing_of_odd_rows(odd, empty):
     rows = mixing.mix(odd, expected=3.0).collect()
     assert rows and {r["doc_id"] for r in rows} <= {i for i, *_ in ODD_ROWS}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import FORGET, cut, documents, map_rows, partitions, pick, slices, whole_groups
+from tarmac.llm.common import FORGET, cut, documents, give_back, map_rows, partitions, pick, slices, whole_groups
 
 PERCENT = 80
 #: Lines of fewer different words are neither removed nor compared: lines without a word stay.
@@ -137,6 +137,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(_bucket(names), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
+        give_back()
 
     counts = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(BUCKETS, dtype=np.int64)
@@ -292,6 +293,7 @@ def first_candidates(words: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key", CHUNK, SIZE_BITS):
             yield work(table)
+        give_back()
 
     dealt = words.repartition(partitions(words.sparkSession), F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc_a bigint, line_a int, doc_b bigint, line_b int, more boolean")

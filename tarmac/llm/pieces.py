@@ -11,7 +11,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tarmac.llm.common import map_rows, pick
+from tarmac.llm.common import FORGET, map_rows, pick
 
 SPACE = "▁"
 #: What a character without a piece costs more than the rarest piece; it is written as its bytes.
@@ -58,24 +58,28 @@ class Pieces:
         self.known: dict[str, bytes] = {}
 
     def _plant(self) -> None:
-        """The pieces as a tree over bytes: node 0 is the root, 0 as a child means none."""
-        children: list[dict[int, int]] = [{}]
+        """The pieces as a tree over bytes: node 0 is the root, 0 as a child means none. Nodes with children come first; all
+        others share the last row, which has none."""
+        child: dict[int, int] = {}
         at_piece: dict[int, int] = {}
         for name, (_, ids) in self.pieces.items():
             node = 0
             for b in name.encode():
-                if b not in children[node]:
-                    children[node][b] = len(children)
-                    children.append({})
-                node = children[node][b]
+                node = child.setdefault(node << 8 | b, len(child) + 1)
             at_piece[node] = ids[0]
-        self.next = np.zeros((len(children), 256), dtype=np.int32)
-        for node, to in enumerate(children):
-            self.next[node, list(to)] = list(to.values())
-        self.piece_at = np.zeros(len(children), dtype=np.int32)
-        self.score_at = np.full(len(children), -np.inf)
+        size = len(child) + 1
+        edges = np.fromiter(child.keys(), dtype=np.int64, count=len(child))
+        parents = np.zeros(size, dtype=bool)
+        parents[edges >> 8] = True
+        number = np.empty(size, dtype=np.int64)
+        number[np.argsort(~parents, kind="stable")] = np.arange(size)
+        self.leaf = int(parents.sum())
+        self.next = np.zeros((self.leaf + 1, 256), dtype=np.min_scalar_type(size))
+        self.next[number[edges >> 8], edges & 255] = number[np.arange(1, size)]
+        self.piece_at = np.zeros(size, dtype=np.int32)
+        self.score_at = np.full(size, -np.inf)
         for node, i in at_piece.items():
-            self.piece_at[node], self.score_at[node] = i, self.scores[i]
+            self.piece_at[number[node]], self.score_at[number[node]] = i, self.scores[i]
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text that comes in chunks, by the most probable cut; ties go to the longer last piece.
@@ -185,9 +189,9 @@ class Pieces:
         piece = np.zeros((len(words), width + 1), dtype=np.int32)
         for at in range(width):
             who = np.flatnonzero((lengths > at) & (best[:, at] > -np.inf))
-            node = np.zeros(len(who), dtype=np.int32)
+            node = np.zeros(len(who), dtype=self.next.dtype)
             for end in range(at + 1, width + 1):
-                node = self.next[node, text[who, end - 1]]
+                node = self.next[np.minimum(node, self.leaf), text[who, end - 1]]
                 on = (node > 0) & (lengths[who] >= end)
                 who, node = who[on], node[on]
                 if not len(who):
@@ -220,6 +224,20 @@ class Pieces:
 
 _WORDS = re.compile(r"\x20*[^\x20]+|\x20+")
 _MODELS: dict[str, Pieces] = {}
+#: The models that the task which now runs has asked for.
+_ASKED: set[str] = set()
+
+
+def _forget() -> None:
+    """At the end of a task: words are forgotten, and the models that it did not ask for, since their stage is over."""
+    for path in _MODELS.keys() - _ASKED:
+        del _MODELS[path]
+    for kept in _MODELS.values():
+        kept.known.clear()
+    _ASKED.clear()
+
+
+FORGET.append(_forget)
 
 
 def _chunks(text: str) -> Iterator[str]:
@@ -227,7 +245,8 @@ def _chunks(text: str) -> Iterator[str]:
 
 
 def model(path: str) -> Pieces:
-    """One model for a worker process and file."""
+    """One model for a worker process and file, kept from task to task of a stage."""
+    _ASKED.add(path)
     if path not in _MODELS:
         _MODELS[path] = Pieces(path)
     return _MODELS[path]

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from llm.conftest import LONG, ODD_ROWS, by_id
 from tokenizers import Tokenizer
 
-from tarmac.llm import credentials, digest, pieces, tokens
+from tarmac.llm import common, credentials, digest, pieces, tokens
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -304,6 +304,19 @@ def test_the_stream_forgets_what_is_settled(model):
     assert longest < 40  # ids of a few windows at a time, never of the whole text
 
 
+def test_a_worker_keeps_a_model_for_its_stage_only():
+    """At the end of a task words are forgotten; a model goes with the first task that does not ask for it. Nodes without
+    children share a row of the tree."""
+    model = pieces.model(MODEL)
+    model.encode(["some words of a task"])
+    assert model.next.nbytes < 20_000_000 and len(model.known)
+    common.give_back()
+    assert pieces.model(MODEL) is model and not model.known
+    common.give_back()
+    common.give_back()
+    assert not pieces._MODELS
+
+
 def test_long_texts_round_trip(model):
     for text in (LONG, "x" * 30_000, "日本語" * 2000):
         assert model.decode(model.encode([text])[0].tolist()) == text

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,6 @@ MOST_PARTS = 4096
 SIZE_BITS = 20
 LARGEST = (1 << SIZE_BITS) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E6C63D0876A9A4B
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)[np.frombuffer(_LOWER, dtype=np.uint8)]
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -48,9 +48,11 @@ def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     power, inverse = _powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
-    edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    values = _VALUE[data]
+    values *= power[:n]
+    np.cumsum(values, out=sums[1:])
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], (data == 32) | (data - np.uint8(9) < 5), [True]])))
+    start, end = edges[::2], edges[1::2]
     names = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[2]
     return _mix(_mix(names, 0), 1), start
 
@@ -70,6 +72,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names, ascending, and the place of each name among them. Only the different ones are sorted."""
+    found = pa.array(names).dictionary_encode()
+    different = found.dictionary.to_numpy()
+    order = np.argsort(different)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return different[order], place[found.indices.to_numpy()]
+
+
 class Lines:
     """The lines of a batch of texts as ragged arrays.
 
@@ -83,8 +95,10 @@ class Lines:
         self.number = np.arange(len(self.owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         data = np.frombuffer("\n".join(t or "" for t in texts).encode(), dtype=np.uint8)
         names, at = word_names(data)
-        line = np.searchsorted(np.flatnonzero(data == 10), at)
-        self.names, place = np.unique(names, return_inverse=True)
+        # words before each line break: there are fewer breaks than words
+        before = np.concatenate([[0], np.searchsorted(at, np.flatnonzero(data == 10)), [len(at)]])
+        line = np.repeat(np.arange(len(before) - 1), np.diff(before))
+        self.names, place = _numbered(names)
         if rarity is not None:
             order = np.argsort(rarity[_bucket(self.names)], kind="stable")
             rank = np.empty(len(order), dtype=np.int64)
@@ -125,6 +139,12 @@ def _bucket(names: np.ndarray) -> np.ndarray:
     return (names % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _joined(texts: pa.Array) -> np.ndarray:
+    """The bytes of all texts with line breaks between them; null counts as empty. No text becomes a Python string."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts, ""))
+    return np.frombuffer(pc.binary_join(whole, "\n")[0].as_buffer(), dtype=np.uint8)
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """How often words of each bucket occur in all texts: a table of fixed size."""
 
@@ -132,8 +152,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
-                text = "\n".join(t or "" for t in part.column("text").to_pylist())
-                names, _ = word_names(np.frombuffer(text.encode(), dtype=np.uint8))
+                names, _ = word_names(_joined(part.column("text")))
                 total += np.bincount(_bucket(names), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
@@ -167,11 +186,13 @@ def sketched(docs: DataFrame, table: np.ndarray, percent: int, least: int) -> Da
     sets match: these are one class already, and their prefix is empty. Else ``prefix`` are the rarest words of which a set must share one with any set that is alike enough, 32 bits of each;
     ``parts`` into how many parts the lines of each are dealt, null where none is split.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast((table, _parts(table)))
+    # places of the buckets' counts among all: 16 bits, which numpy sorts by radix
+    places = np.unique(table, return_inverse=True)[1].astype(np.uint16)
+    broadcast = docs.sparkSession.sparkContext.broadcast((places, _parts(table)))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        counts, parts = broadcast.value
-        lines = Lines(batch["text"], counts)
+        rarest, parts = broadcast.value
+        lines = Lines(batch["text"], rarest)
         low, high = lines.parities()
         d1, d2 = lines.digests()
         used = np.flatnonzero(lines.size >= least)

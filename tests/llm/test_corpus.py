@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,20 @@ def test_removed_lines_equal_all_comparisons(docs, monkeypatch, seed, many, few,
     assert got == removed_by_force(rows)
 
 
+@pytest.mark.parametrize("texts", [[t for _, t, *_ in ODD_ROWS], [None], [], ["", "\n", " \n\tB b\x0bé É\n\n", None, "a\n"], [t for _, t in similar_lines(5)]])
+def test_names_and_lines_of_words_equal_plain_ones(texts, monkeypatch):
+    """Texts are joined as they lie in Arrow, no text becomes a Python string; lines, words and their order are as by plain Python."""
+    whole = lines._joined(pa.array([None, *texts, None], pa.string()).slice(1, len(texts)))
+    assert whole.tobytes() == "\n".join(t or "" for t in texts).encode()
+    split = [row.translate(lines._LOWER).split() for t in texts for row in (t or "").encode().split(b"\n")]
+    one = {w: int(lines.word_names(np.frombuffer(w, dtype=np.uint8))[0][0]) for row in split for w in row}
+    places = np.random.default_rng(2).integers(0, 9, lines.BUCKETS).astype(np.uint16)
+    for rarity, key in ((None, lambda x: x), (places, lambda x: (places[x % lines.BUCKETS], x))):
+        made = lines.Lines(texts, rarity)
+        got = [made.names[made.words[s : s + n]].tolist() for s, n in zip(made.start, made.size)]
+        assert got == [sorted({one[w] for w in row}, key=key) for row in split]
+
+
 def test_removed_lines_of_the_sample(sample):
     rows = [(r["doc_id"], r["text"]) for r in sample.collect()]
     assert {r["doc_id"]: r["removed"] for r in lines.removed_lines(sample).collect()} == removed_by_force(rows)

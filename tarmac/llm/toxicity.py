@@ -27,24 +27,33 @@ NEAREST = 0.05
 #: The overall rate counts as one more vote of weight 1.
 PRIOR = 1.0
 BLOCK = 128
-#: Lists of the so many commonest terms are rows of a matrix, so that a block of them is multiplied at once. Lists that at
-#: most this share of the examples are in are added in full. All three numbers set the speed, not results.
-COMMON_TERMS = 1024
-RARE = 0.01
-TOGETHER = 64
+#: Examples are put in order by so many of the commonest terms. Entries of a list in a block where at most this share of
+#: the examples hold the term are added in full. All four numbers set the speed, not results.
+COMMON_TERMS = 256
+RARE = 0.1
+TOGETHER = 256
 #: Blocks that are opened first, for a floor.
 FIRST = 2
-#: Stretches of a list that are read for one text.
-STRETCHES = 3
+#: Longer lists are copied one by one, others gathered.
+LONG = 100
 #: Room for sums of floats in two lengths.
 SLACK = 2e-5
 REMEMBERED = 100_000
+#: Terms that a task counts before it hands the counts on.
+SEEN = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
+_PLAIN_WORD = re.compile(r"[a-z]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words in lower case, in order."""
+    low = (text or "").lower()
+    return (_PLAIN_WORD if low.isascii() else _WORD).findall(low)
 
 
 def terms(text: str | None) -> Counter:
     """How often each term occurs: words in lower case, and words' beginnings of four and five letters (``abcd*``)."""
-    out = Counter(_WORD.findall((text or "").lower()))
+    out = Counter(words_of(text))
     begun: dict[str, int] = {}
     for word, n in out.items():
         for start in _beginnings(word):
@@ -79,22 +88,29 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(name, n): in how many labelled rows each term occurs, for the terms of the examples (rows with ``chosen``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, own = Counter(), set()
+        number: dict[str, int] = {}  # of each term
+        known: dict[str, tuple[int, ...]] = {}  # the numbers of each word's terms
+        counts, own = np.zeros(SEEN + 1, dtype=np.int64), np.zeros(SEEN + 1, dtype=bool)
 
         def flush() -> pa.RecordBatch:
-            seen = list(counts)
-            made = [pa.array(names(seen)), pa.array([counts[w] for w in seen], pa.int64()), pa.array([w in own for w in seen], pa.bool_())]
-            counts.clear()
-            own.clear()
+            n = len(number)
+            made = [pa.array(names(number)), pa.array(counts[:n].copy()), pa.array(own[:n])]  # counts are set to 0 below
+            number.clear()
+            known.clear()
+            counts[:], own[:] = 0, False
             return pa.RecordBatch.from_arrays(made, names=["name", "n", "own"])
 
         for batch in batches:
             for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
-                found = terms(text).keys()
-                counts.update(found)
-                if chosen:
-                    own.update(found)
-                if len(counts) > 300_000:
+                found = set(words_of(text))
+                for w in found.difference(known):
+                    known[w] = tuple(number.setdefault(t, len(number)) for t in (w, *_beginnings(w)))
+                if len(number) > len(counts):
+                    counts, own = (np.concatenate([x, np.zeros(len(number), x.dtype)]) for x in (counts, own))
+                at = np.array(list(set(chain.from_iterable(map(known.__getitem__, found)))), dtype=np.int64)
+                counts[at] += 1
+                own[at] |= chosen
+                if len(number) > SEEN:
                     yield flush()
         yield flush()
 
@@ -107,7 +123,9 @@ class Vocabulary:
 
     def __init__(self, sorted_names: np.ndarray, numbers: np.ndarray, idf: np.ndarray):
         self.names, self.numbers, self.idf = sorted_names, numbers, idf
-        self._known: dict[str, tuple[int, ...]] = {}
+        #: places of known words in the table of the numbers of their terms, -1 where a term is not known
+        self._known: dict[str, int] = {}
+        self._table = np.empty((0, 3), dtype=np.int64)
 
     @classmethod
     def of_counts(cls, found: np.ndarray, counts: np.ndarray, total: int) -> Vocabulary:
@@ -125,28 +143,32 @@ class Vocabulary:
         self.__init__(*state)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self._known) > 3 * REMEMBERED:
-            self._known.clear()
         spelt = [[w, *_beginnings(w)] for w in new]
         asked = names([t for s in spelt for t in s])
         at = np.minimum(np.searchsorted(self.names, asked), len(self.names) - 1)
-        number = np.where(self.names[at] == asked, self.numbers[at], -1).tolist()
-        first = 0
-        for w, s in zip(new, spelt):
-            self._known[w] = (*number[first : first + len(s)], *[-1] * (3 - len(s)))
-            first += len(s)
+        number = np.where(self.names[at] == asked, self.numbers[at], -1)
+        sizes = np.array([len(s) for s in spelt])
+        first = len(self._known)
+        if first + len(new) > len(self._table):
+            self._table = np.concatenate([self._table, np.empty((len(self._table) + len(new) + 1000, 3), dtype=np.int64)])
+        rows = np.full((len(new), 3), -1, dtype=np.int64)
+        rows[np.arange(3) < sizes[:, None]] = number
+        self._table[first : first + len(new)] = rows
+        self._known.update(zip(new, range(first, first + len(new))))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms of a text, ascending, and how often each occurs."""
-        found = Counter(_WORD.findall((text or "").lower())) if len(self.names) else {}
+        found = Counter(words_of(text)) if len(self.names) else {}
         if not found:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         known = self._known
         new = [w for w in found if w not in known]
         if new:
-            self._learn(new if len(known) + len(new) <= 3 * REMEMBERED else list(found))
-            known = self._known
-        number = np.fromiter(chain.from_iterable(map(known.__getitem__, found)), dtype=np.int64, count=3 * len(found))
+            if known and len(known) + len(new) > 3 * REMEMBERED:
+                known.clear()
+                new = list(found)
+            self._learn(new)
+        number = self._table[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].ravel()
         times = np.repeat(np.fromiter(found.values(), dtype=np.int64, count=len(found)), 3)
         words, place = np.unique(number, return_inverse=True)
         sums = np.bincount(place, times).astype(np.int64)
@@ -162,6 +184,12 @@ class Vocabulary:
         return words, self.weigh(words, times)
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of these ranges, one range after the other, and the sizes of the ranges."""
+    sizes = ends - starts
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), sizes
+
+
 def alike(rows: np.ndarray) -> np.ndarray:
     """An order in which like rows lie together: halves along the direction of most spread, again and again."""
     order = np.arange(len(rows))
@@ -183,14 +211,15 @@ def alike(rows: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted lists of the examples, each with its largest weight in every block of 128 examples.
-
-    What a list adds to an example is at most the query's weight times the list's maximum in the example's block; the sum of
-    these products over a query's lists, or the product of the lengths of both vectors if that is less, bounds every cosine
-    in a block. Lists of rare terms, with few entries to bound, are added in full first. Then the blocks of the best bounds
-    are opened, the k-th cosine in them is a floor, and all other blocks whose bound reaches it are opened. In open blocks
-    every list is added up; what comes near the k-th sum is added up again in doubles, so the result is exact. Texts are
-    searched many at once, and a block's lists of the commonest terms are one matrix for all texts that open it.
+    """Inverted lists of the examples, which are kept in blocks of 128 like ones, each list with its maximum in every block.
+
+    Where more than a few examples of a block hold a term, the list's entries there are a row of the block's matrix; all
+    others, with little to bound, are plain lists that are added in full. What a row of a matrix adds to an example is at
+    most the query's weight times the row's maximum; the sum of these products, or the product of the lengths of both
+    vectors if that is less, and the largest sum of plain lists bound every cosine in a block. The blocks of the best bounds
+    are opened first, the k-th cosine in them is a floor, and all other blocks whose bound reaches it are opened: their
+    matrices are multiplied by the weights of all texts that open them, since texts are searched many at once. What comes
+    near the k-th sum is added up again in doubles, so the result is exact.
     """
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words: np.ndarray, weights: np.ndarray, n_terms: int):
@@ -202,80 +231,72 @@ class Index:
         n = len(filled)
         self.blocks = -(-n // BLOCK)
         self.opened = 0
-        held = np.bincount(words, minlength=n_terms)
-        self.common = min(COMMON_TERMS, n_terms)
-        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        often = words < self.common
-        rows = np.zeros((len(sizes), self.common), dtype=np.float32)
-        rows[owner[often], words[often]] = weights[often]
-        order = filled[alike(rows[filled, :256])] if n else filled
+        common = min(COMMON_TERMS, n_terms)
+        often = np.flatnonzero(words < common)
+        rows = np.zeros((len(sizes), common), dtype=np.float32)
+        rows[np.searchsorted(starts, often, side="right") - 1, words[often]] = weights[often]
+        order = filled[alike(rows[filled])] if n else filled
+        del rows, often
         self.ids, self.toxic = ids[order], toxic[order].astype(np.float64)
         self.first, self.last = starts[:-1][order], starts[1:][order]
         self.words, self.weights = words, weights
-        self.rows = np.zeros((self.blocks * BLOCK, self.common), dtype=np.float32)
-        self.rows[:n] = rows[order]
-        del rows
-        place = np.empty(len(sizes), dtype=np.int32)
-        place[order] = np.arange(n, dtype=np.int32)
-        # all lists but those in the matrix, by term and place
-        rest = np.flatnonzero(~often)
-        places = place[owner[rest]]
-        by_term = np.argsort(words[rest].astype(np.int64) * (n + 1) + places)
-        rest = rest[by_term]
-        self.places, self.parts = places[by_term], weights[rest].astype(np.float32)
-        del places, by_term, owner, often
-        #: terms before this number have maxima by block
-        self.bounded = max(self.common, int((held > RARE * n).sum()) if n else 0)
-        self.bounded = min(self.bounded, n_terms)
-        # terms are numbered by all labelled rows, so a list past the bound may be long: it is added in full all the same
-        self.starts = np.concatenate([np.zeros(self.common + 1, dtype=np.int64), np.cumsum(held[self.common :])])
-        self.most = np.zeros((self.bounded, self.blocks), dtype=np.float32)
-        if n:
-            self.most[: self.common] = self.rows.reshape(self.blocks, BLOCK, -1).max(axis=1).T
-            end = int(self.starts[self.bounded])
-            term = words[rest[:end]]
-            np.maximum.at(self.most, (term, self.places[:end] // BLOCK), self.parts[:end])
-            #: where each block begins in each list that has maxima
-            inside = np.zeros((self.bounded - self.common, self.blocks + 1), dtype=np.int64)
-            np.add.at(inside, (term - self.common, self.places[:end] // BLOCK + 1), 1)
-            self.cuts = np.cumsum(inside, axis=1) + self.starts[self.common : self.bounded, None]
-            squares = np.bincount(self.places[:end], self.parts[:end].astype(np.float64) ** 2, self.blocks * BLOCK).astype(np.float64)
-            squares += np.einsum("ij,ij->i", self.rows, self.rows)
-            self.length = np.sqrt(squares.reshape(self.blocks, BLOCK).max(axis=1)) * (1 + SLACK)
+        #: of every block: its terms, its matrix (terms x examples), the largest of each row
+        self.matrices: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.length = np.zeros(self.blocks)
+        rest = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))]
+        for b in range(self.blocks):
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            at, held = ranges(self.first[span], self.last[span])
+            place = np.repeat(np.arange(len(held), dtype=np.int32), held)
+            found, row, times = np.unique(words[at], return_inverse=True, return_counts=True)
+            dense = times > RARE * BLOCK
+            inside = dense[row]
+            matrix = np.zeros((int(dense.sum()), BLOCK), dtype=np.float32)
+            matrix[(np.cumsum(dense) - 1)[row[inside]], place[inside]] = weights[at[inside]]
+            self.matrices.append((found[dense], matrix, matrix.max(axis=1)))
+            self.length[b] = math.sqrt(float(np.einsum("ij,ij->j", matrix, matrix).max())) * (1 + SLACK)
+            left = at[~inside]
+            rest.append((words[left], place[~inside] + np.int32(b * BLOCK), weights[left].astype(np.float32)))
+        term, places, parts = (np.concatenate([r[i] for r in rest]) for i in range(3))
+        del rest
+        by_term = np.argsort(term, kind="stable")
+        #: a place and, in the lower half, the float that is the weight there
+        self.lists = (places[by_term].astype("<i8") << 32) | parts[by_term].view(np.uint32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+        # terms that are in a matrix, by the rows of the table of weights that a search makes
+        used = np.unique(np.concatenate([np.empty(0, np.int32), *[m[0] for m in self.matrices]]))
+        self.row = np.full(n_terms, -1, dtype=np.int32)
+        self.row[used] = np.arange(len(used), dtype=np.int32)
+        self.rows = len(used)
+        self.matrices = [(self.row[found], matrix, most) for found, matrix, most in self.matrices]
         self._dense = np.zeros(n_terms)
 
-    def _added(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> None:
-        """Add these stretches of the lists, times the weights."""
+    def _added(self, sums: np.ndarray, words: np.ndarray, weights: np.ndarray) -> None:
+        """Add the plain lists of these terms, times the weights."""
+        starts, ends = self.starts[words], self.starts[words + 1]
         sizes = ends - starts
-        total = int(sizes.sum())
-        if not total:
-            return
-        if total > 100 * len(sizes):
-            spans = list(zip(starts.tolist(), ends.tolist()))
-            where = np.concatenate([self.places[s:e] for s, e in spans])
-            parts = np.concatenate([self.parts[s:e] for s, e in spans])
-        else:
-            at = np.arange(total) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-            where, parts = self.places[at], self.parts[at]
-        parts = parts * np.repeat(weights.astype(np.float32), sizes)
-        low = int(where.min())
-        added = np.bincount(where - low, parts)
-        sums[low : low + len(added)] += added
-
-    def _open(self, sums: np.ndarray, open_: np.ndarray, ask: np.ndarray, middle: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Add all bounded lists in the open blocks, for many texts. Sums of closed blocks may change, but mean nothing."""
-        for j, (words, weights) in enumerate(middle):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], open_[j], [0]])))
-            if len(words) and len(edges):
-                # short gaps are read over, so that a list is a few stretches
-                gaps = np.sort(np.argsort(edges[1:-1:2] - edges[2::2], kind="stable")[: STRETCHES - 1])
-                begins, ends = edges[np.concatenate([[0], 2 * gaps + 2])], edges[np.concatenate([2 * gaps + 1, [len(edges) - 1]])]
-                cuts = self.cuts[words - self.common]
-                self._added(sums[j], cuts[:, begins].ravel(), cuts[:, ends].ravel(), np.repeat(weights, len(begins)))
+        long = sizes > LONG
+        short = (sizes > 0) & ~long
+        at, few = ranges(starts[short], ends[short])
+        taken = [self.lists[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+        taken = np.concatenate([*taken, self.lists[at]])
+        if len(taken):
+            weights = weights.astype(np.float32)
+            parts = taken.view(np.float32)[::2] * np.repeat(np.concatenate([weights[long], weights[short]]), np.concatenate([sizes[long], few]))
+            added = np.bincount(taken.view(np.int32)[1::2], parts)
+            sums[: len(added)] = added
+
+    def _open(self, sums: np.ndarray, open_: np.ndarray, ask: np.ndarray) -> None:
+        """Add the matrices of the open blocks, for many texts."""
         for b in np.flatnonzero(open_.any(axis=0)).tolist():
             which = np.flatnonzero(open_[:, b])
-            span = slice(b * BLOCK, (b + 1) * BLOCK)
-            sums[which, span] += ask[which] @ self.rows[span].T
+            rows, matrix, _ = self.matrices[b]
+            asked = ask.take(rows, axis=0)
+            if len(which) < 0.7 * len(open_):
+                asked = asked.take(which, axis=1)
+                sums[which, b * BLOCK : (b + 1) * BLOCK] += asked.T @ matrix
+            else:
+                sums[which, b * BLOCK : (b + 1) * BLOCK] += (asked.T @ matrix)[which]
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
         """For every query (ascending numbers of terms, weights) the k largest (cosine, place), ties by the example's id;
@@ -289,46 +310,44 @@ class Index:
         n = len(self.ids)
         if not n:
             return [[] for _ in queries]
-        sums = np.zeros((len(queries), self.blocks * BLOCK))
-        ask = np.zeros((len(queries), self.common), dtype=np.float32)
-        bound = np.zeros((len(queries), self.blocks))
-        middle = []
+        sums = np.zeros((len(queries), self.blocks * BLOCK), dtype=np.float32)
+        ask = np.zeros((self.rows, len(queries)), dtype=np.float32)
         for j, (words, weights) in enumerate(queries):
-            a, b = np.searchsorted(words, [self.common, self.bounded]).tolist()
-            ask[j, words[:a]] = weights[:a]
-            middle.append((words[a:b], weights[a:b]))
-            self._added(sums[j], self.starts[words[b:]], self.starts[words[b:] + 1], weights[b:])
-            part = weights[:b]
-            product = part.astype(np.float32) @ self.most[words[:b]]
-            bound[j] = np.minimum(product, self.length * math.sqrt(float(part @ part)))
+            self._added(sums[j], words, weights)
+            rows = self.row[words]
+            inside = rows >= 0
+            ask[rows[inside], j] = weights[inside]
+        bound = np.stack([most @ ask.take(rows, axis=0) for rows, _, most in self.matrices], axis=1)
+        lengths = np.sqrt(np.einsum("ij,ij->j", ask, ask))
+        bound = np.minimum(bound, lengths[:, None] * self.length.astype(np.float32))
         bound += sums.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
         # the blocks of the best bounds give a floor, below the k-th cosine
         best = np.argsort(-bound, axis=1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
-        open_ = np.zeros(bound.shape, dtype=np.int8)
-        np.put_along_axis(open_, best, 1, axis=1)
-        tried = sums.copy()
-        self._open(tried, open_, ask, middle)
-        tried = np.take_along_axis(tried.reshape(len(queries), self.blocks, BLOCK), best[:, :, None], 1).reshape(len(queries), -1)
-        floor = np.zeros(len(queries)) if tried.shape[1] <= k else np.partition(tried, -k, axis=1)[:, -k]
-        open_ |= (bound + SLACK >= floor[:, None]) & (bound > 0)
-        self.opened += int(open_.sum())
-        self._open(sums, open_, ask, middle)
-        sums *= np.repeat(open_, BLOCK, axis=1)
+        tried = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(tried, best, True, axis=1)
+        self._open(sums, tried, ask)
+        held = np.take_along_axis(sums.reshape(len(queries), self.blocks, BLOCK), best[:, :, None], 1).reshape(len(queries), -1)
+        floor = np.zeros(len(queries)) if held.shape[1] <= k else np.partition(held, -k, axis=1)[:, -k]
+        reach = (bound + SLACK >= floor[:, None]) & (bound > 0) & ~tried
+        self.opened += int(reach.sum()) + int(tried.sum())
+        self._open(sums, reach, ask)
+        # what is in closed blocks stays below the floor
         return [self._exact(sums[j, :n], float(floor[j]), words, weights, k) for j, (words, weights) in enumerate(queries)]
 
     def _exact(self, sums: np.ndarray, floor: float, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        near = np.flatnonzero((sums > 0) & (sums >= floor - SLACK))
+        near = np.flatnonzero(sums >= floor - SLACK if floor > SLACK else sums > 0)
         if len(near) > k:
             held = sums[near]
             near = near[held >= np.partition(held, -k)[-k] - SLACK]
+        if not len(near):
+            return []
         self._dense[words] = weights
-        found = []
-        for p in near.tolist():
-            span = slice(self.first[p], self.last[p])
-            # rounded, so that ties don't hang on the order of sums
-            found.append((round(float(self._dense.take(self.words[span]) @ self.weights[span]), 9), p))
+        spans = zip(self.first[near].tolist(), self.last[near].tolist())
+        cosines = np.array([self._dense.take(self.words[s:e]) @ self.weights[s:e] for s, e in spans])
         self._dense[words] = 0.0
-        return sorted((f for f in found if f[0] > 0), key=lambda f: (-f[0], self.ids[f[1]]))[:k]
+        cosines = np.round(cosines, 9)  # so that ties don't hang on the order of sums
+        order = np.lexsort((self.ids[near], -cosines))[:k]
+        return [(c, p) for c, p in zip(cosines[order].tolist(), near[order].tolist()) if c > 0]
 
 
 class Examples:

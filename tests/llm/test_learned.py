@@ -184,6 +184,38 @@ def test_blocks_are_skipped(examples, monkeypatch):
     assert 0 < index.opened < index.blocks
 
 
+def test_matrices_hold_what_their_block_shares(monkeypatch):
+    """Two languages without a common term: a text opens no block of the other, whose matrices hold no row of its terms."""
+    for name, value in (("BLOCK", 16), ("RARE", 0.2), ("COMMON_TERMS", 60)):
+        monkeypatch.setattr(toxicity, name, value)
+    draw = random.Random(6)
+    idf = {w: 1 + w / 60 for w in range(60)}
+    rows = [sparse([2 * min(29, int(draw.expovariate(0.2))) + i % 2 for _ in range(6)], idf) for i in range(320)]
+    ids = np.arange(320)
+    index = make_index(ids, rows)
+    back = {int(r): w for w, r in enumerate(index.row) if r >= 0}
+    kinds = [{back[r] % 2 for r in found.tolist()} for found, _, _ in index.matrices]
+    assert all(len(k) == 1 for k in kinds)
+    # each entry is in a matrix or in a plain list
+    assert sum(int((m > 0).sum()) for _, m, _ in index.matrices) + len(index.lists) == sum(len(w) for w, _ in rows)
+    queries = rows[:20:2]
+    for query, near in zip(queries, index.nearest(queries, 5)):
+        assert [c for c, _ in near] == pytest.approx([c for c, _ in all_cosines(ids, rows, query, 5)], abs=2e-9)
+    assert 0 < index.opened <= len(queries) * sum(k == {0} for k in kinds)
+
+
+@pytest.mark.parametrize("seen", [3, 1000])
+def test_word_counts_equal_plain_counts(docs, labels, monkeypatch, seen):
+    monkeypatch.setattr(toxicity, "SEEN", seen)
+    texts = ["Straße straßen, STRASSE 12 abc_def", "", None, "one One ones oneself onesie", "ones again"]
+    chosen = [True, True, False, False, True]
+    rows = docs(list(enumerate(texts))).withColumn("chosen", F.col("doc_id").isin([i for i, c in enumerate(chosen) if c]))
+    want = Counter(t for x in texts for t in toxicity.terms(x))
+    own = {t for x, c in zip(texts, chosen) if c for t in toxicity.terms(x)}
+    found = {r["name"]: r["n"] for r in toxicity.word_counts(rows).collect()}
+    assert found == {int(toxicity.names([t])[0]): want[t] for t in own}
+
+
 def test_known_terms_equal_plain_counts():
     texts = ["Straße straßen, STRASSE 12 abc_def", "", None, "one One ones oneself onesie", "unseen words only"]
     held = sorted({t for x in texts[:4] for t in toxicity.terms(x)})

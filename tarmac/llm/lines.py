@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import FORGET, cut, documents, give_back, map_rows, partitions, pick, slices, whole_groups
+from tarmac.llm.common import FORGET, arrow_rows, cut, documents, give_back, map_rows, partitions, pick, slices, whole_groups
 
 PERCENT = 80
 #: Lines of fewer different words are neither removed nor compared: lines without a word stay.
@@ -136,7 +136,7 @@ class Lines:
 
 
 def _bucket(names: np.ndarray) -> np.ndarray:
-    return (names % np.uint64(BUCKETS)).astype(np.int64)
+    return (names & np.uint64(BUCKETS - 1)).view(np.int64)
 
 
 def _joined(texts: pa.Array) -> np.ndarray:
@@ -240,42 +240,50 @@ def _needed(total, percent: int):
     return -(-total * percent // (100 + percent))
 
 
-def first_matches(key, n, p, order, low, high, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_matches(key, doc, line, n, p, low, high, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For lines with a word in common: which have an earlier match, the place of the earliest, whether there are more.
 
     Rows come by key and size (``ordered``). A row is compared with those before it, one step further away each time, while the length
-    filter lets any pair through; the position and the parity filter decide.
+    filter lets any pair through; the position and the parity filter decide. Which line is earlier is asked only of pairs that pass.
     """
-    best = np.full(len(key), np.iinfo(np.int64).max)
+    best = np.full(len(key), -1)
     count = np.zeros(len(key), dtype=np.int64)
-    place = np.argsort(order)  # of an order number
     low, high = low.view(np.uint64), high.view(np.uint64)  # bits are counted of numbers without a sign
+
+    def before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (line[a] < line[b]))
+
     at, step = np.arange(len(key)), 0
     while True:
         step += 1
         at = at[at >= step]
-        other = at - step
-        at = at[(key[at] == key[other]) & (100 * n[other] >= percent * n[at])]
+        at = at[key[at] == key[at - step]]
+        at = at[100 * n[at - step] >= percent * n[at]]
         if not len(at):
             break
         other = at - step
         total = n[at] + n[other]
         needed = _needed(total, percent)
-        fits = np.minimum(n[at] - p[at], n[other] - p[other]) >= needed
+        fits = np.flatnonzero(np.minimum(n[at] - p[at], n[other] - p[other]) >= needed)
         a, b, total, needed = at[fits], other[fits], total[fits], needed[fits]
         apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
         fits = total - apart >= 2 * needed
         a, b = a[fits], b[fits]
-        later, earlier = np.where(order[a] > order[b], a, b), np.minimum(order[a], order[b])
-        np.minimum.at(best, later, earlier)
-        np.add.at(count, later, 1)
+        turned = before(a, b)
+        # a line is in each of the two halves once at most
+        for later, earlier in ((a[~turned], b[~turned]), (b[turned], a[turned])):
+            new = (best[later] < 0) | before(earlier, best[later])
+            best[later[new]] = earlier[new]
+            count[later] += 1
     found = np.flatnonzero(count)
-    return found, place[best[found]], count[found] > 1
+    return found, best[found], count[found] > 1
 
 
 _MATCHES = pa.schema([("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("more", pa.bool_())])
 #: Rows are compared so many at a time, in whole groups.
 CHUNK = 200_000
+#: Rows of the join that Spark hands to Python at once: they are short, and a batch has a price of its own.
+JOIN_ROWS = 50_000
 
 
 def word_rows(classes: DataFrame) -> DataFrame:
@@ -289,8 +297,8 @@ def word_rows(classes: DataFrame) -> DataFrame:
 
 def ordered(table: pa.Table, largest: int) -> list[np.ndarray]:
     """Key without the size, doc_id, line, n, p, low, high of rows that come by key; sizes beyond the key's are put in order."""
-    key, doc, line, n, p, low, high = (table.column(c).to_numpy() for c in ("key", "doc_id", "line", "n", "p", "low", "high"))
-    key, n, p = key >> SIZE_BITS, n.astype(np.int64), p.astype(np.int64)
+    key, doc, line, both, low, high = (table.column(c).to_numpy() for c in ("key", "doc_id", "line", "n_p", "low", "high"))
+    key, n, p = key >> SIZE_BITS, both >> 32, both & 0xFFFFFFFF
     rows = [key, doc, line, n, p, low, high]
     if len(n) and n.max() > largest:
         order = np.lexsort((n, key))
@@ -306,9 +314,7 @@ def first_candidates(words: DataFrame, percent: int) -> DataFrame:
 
     def work(table: pa.Table) -> pa.RecordBatch:
         key, doc, line, n, p, low, high = ordered(table, largest)
-        order = np.empty(len(key), dtype=np.int64)
-        order[np.lexsort((line, doc))] = np.arange(len(key))
-        a, b, more = first_matches(key, n, p, order, low, high, percent)
+        a, b, more = first_matches(key, doc, line, n, p, low, high, percent)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], line[a], doc[b], line[b], more)], schema=_MATCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +322,8 @@ def first_candidates(words: DataFrame, percent: int) -> DataFrame:
             yield work(table)
         give_back()
 
+    # two numbers in one column: a row that moves has eight bytes for each column
+    words = words.select("key", "doc_id", "line", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("p").cast("bigint")).alias("n_p"), "low", "high")
     dealt = words.repartition(partitions(words.sparkSession), F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc_a bigint, line_a int, doc_b bigint, line_b int, more boolean")
 
@@ -365,7 +373,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = LEAST_WO
     place = ["doc_id", "line"]
     as_later = [F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")]
 
-    found = cut(first_candidates(word_rows(classes), percent), "first-candidates")
+    with arrow_rows(docs.sparkSession, JOIN_ROWS):
+        found = cut(first_candidates(word_rows(classes), percent), "first-candidates")
     pairs = found.drop("more").distinct()
     later = cut(confirm_lines(docs, pairs, percent).select(*as_later).distinct(), "later-lines")
     # lines whose earliest candidates are not alike enough, but that have others, or words that were dealt in parts

@@ -57,6 +57,45 @@ def test_removed_lines_equal_all_comparisons(docs, monkeypatch, seed, many, few,
     assert got == removed_by_force(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_first_matches_equal_all_pairs(seed):
+    """Rows of a few words, in any order of documents and lines: the earliest that passes, and whether others do."""
+    draw = np.random.default_rng(seed)
+    n = np.sort(draw.integers(1, 9, 300))
+    key = draw.integers(0, 12, 300)
+    order = np.lexsort((n, key))
+    key, n = key[order], n[order]
+    doc, line = np.divmod(draw.permutation(300), 7)
+    p = draw.integers(0, 2, 300)
+    low, high = draw.integers(0, 4, (2, 300))
+    want = {}
+    for a in range(300):
+        passing = []
+        for b in range(300):
+            small, both = sorted((n[a], n[b])), n[a] + n[b]
+            apart = int(low[a] ^ low[b]).bit_count() + int(high[a] ^ high[b]).bit_count()
+            needed = -(-both * 80 // 180)
+            if key[a] == key[b] and (doc[b], line[b]) < (doc[a], line[a]) and 100 * small[0] >= 80 * small[1]:
+                if min(n[a] - p[a], n[b] - p[b]) >= needed and both - apart >= 2 * needed:
+                    passing.append((doc[b], line[b], b))
+        if passing:
+            want[a] = (min(passing)[2], len(passing) > 1)
+    found, first, more = lines.first_matches(key, doc, line, n, p, low, high, 80)
+    assert {a: (b, m) for a, b, m in zip(found.tolist(), first.tolist(), more.tolist())} == want and want
+
+
+def test_rows_of_the_join_go_many_at_once(spark, docs, monkeypatch):
+    """The join runs with a larger setting of its own; the session keeps its setting for texts."""
+    monkeypatch.setattr(lines, "JOIN_ROWS", 7_000)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    seen = []
+    real = lines.first_candidates
+    monkeypatch.setattr(lines, "first_candidates", lambda *x: seen.append(spark.conf.get(key)) or real(*x))
+    assert lines.removed_lines(docs(similar_lines(1))).count()
+    assert seen == ["7000"] and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("texts", [[t for _, t, *_ in ODD_ROWS], [None], [], ["", "\n", " \n\tB b\x0bé É\n\n", None, "a\n"], [t for _, t in similar_lines(5)]])
 def test_names_and_lines_of_words_equal_plain_ones(texts, monkeypatch):
     """Texts are joined as they lie in Arrow, no text becomes a Python string; lines, words and their order are as by plain Python."""

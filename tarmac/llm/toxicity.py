@@ -7,15 +7,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import FEW_IDS, cut, map_rows, pick
+from tarmac.llm.common import FEW_IDS, cut, map_rows, pick, slices
 
 #: At most so many labelled rows become examples, those whose ids have the smallest hashes.
 EXAMPLES = 20_000
@@ -26,29 +24,35 @@ THRESHOLD = 0.3
 NEAREST = 0.05
 #: The overall rate counts as one more vote of weight 1.
 PRIOR = 1.0
-BLOCK = 128
+BLOCK = 512
 #: Examples are put in order by so many of the commonest terms. Entries of a list in a block where at most this share of
 #: the examples hold the term are added in full. All four numbers set the speed, not results.
 COMMON_TERMS = 256
-RARE = 0.1
-TOGETHER = 256
+RARE = 0.15
+TOGETHER = 1024
 #: Blocks that are opened first, for a floor.
 FIRST = 2
-#: Longer lists are copied one by one, others gathered.
-LONG = 100
 #: Room for sums of floats in two lengths.
 SLACK = 2e-5
 REMEMBERED = 100_000
-#: Terms that a task counts before it hands the counts on.
+#: Rows of counts that a task holds before it hands them on.
 SEEN = 300_000
+#: Characters that are named at once, more where a word is longer.
+PIECE = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
-_PLAIN_WORD = re.compile(r"[a-z]+")
+#: Entries of one list that weigh the same.
+_RUN = np.dtype([("weight", "f8"), ("size", "i8")])
+#: Of the first 256 characters, all but those of words are spaces.
+_LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
     """Words in lower case, in order."""
     low = (text or "").lower()
-    return (_PLAIN_WORD if low.isascii() else _WORD).findall(low)
+    try:
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
 
 
 def terms(text: str | None) -> Counter:
@@ -66,9 +70,87 @@ def _beginnings(word: str) -> list[str]:
     return [word[:length] + "*" for length in BEGINNINGS if len(word) >= length]
 
 
+def _spread(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each character."""
+    out = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a number modulo 2^64, and those of its inverse."""
+    base = 0xD6E8FEB86659FD93
+    out = []
+    for number in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(n + 1, number, dtype=np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
+
+
+_SPREAD = _spread(np.arange(256))
+_POWERS = _powers(PIECE)
+#: What the star behind a beginning of each length adds to its name.
+_STARS = _SPREAD[[ord("*")]] * _POWERS[0][: max(BEGINNINGS) + 1]
+
+
+def _named(codes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Where each word starts among these characters, all but spaces; for words and for beginnings of each length, which
+    words have one, and its name: the sum of its characters' numbers times powers, so sums up to each character give all."""
+    n = len(codes)
+    up, down = _POWERS if n <= PIECE else _powers(n)
+    edges = np.flatnonzero(np.diff((codes != 32).view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((_SPREAD[codes] if codes.dtype == np.uint8 else _spread(codes)) * up[:n], out=sums[1:])
+    made = [(np.ones(len(starts), dtype=bool), (sums[ends] - sums[starts]) * down[starts])]
+    for length in BEGINNINGS:
+        fits = ends - starts >= length
+        first = starts[fits]
+        made.append((fits, (sums[first + length] - sums[first]) * down[first] + _STARS[length]))
+    return starts, [(fits, name.view(np.int64)) for fits, name in made]
+
+
 def names(found: Iterable[str]) -> np.ndarray:
     """64-bit names of terms."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in found], dtype=np.uint64).view(np.int64)
+    return _named(np.frombuffer(" ".join(found).encode("utf-32-le"), dtype=np.uint32))[1][0][1]
+
+
+def occurrences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of these texts, each as often as it occurs: numbers of the texts, names of the terms."""
+    plain, other = [], []
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        try:
+            plain.append((i, low.encode("latin-1")))
+        except UnicodeEncodeError:
+            other.append((i, " ".join(_WORD.findall(low))))
+    buffers = [
+        (plain, np.frombuffer(b" ".join(x for _, x in plain).translate(_LETTERS), dtype=np.uint8)),
+        (other, np.frombuffer(" ".join(x for _, x in other).encode("utf-32-le"), dtype=np.uint32)),
+    ]
+    owners, found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for group, codes in buffers:
+        which = np.array([i for i, _ in group], dtype=np.int64)
+        ends = np.cumsum([len(x) + 1 for _, x in group])
+        start = 0
+        while start < len(codes):
+            end = start + PIECE
+            if end < len(codes):
+                gaps = np.flatnonzero(codes[start:end] == 32)
+                if len(gaps):
+                    end = start + int(gaps[-1]) + 1
+                else:  # within a long word
+                    gaps = np.flatnonzero(codes[end:] == 32)
+                    end = end + int(gaps[0]) + 1 if len(gaps) else len(codes)
+            places, made = _named(codes[start:end])
+            owner = which[np.searchsorted(ends, places + start, side="right")]
+            for fits, name in made:
+                owners.append(owner[fits])
+                found.append(name)
+            start = end
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,32 +169,29 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def word_counts(rows: DataFrame) -> DataFrame:
     """(name, n): in how many labelled rows each term occurs, for the terms of the examples (rows with ``chosen``)."""
 
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        found, counts, own = (np.concatenate([h[i] for h in held]) for i in range(3))
+        found, place = np.unique(found, return_inverse=True)
+        return found, np.bincount(place, counts, len(found)).astype(np.int64), np.bincount(place, own, len(found)) > 0
+
+    def counted(texts: list[str | None], chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        text, found = occurrences(texts)
+        found, place = np.unique(found, return_inverse=True)
+        key = np.sort(place * len(texts) + text)
+        place, text = np.divmod(key[np.flatnonzero(np.diff(key, prepend=-1))], len(texts))
+        return found, np.bincount(place, minlength=len(found)), np.bincount(place, chosen[text], len(found)) > 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}  # of each term
-        known: dict[str, tuple[int, ...]] = {}  # the numbers of each word's terms
-        counts, own = np.zeros(SEEN + 1, dtype=np.int64), np.zeros(SEEN + 1, dtype=bool)
-
-        def flush() -> pa.RecordBatch:
-            n = len(number)
-            made = [pa.array(names(number)), pa.array(counts[:n].copy()), pa.array(own[:n])]  # counts are set to 0 below
-            number.clear()
-            known.clear()
-            counts[:], own[:] = 0, False
-            return pa.RecordBatch.from_arrays(made, names=["name", "n", "own"])
-
-        for batch in batches:
-            for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist()):
-                found = set(words_of(text))
-                for w in found.difference(known):
-                    known[w] = tuple(number.setdefault(t, len(number)) for t in (w, *_beginnings(w)))
-                if len(number) > len(counts):
-                    counts, own = (np.concatenate([x, np.zeros(len(number), x.dtype)]) for x in (counts, own))
-                at = np.array(list(set(chain.from_iterable(map(known.__getitem__, found)))), dtype=np.int64)
-                counts[at] += 1
-                own[at] |= chosen
-                if len(number) > SEEN:
-                    yield flush()
-        yield flush()
+        held: list[tuple[np.ndarray, ...]] = []
+        for whole in batches:
+            for part in slices(whole):
+                held.append(counted(part.column("text").to_pylist(), np.array(part.column("chosen").to_pylist(), dtype=bool)))
+                if sum(len(h[0]) for h in held) > SEEN:
+                    held = [merged(held)]
+                    if len(held[0][0]) > SEEN // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["name", "n", "own"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], names=["name", "n", "own"])
 
     counts = rows.select("text", "chosen").mapInArrow(run, "name bigint, n bigint, own boolean").groupBy("name")
     return counts.agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("own").select("name", "n")
@@ -123,9 +202,6 @@ class Vocabulary:
 
     def __init__(self, sorted_names: np.ndarray, numbers: np.ndarray, idf: np.ndarray):
         self.names, self.numbers, self.idf = sorted_names, numbers, idf
-        #: places of known words in the table of the numbers of their terms, -1 where a term is not known
-        self._known: dict[str, int] = {}
-        self._table = np.empty((0, 3), dtype=np.int64)
 
     @classmethod
     def of_counts(cls, found: np.ndarray, counts: np.ndarray, total: int) -> Vocabulary:
@@ -136,52 +212,33 @@ class Vocabulary:
         numbers[commonest] = np.arange(len(found), dtype=np.int32)
         return cls(found, numbers, np.log((1 + total) / (1 + counts[commonest])) + 1)
 
-    def __getstate__(self):
-        return self.names, self.numbers, self.idf
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def _learn(self, new: list[str]) -> None:
-        spelt = [[w, *_beginnings(w)] for w in new]
-        asked = names([t for s in spelt for t in s])
-        at = np.minimum(np.searchsorted(self.names, asked), len(self.names) - 1)
-        number = np.where(self.names[at] == asked, self.numbers[at], -1)
-        sizes = np.array([len(s) for s in spelt])
-        first = len(self._known)
-        if first + len(new) > len(self._table):
-            self._table = np.concatenate([self._table, np.empty((len(self._table) + len(new) + 1000, 3), dtype=np.int64)])
-        rows = np.full((len(new), 3), -1, dtype=np.int64)
-        rows[np.arange(3) < sizes[:, None]] = number
-        self._table[first : first + len(new)] = rows
-        self._known.update(zip(new, range(first, first + len(new))))
+    def counts_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many known terms each text holds; their numbers, ascending in each text, and how often each occurs there."""
+        text, found = occurrences(texts)
+        found, place = np.unique(found, return_inverse=True)
+        at = np.searchsorted(self.names, found)
+        known = np.zeros(len(found), dtype=bool)
+        known[at < len(self.names)] = self.names[at[at < len(self.names)]] == found[at < len(self.names)]
+        number = np.full(len(found), -1, dtype=np.int64)
+        number[known] = self.numbers[at[known]]
+        number = number[place]
+        key = np.sort((text * len(self.names) + number)[number >= 0])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        text, words = np.divmod(key[first], max(1, len(self.names)))
+        return np.bincount(text, minlength=len(texts)), words, np.diff(first, append=len(key))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms of a text, ascending, and how often each occurs."""
-        found = Counter(words_of(text)) if len(self.names) else {}
-        if not found:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        known = self._known
-        new = [w for w in found if w not in known]
-        if new:
-            if known and len(known) + len(new) > 3 * REMEMBERED:
-                known.clear()
-                new = list(found)
-            self._learn(new)
-        number = self._table[np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))].ravel()
-        times = np.repeat(np.fromiter(found.values(), dtype=np.int64, count=len(found)), 3)
-        words, place = np.unique(number, return_inverse=True)
-        sums = np.bincount(place, times).astype(np.int64)
-        return (words[1:], sums[1:]) if words[0] < 0 else (words, sums)
-
-    def weigh(self, words: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """TF-IDF of terms, of length one."""
-        raw = (1 + np.log(times)) * self.idf[words]
-        return raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
+        return self.counts_of([text])[1:]
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words, times = self.counts(text)
-        return words, self.weigh(words, times)
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms of every text and their TF-IDF, of length one."""
+        sizes, words, times = self.counts_of(texts)
+        raw = (1 + np.log(times)) * self.idf[words]
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(texts)), sizes), raw**2, len(texts)))
+        raw /= np.repeat(norms, sizes)
+        cuts = np.cumsum(sizes).tolist()
+        return [(words[a:b], raw[a:b]) for a, b in zip([0, *cuts], cuts)]
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +247,11 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), sizes
 
 
+def sliced(data: bytes, size: int, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """These ranges of items of so many bytes; slices of bytes cost less than slices of an array."""
+    return [data[s:e] for s, e in zip((size * starts).tolist(), (size * ends).tolist())]
+
+
 def alike(rows: np.ndarray) -> np.ndarray:
     """An order in which like rows lie together: halves along the direction of most spread, again and again."""
     order = np.arange(len(rows))
@@ -211,10 +273,12 @@ def alike(rows: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted lists of the examples, which are kept in blocks of 128 like ones, each list with its maximum in every block.
+    """Inverted lists of the examples, which are kept in blocks of 512 like ones, each list with its maximum in every block.
 
     Where more than a few examples of a block hold a term, the list's entries there are a row of the block's matrix; all
-    others, with little to bound, are plain lists that are added in full. What a row of a matrix adds to an example is at
+    others, with little to bound, are plain lists that are added in full. A plain list is cut into runs of equal weight,
+    since a term that occurs as often weighs the same before examples are brought to length one; so an entry is a place
+    only, and sums are divided by the examples' lengths. What a row of a matrix adds to an example is at
     most the query's weight times the row's maximum; the sum of these products, or the product of the lengths of both
     vectors if that is less, and the largest sum of plain lists bound every cosine in a block. The blocks of the best bounds
     are opened first, the k-th cosine in them is a floor, and all other blocks whose bound reaches it are opened: their
@@ -223,6 +287,7 @@ class Index:
     """
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, words: np.ndarray, weights: np.ndarray, n_terms: int):
+        """Terms of an example ascend; its weights may have any length."""
         starts = np.concatenate([[0], np.cumsum(sizes)])
         filled = np.flatnonzero(sizes)
         self.rate = float(toxic.mean()) if len(toxic) else 0.0
@@ -231,72 +296,98 @@ class Index:
         n = len(filled)
         self.blocks = -(-n // BLOCK)
         self.opened = 0
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights**2, len(sizes)))
         common = min(COMMON_TERMS, n_terms)
         often = np.flatnonzero(words < common)
         rows = np.zeros((len(sizes), common), dtype=np.float32)
-        rows[np.searchsorted(starts, often, side="right") - 1, words[often]] = weights[often]
+        which = np.searchsorted(starts, often, side="right") - 1
+        rows[which, words[often]] = weights[often] / norms[which]
         order = filled[alike(rows[filled])] if n else filled
-        del rows, often
+        del rows, often, which
         self.ids, self.toxic = ids[order], toxic[order].astype(np.float64)
-        self.first, self.last = starts[:-1][order], starts[1:][order]
+        self.first, self.last, self.norms = starts[:-1][order], starts[1:][order], norms[order]
         self.words, self.weights = words, weights
+        self.shorten = np.zeros(self.blocks * BLOCK)
+        self.shorten[:n] = 1 / self.norms
         #: of every block: its terms, its matrix (terms x examples), the largest of each row
         self.matrices: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.length = np.zeros(self.blocks)
-        rest = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))]
+        self.length = np.zeros(self.blocks, dtype=np.float32)
+        place_type = np.min_scalar_type(self.blocks * BLOCK)
+        rest = [(np.empty(0, np.int32), np.empty(0, place_type), np.empty(0))]
+        total, squares = np.zeros(n_terms), np.zeros(n_terms)
+        for b in range(self.blocks):
+            times = np.bincount(words[ranges(self.first[b * BLOCK : (b + 1) * BLOCK], self.last[b * BLOCK : (b + 1) * BLOCK])[0]], minlength=n_terms)
+            total += times
+            squares += times**2
+        #: share of the examples around an example with the term that hold it too, on average
+        share = squares / np.maximum(total, 1) / BLOCK
         for b in range(self.blocks):
             span = slice(b * BLOCK, (b + 1) * BLOCK)
             at, held = ranges(self.first[span], self.last[span])
             place = np.repeat(np.arange(len(held), dtype=np.int32), held)
             found, row, times = np.unique(words[at], return_inverse=True, return_counts=True)
-            dense = times > RARE * BLOCK
+            dense = times * share[found] > RARE**2 * BLOCK
             inside = dense[row]
             matrix = np.zeros((int(dense.sum()), BLOCK), dtype=np.float32)
-            matrix[(np.cumsum(dense) - 1)[row[inside]], place[inside]] = weights[at[inside]]
+            matrix[(np.cumsum(dense) - 1)[row[inside]], place[inside]] = weights[at[inside]] / self.norms[span][place[inside]]
             self.matrices.append((found[dense], matrix, matrix.max(axis=1)))
             self.length[b] = math.sqrt(float(np.einsum("ij,ij->j", matrix, matrix).max())) * (1 + SLACK)
             left = at[~inside]
-            rest.append((words[left], place[~inside] + np.int32(b * BLOCK), weights[left].astype(np.float32)))
-        term, places, parts = (np.concatenate([r[i] for r in rest]) for i in range(3))
+            rest.append((words[left].astype(np.int32), (place[~inside] + b * BLOCK).astype(place_type), weights[left]))
+        term, places, values = (np.concatenate([r[i] for r in rest]) for i in range(3))
         del rest
-        by_term = np.argsort(term, kind="stable")
-        #: a place and, in the lower half, the float that is the weight there
-        self.lists = (places[by_term].astype("<i8") << 32) | parts[by_term].view(np.uint32)
+        by_term = np.lexsort((values, term))
+        term, values = term[by_term], values[by_term]
+        #: places of examples, list by list
+        self._bytes = places[by_term].tobytes()
+        self.lists = np.frombuffer(self._bytes, place_type)
+        del places, by_term
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+        cuts = np.flatnonzero((term[1:] != term[:-1]) | (values[1:] != values[:-1])) + 1
+        cuts = np.concatenate([[0], cuts]) if len(term) else cuts
+        runs = np.empty(len(cuts), dtype=_RUN)
+        runs["weight"], runs["size"] = values[cuts], np.diff(np.append(cuts, len(term)))
+        self._runs = runs.tobytes()
+        #: the first run of every term
+        self.runs = np.searchsorted(cuts, self.starts)
+        del term, values, cuts
         # terms that are in a matrix, by the rows of the table of weights that a search makes
         used = np.unique(np.concatenate([np.empty(0, np.int32), *[m[0] for m in self.matrices]]))
         self.row = np.full(n_terms, -1, dtype=np.int32)
         self.row[used] = np.arange(len(used), dtype=np.int32)
         self.rows = len(used)
         self.matrices = [(self.row[found], matrix, most) for found, matrix, most in self.matrices]
-        self._dense = np.zeros(n_terms)
-
-    def _added(self, sums: np.ndarray, words: np.ndarray, weights: np.ndarray) -> None:
-        """Add the plain lists of these terms, times the weights."""
-        starts, ends = self.starts[words], self.starts[words + 1]
-        sizes = ends - starts
-        long = sizes > LONG
-        short = (sizes > 0) & ~long
-        at, few = ranges(starts[short], ends[short])
-        taken = [self.lists[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist())]
-        taken = np.concatenate([*taken, self.lists[at]])
-        if len(taken):
-            weights = weights.astype(np.float32)
-            parts = taken.view(np.float32)[::2] * np.repeat(np.concatenate([weights[long], weights[short]]), np.concatenate([sizes[long], few]))
-            added = np.bincount(taken.view(np.int32)[1::2], parts)
-            sums[: len(added)] = added
+        self.most = np.zeros((self.rows, self.blocks), dtype=np.float32)
+        for b, (found, _, most) in enumerate(self.matrices):
+            self.most[found, b] = most
+        self._place = np.full(n_terms, -1, dtype=np.int32)  # of the terms that texts searched together hold
+
+    def _add_lists(self, sums: np.ndarray, terms: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Put the sums of the plain lists into ``sums``. Queries hold places in ``terms``, each of which is read once."""
+        lists = sliced(self._bytes, self.lists.itemsize, self.starts[terms], self.starts[terms + 1])
+        many = self.runs[terms + 1] - self.runs[terms]
+        cut_runs = sliced(self._runs, _RUN.itemsize, self.runs[terms], self.runs[terms + 1])
+        for j, (at, weights) in enumerate(queries):
+            held = at.tolist()
+            taken = np.frombuffer(b"".join(map(lists.__getitem__, held)), self.lists.dtype)
+            if len(taken):
+                runs = np.frombuffer(b"".join(map(cut_runs.__getitem__, held)), _RUN)
+                parts = np.repeat(runs["weight"] * np.repeat(weights, many[at]), runs["size"])
+                sums[j] = np.bincount(taken.astype(np.int64), parts, sums.shape[1]) * self.shorten
 
     def _open(self, sums: np.ndarray, open_: np.ndarray, ask: np.ndarray) -> None:
         """Add the matrices of the open blocks, for many texts."""
         for b in np.flatnonzero(open_.any(axis=0)).tolist():
             which = np.flatnonzero(open_[:, b])
+            start, end = int(which[0]), int(which[-1]) + 1
             rows, matrix, _ = self.matrices[b]
-            asked = ask.take(rows, axis=0)
-            if len(which) < 0.7 * len(open_):
-                asked = asked.take(which, axis=1)
-                sums[which, b * BLOCK : (b + 1) * BLOCK] += asked.T @ matrix
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            if len(which) == end - start:
+                sums[start:end, span] += ask[rows, start:end].T @ matrix
+            elif len(which) < 0.7 * (end - start):
+                sums[which, span] += ask[rows[:, None], which].T @ matrix
             else:
-                sums[which, b * BLOCK : (b + 1) * BLOCK] += (asked.T @ matrix)[which]
+                sums[which, span] += (ask[rows, start:end].T @ matrix)[which - start]
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
         """For every query (ascending numbers of terms, weights) the k largest (cosine, place), ties by the example's id;
@@ -310,16 +401,29 @@ class Index:
         n = len(self.ids)
         if not n:
             return [[] for _ in queries]
-        sums = np.zeros((len(queries), self.blocks * BLOCK), dtype=np.float32)
-        ask = np.zeros((self.rows, len(queries)), dtype=np.float32)
+        bound = np.zeros((len(queries), self.blocks), dtype=np.float32)
+        inside = []
         for j, (words, weights) in enumerate(queries):
-            self._added(sums[j], words, weights)
             rows = self.row[words]
-            inside = rows >= 0
-            ask[rows[inside], j] = weights[inside]
-        bound = np.stack([most @ ask.take(rows, axis=0) for rows, _, most in self.matrices], axis=1)
-        lengths = np.sqrt(np.einsum("ij,ij->j", ask, ask))
-        bound = np.minimum(bound, lengths[:, None] * self.length.astype(np.float32))
+            asked = weights[rows >= 0].astype(np.float32)
+            rows = rows[rows >= 0]
+            inside.append((rows, asked))
+            bound[j] = np.minimum(asked @ self.most.take(rows, axis=0), math.sqrt(float(asked @ asked)) * self.length)
+        # texts of one best block lie together, so that most blocks are opened by neighbours
+        order = np.argsort(bound.argmax(axis=1), kind="stable")
+        queries, bound = [queries[j] for j in order.tolist()], bound[order]
+        sums = np.zeros((len(queries), self.blocks * BLOCK), dtype=np.float32)
+        ask = np.zeros((self.rows, len(queries)), dtype=np.float32)
+        for j, i in enumerate(order.tolist()):
+            ask[inside[i][0], j] = inside[i][1]
+        # from here on terms are numbered by their places among those of the texts
+        held = np.zeros(len(self._place), dtype=bool)
+        for words, _ in queries:
+            held[words] = True
+        terms = np.flatnonzero(held)
+        self._place[terms] = np.arange(len(terms), dtype=np.int32)
+        queries = [(self._place[words], weights) for words, weights in queries]
+        self._add_lists(sums, terms, queries)
         bound += sums.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
         # the blocks of the best bounds give a floor, below the k-th cosine
         best = np.argsort(-bound, axis=1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
@@ -332,22 +436,42 @@ class Index:
         self.opened += int(reach.sum()) + int(tried.sum())
         self._open(sums, reach, ask)
         # what is in closed blocks stays below the floor
-        return [self._exact(sums[j, :n], float(floor[j]), words, weights, k) for j, (words, weights) in enumerate(queries)]
+        near = [self._near(sums[j, :n], float(floor[j]), k) for j in range(len(queries))]
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        exact = self._exact(queries, near, len(terms))
+        self._place[terms] = -1
+        for i, places, cosines in zip(order.tolist(), near, exact):
+            by = np.lexsort((self.ids[places], -cosines))[:k]
+            out[i] = [(c, p) for c, p in zip(cosines[by].tolist(), places[by].tolist()) if c > 0]
+        return out
 
-    def _exact(self, sums: np.ndarray, floor: float, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def _near(self, sums: np.ndarray, floor: float, k: int) -> np.ndarray:
+        """Places of the examples whose sums come near the k-th."""
         near = np.flatnonzero(sums >= floor - SLACK if floor > SLACK else sums > 0)
         if len(near) > k:
             held = sums[near]
             near = near[held >= np.partition(held, -k)[-k] - SLACK]
-        if not len(near):
-            return []
-        self._dense[words] = weights
-        spans = zip(self.first[near].tolist(), self.last[near].tolist())
-        cosines = np.array([self._dense.take(self.words[s:e]) @ self.weights[s:e] for s, e in spans])
-        self._dense[words] = 0.0
-        cosines = np.round(cosines, 9)  # so that ties don't hang on the order of sums
-        order = np.lexsort((self.ids[near], -cosines))[:k]
-        return [(c, p) for c, p in zip(cosines[order].tolist(), near[order].tolist()) if c > 0]
+        return near
+
+    def _exact(self, queries: list[tuple[np.ndarray, np.ndarray]], near: list[np.ndarray], n_terms: int) -> list[np.ndarray]:
+        """Cosines of every query and these examples in doubles. An example is spread out once for all texts near it."""
+        places = np.concatenate(near)
+        asking = np.repeat(np.arange(len(near)), [len(x) for x in near])
+        found = np.zeros(len(places))
+        by_place = np.argsort(places, kind="stable")
+        dense = np.zeros(n_terms + 1)  # the last is for terms that no text holds
+        held = np.empty(0, dtype=np.int32)
+        last = -1
+        for at, p, j in zip(by_place.tolist(), places[by_place].tolist(), asking[by_place].tolist()):
+            if p != last:
+                dense[held] = 0.0
+                last, span = p, slice(int(self.first[p]), int(self.last[p]))
+                held = self._place.take(self.words[span])
+                dense[held] = self.weights[span]
+            words, weights = queries[j]
+            found[at] = dense.take(words) @ weights
+        found = np.round(found / self.norms[places], 9)  # so that ties don't hang on the order of sums
+        return np.split(found, np.cumsum([len(x) for x in near])[:-1])
 
 
 class Examples:
@@ -368,8 +492,6 @@ class Examples:
         if self._index is None:
             words, times = (np.frombuffer(pa.decompress(x, 4 * self.total, "zstd", asbytes=True), np.int32) for x in self.packed)
             weights = (1 + np.log(times)) * self.vocabulary.idf[words]
-            norms = np.sqrt(np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), weights**2, len(self.sizes)))
-            weights /= np.repeat(norms, self.sizes)
             self._index = Index(self.ids, self.toxic, self.sizes, words, weights, len(self.vocabulary.names))
         return self._index
 
@@ -379,8 +501,7 @@ class Examples:
             self._known.clear()
         keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
         new = {key: text for key, text in zip(keys, texts) if key not in self._known}
-        queries = [self.vocabulary.vector(t) for t in new.values()]
-        for key, near in zip(new, self.index.nearest(queries)):
+        for key, near in zip(new, self.index.nearest(self.vocabulary.vectors(list(new.values())))):
             self._known[key] = self._vote(near)
         return [self._known[key] for key in keys]
 
@@ -410,8 +531,11 @@ def build_examples(docs: DataFrame, labels: DataFrame) -> Examples:
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        found = [known.value.counts(t) for t in batch["text"]]
-        return {c: [x[i].astype(np.int32).tobytes() for x in found] for i, c in enumerate(("words", "times"))}
+        sizes, *found = known.value.counts_of(batch["text"])
+        cuts = np.cumsum(sizes).tolist()
+        return {
+            c: [x[a:b].astype(np.int32).tobytes() for a, b in zip([0, *cuts], cuts)] for c, x in zip(("words", "times"), found)
+        }
 
     made = map_rows(rows.filter("chosen").select("doc_id", "toxic", "text"), run, "words binary, times binary", ("doc_id", "toxic"))
     ids, toxic, sizes, words, times = [], [], [], [], []

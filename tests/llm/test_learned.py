@@ -204,6 +204,28 @@ def test_matrices_hold_what_their_block_shares(monkeypatch):
     assert 0 < index.opened <= len(queries) * sum(k == {0} for k in kinds)
 
 
+def test_examples_of_any_length_give_cosines(examples):
+    """Weights of examples need not have length one, and entries of one term that weigh the same need a place each only."""
+    idf, ids, rows = examples
+    rows = [(w, x * (1 + i % 7)) for i, (w, x) in enumerate(rows)]
+    index = make_index(ids, rows)
+    assert index.lists.dtype == np.uint16
+    unit = [(w, x / np.sqrt(x @ x)) if len(w) else (w, x) for w, x in rows]
+    queries = unit[1:200:9]
+    for query, near in zip(queries, index.nearest(queries, 25)):
+        assert [c for c, _ in near] == pytest.approx([c for c, _ in all_cosines(ids, unit, query, 25)], abs=2e-9)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_terms_of_many_texts_are_found_together(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    texts = ["Straße 12 abc_def", None, "Ünïted", "", "œuvre cœur’s Привет мир", "\xb2\xaa\xa0x\x85y", "one ones onesie", "a" * 40]
+    text, found = toxicity.occurrences(texts)
+    for i, t in enumerate(texts):
+        want = Counter({int(toxicity.names([w])[0]): n for w, n in toxicity.terms(t).items()})
+        assert Counter(found[text == i].tolist()) == want
+
+
 @pytest.mark.parametrize("seen", [3, 1000])
 def test_word_counts_equal_plain_counts(docs, labels, monkeypatch, seen):
     monkeypatch.setattr(toxicity, "SEEN", seen)

@@ -25,8 +25,9 @@ NEAREST = 0.05
 #: The overall rate counts as one more vote of weight 1.
 PRIOR = 1.0
 BLOCK = 512
-#: Examples are put in order by so many of the commonest terms. Entries of a list in a block where at most this share of
-#: the examples hold the term are added in full. All four numbers set the speed, not results.
+#: Examples are put in order by so many of the commonest terms. Entries of a list in a block are added in full where the
+#: share of the block's examples that hold the term, times the share of those around them, is at most the square of RARE. All
+#: four numbers set the speed, not results.
 COMMON_TERMS = 256
 RARE = 0.15
 TOGETHER = 1024
